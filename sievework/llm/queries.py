@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_key
 from ..session import read_table
-from . import distinct, seen
+from . import distinct, leak, loops, mix, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,36 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of an item's words, with the item."""
+    return leak.leaked(leak.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")))
+
+
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of document and item that shares evidence, with the words covered."""
+    return leak.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: one row per slot and piece of a document."""
+    return mix.mixture(read_table(spark, d, "documents"), read_table(spark, d, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches, by source."""
+    return mix.mixture(read_table(spark, d, "documents"), read_table(spark, d, "source_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents at least half of whose words repeat passages that stood earlier in them."""
+    return loops.repetition(read_table(spark, d, "documents")).where(F.col("repeated_share") >= loops.SHARE).select("doc_id")
+
+
+def p10_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Ratios, band and repeated share of every document."""
+    return loops.repetition(read_table(spark, d, "documents"))
+
+
 _P7_LONG = """
 long_input as (
   select external_id, term, sum(tf) as tf from (
@@ -73,6 +103,12 @@ QUERIES: dict[str, Query] = {
     "p3_wrong_answers": p3_wrong_answers,
     "p7_found": p7_found,
     "p7_scores": p7_scores,
+    "p8_found": p8_found,
+    "p8_evidence": p8_evidence,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_bands": p10_bands,
 }
 
 SQL: dict[str, str] = {
