@@ -9,11 +9,60 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_key
 from ..session import read_table
-from . import distinct, leak, loops, mix, seen
+from . import distinct, fetches, langid, leak, loops, mix, seen, spam
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _fetches(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "fetch_results")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Html fetches more than half of whose main-region words belong to keyword runs, bare link lists or tag lists."""
+    return fetches.keyword_pages(_fetches(spark, d)).where(F.col("spam_share") > spam.SHARE).select("fetch_id")
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of spam and redundancy of every html page."""
+    return fetches.keyword_pages(_fetches(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Main-body blocks of html fetches that are neither spam nor garbled."""
+    return fetches.main_body_hashes(_fetches(spark, d))
+
+
+def p2_main_body(spark: SparkSession, d: str) -> DataFrame:
+    """The main-body blocks themselves, of restored pages too."""
+    return fetches.main_body(_fetches(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Html fetches whose own words are garbled in the project's decoding."""
+    return fetches.garbled_ids(_fetches(spark, d))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled fetches with their restored main text."""
+    return fetches.garbled_pages(_fetches(spark, d))
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    filters = langid.fit_on(read_table(spark, d, "documents"))
+    return fetches.relabelled(fetches.languages(_fetches(spark, d), filters), read_table(spark, d, "analyzed_texts").select("fetch_id", "language"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the segments of fetches whose label is missing or wrong, or that mix languages."""
+    return _languages(spark, d).select("fetch_id", "segment_no", "language")
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the confidence of each segment and the label that was given."""
+    return _languages(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Tasks whose canonical url was offered under a smaller task_id."""
     return seen.repeated(read_table(spark, d, "crawl_tasks"), "task_id", "url", url_key)
@@ -99,6 +148,14 @@ scored as (
 """
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_shares": p1_shares,
+    "p2_found": p2_found,
+    "p2_main_body": p2_main_body,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
+    "p5_found": p5_found,
+    "p5_confidence": p5_confidence,
     "p3_found": p3_found,
     "p3_wrong_answers": p3_wrong_answers,
     "p7_found": p7_found,
