@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, search
 
-_MODULES = (core,)
+_MODULES = (core, search)
 
 
 def queries() -> dict:
