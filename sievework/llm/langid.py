@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 ORDERS = (2, 4)
 BITS = 20
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 PER_LANGUAGE = 300
 LEAST_DOCS = 12
 #: An n-gram belongs to a language whose share of documents with it is at least this part of the highest share, and this much.
