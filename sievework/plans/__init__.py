@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, search
+from . import content, core, crawling, search
 
-_MODULES = (core, search)
+_MODULES = (core, crawling, content, search)
 
 
 def queries() -> dict:
