@@ -173,7 +173,8 @@ def header(headers: Column, name: str) -> Column:
 def retry_after_seconds(value: Column, now: Column) -> Column:
     """CR-32: seconds, or an HTTP date as seconds from now; null for anything else."""
     date = F.try_to_timestamp(F.regexp_replace(value, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.expr("null").cast("double"), F.when(value.rlike(r"^\s*[0-9]+\s*$"), F.trim(value).cast("double")), F.greatest(F.lit(0.0), date.cast("timestamp").cast("double") - now.cast("timestamp").cast("double")))
+    ahead = date.cast("timestamp").cast("double") - now.cast("timestamp").cast("double")
+    return F.when(value.rlike(r"^\s*[0-9]+\s*$"), F.trim(value).cast("double")).when(ahead.isNotNull(), F.greatest(F.lit(0.0), ahead))
 
 
 def robots_tag_noindex(value: Column, agent: str = "sieveworkbot") -> Column:

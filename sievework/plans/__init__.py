@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, core, crawling, search
+from . import content, core, crawling, flows, search
 
-_MODULES = (core, crawling, content, search)
+_MODULES = (core, crawling, content, search, flows)
 
 
 def queries() -> dict:

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
+def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g", shared: str | None = None) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("sievework")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -26,12 +27,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by spark.checkpoint.dir; a temporary one only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="sievework-"))
     return where.rstrip("/")
 
 
