@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from .graph import connected_components
 
 SHINGLE = 5
@@ -74,7 +74,7 @@ def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame({"_id": pdf["_id"], "simhash": pd.array([simhash64(t) for t in pdf["_t"]], dtype="Int64")})
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(run, f"_id {kind}, simhash bigint")
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))).mapInPandas(run, f"_id {kind}, simhash bigint")
     return rows.select(F.col("_id").alias(id_col), "simhash")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .index import idf, saturation
 from .ranks import top_k
 
@@ -231,7 +232,7 @@ def cosine_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
                     cols = order.ravel()
                     yield pd.DataFrame({"query_id": ids[s + rows], "vec_id": names[cols], "similarity": sim[rows, cols]})
 
-        found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, similarity double")
+        found = spread(vectors.where("embedding is not null").select("vec_id", "embedding")).mapInPandas(run, "query_id bigint, vec_id bigint, similarity double")
         out = found if out is None else out.unionByName(found)
     return top_k(out.where("query_id <> vec_id"), ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k, F.col("vec_id"))
 

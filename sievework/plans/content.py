@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import crawl, index, ranks
-from ..session import read_table
+from ..session import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +58,7 @@ def charset_sources(spark, d):
             yield pd.DataFrame(found, columns=["encoding", "source"])
 
     pages = _fetches(spark, d).where("body is not null and coalesce(content_type, 'html') like '%html%'")
-    return pages.select("body", "content_type").mapInPandas(run, "encoding string, source string").groupBy("encoding", "source").agg(F.count("*").alias("pages"))
+    return spread(pages.select("body", "content_type")).mapInPandas(run, "encoding string, source string").groupBy("encoding", "source").agg(F.count("*").alias("pages"))
 
 
 def page_fields(spark, d):

@@ -60,3 +60,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a scan of far fewer partitions than there are cores is dealt out over them; any other is left as it is."""
+    sc = df.sparkSession.sparkContext
+    if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
