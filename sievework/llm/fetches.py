@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import encoding, langid, mainbody, pages, spam
 
 
@@ -86,7 +87,7 @@ def per_page(fetches: DataFrame, rows_of: Callable[[Reading], Iterable[tuple]],
     types = [arrow[x.strip().split()[1]] for x in schema.split(",")] if schema else []
     if not schema:
         columns = []
-    return source.mapInArrow(run, "fetch_id bigint" + (", " + schema if schema else ""))
+    return spread(source).mapInArrow(run, "fetch_id bigint" + (", " + schema if schema else ""))
 
 
 def keyword_pages(fetches: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 RUN, CHARS = 5, 10
 SHARE = 0.5
 MIN_BYTES = 160
@@ -109,4 +111,4 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, zstd_ratio double, least_chunk_ratio double, band string, repeated_share double")
+    return spread(rows).mapInPandas(run, f"`{id_col}` {kind}, zstd_ratio double, least_chunk_ratio double, band string, repeated_share double")

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZER = os.environ.get("SIEVEWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 2048
@@ -54,7 +56,7 @@ def with_tokens(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [len(encoding.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
 
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).where("source is not null")
-    return rows.mapInPandas(run, "doc_id bigint, source string, tokens bigint").where("tokens > 0")
+    return spread(rows).mapInPandas(run, "doc_id bigint, source string, tokens bigint").where("tokens > 0")
 
 
 def plan(sized: DataFrame, targets: DataFrame, block: int = BLOCK, total_tokens: int | None = None) -> list[dict]:

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 FIRST_CAPACITY = 1 << 14
 GROWTH = 4
 ERROR = 1e-3
@@ -183,7 +185,7 @@ def seen_before(
     spark = df.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(key_col).cast("string").alias("_raw")).where("_id is not null and _raw is not null")
-    keyed = rows.mapInPandas(_local(key_of), "_id bigint, _key string, _known boolean")
+    keyed = spread(rows).mapInPandas(_local(key_of), "_id bigint, _key string, _known boolean")
     hashed = keyed.withColumns({"_h1": F.xxhash64("_key"), "_h2": F.xxhash64(F.lit(1), "_key")})
     # a row answered already goes anywhere
     placed = hashed.withColumn("_shard", F.pmod(F.when(F.col("_known"), F.col("_id")).otherwise(F.col("_h1")), F.lit(shards)).cast("int"))
