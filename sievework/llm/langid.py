@@ -12,7 +12,8 @@ for a language only where it is about as frequent as anywhere.
 
 Defined results
 * null or empty text: no segments. Texts without letters: no segments.
-* null or unknown labels in the sample: not used; a language with fewer than LEAST_DOCS rows is not modelled.
+* null or unknown labels in the sample: not used; a language with fewer than LEAST_DOCS rows, or
+  LEAST_SHARE of the sample, is not modelled, nor is a label that mostly stands on texts of a far more frequent language.
 * ties of two languages: the one around it, else the alphabetically first.
 * very long texts: read whole. Repeated rows give rows each; an empty table none.
 """
@@ -30,7 +31,9 @@ ORDERS = (2, 4)
 BITS = 20
 TRAIN_ROWS = 10_000
 PER_LANGUAGE = 300
-LEAST_DOCS = 12
+LEAST_DOCS, LEAST_SHARE = 12, 0.004
+#: A label is a wrong one for another language when so much of what its texts use is that language's, which has so many times its rows.
+ALIAS, ALIAS_ROWS = 0.85, 3
 #: An n-gram belongs to a language whose share of documents with it is at least this part of the highest share, and this much.
 RELATIVE, ABSOLUTE = 0.2, 0.012
 #: Evidence that lets a sentence leave the language around it: n-grams, part of them known, lead over the other language.
@@ -107,18 +110,26 @@ class Filters:
 def fit(rows: list[tuple[str, str]]) -> Filters:
     """rows: (label, text), labels with errors among them."""
     by: dict[str, list[str]] = {}
+    size: dict[str, int] = {}
     for label, text in rows:
         if label and text:
-            own = by.setdefault(label.strip().lower().replace("_", "-").split("-")[0], [])
+            x = label.strip().lower().replace("_", "-").split("-")[0]
+            size[x] = size.get(x, 0) + 1
+            own = by.setdefault(x, [])
             if len(own) < PER_LANGUAGE:
                 own.append(text)
-    languages = sorted(x for x, own in by.items() if len(own) >= LEAST_DOCS and x != "und")[:32]
-    shares = []
-    for x in languages:
-        h, owner = grams([t.replace("\n", " ") for t in by[x]])
-        pairs = np.unique(np.stack((h, owner.astype(np.uint64)), 1), axis=0)[:, 0] if len(h) else h
+    least = max(LEAST_DOCS, LEAST_SHARE * sum(size.values()))
+    found = []
+    for x in sorted(x for x, n in size.items() if n >= least and x not in ("und", "")):
+        pairs = np.concatenate([np.unique(grams([t.replace("\n", " ")])[0]) for t in by[x]])
         values, counts = np.unique(pairs, return_counts=True)
-        shares.append((values, counts / len(by[x])))
+        found.append((x, values, counts / len(by[x])))
+    kept = [
+        (x, values, share)
+        for x, values, share in found
+        if not any(y != x and size[y] >= ALIAS_ROWS * size[x] and len(values) and np.isin(values, other, assume_unique=True).mean() >= ALIAS for y, other, _ in found)
+    ][:32]
+    languages, shares = [x for x, _, _ in kept], [(values, share) for _, values, share in kept]
     highest_at = np.concatenate([v for v, _ in shares]) if shares else np.empty(0, np.uint64)
     every, back = np.unique(highest_at, return_inverse=True)
     highest = np.zeros(len(every))

@@ -69,7 +69,7 @@ def own_region(page: Page) -> list[Block]:
     return out
 
 
-def stretches(texts: list[str]) -> tuple[list[str], str]:
+def stretches(texts: list[str]) -> tuple[list[str], list[str]]:
     """Maximal runs of text without sentences, and the sentences."""
     runs: list[list[str]] = [[]]
     said: list[str] = []
@@ -83,7 +83,7 @@ def stretches(texts: list[str]) -> tuple[list[str], str]:
                     runs.append([])
             else:
                 runs[-1].append(piece)
-    return ["\n".join(r) for r in runs if r], "\n".join(said)
+    return ["\n".join(r) for r in runs if r], said
 
 
 def richness(text: str) -> float:
@@ -108,9 +108,10 @@ def redundancy(text: str) -> float:
 def spam_share(texts: list[str]) -> tuple[float, float]:
     """(share of words in redundant stretches, lowest normalised ratio)."""
     runs, said = stretches(texts)
-    words = spam = count_words(said)
-    least = redundancy(said)
-    if not (least < LIMIT_PUNCTUATED and richness(said) < RICHNESS):
+    words = spam = count_words("\n".join(said))
+    once = "\n".join(dict.fromkeys(said))  # a sentence said again and again is no keyword
+    least = redundancy(once)
+    if not (least < LIMIT_PUNCTUATED and richness(once) < RICHNESS):
         spam = 0.0
     for run in runs:
         n = count_words(run)
