@@ -17,6 +17,7 @@ Defined results
 
 from __future__ import annotations
 
+import html
 import re
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ FITS = ("utf-8", "cp1252", "cp1250", "cp1251", "iso8859-2", "koi8-r", "cp1256",
 LAYERS = 4
 
 _RUN = re.compile("[^\x00-\x7f\\s\ufffd]{2,}")
+_LATIN_RUN = re.compile("[\x80-\u017f\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2,}")
 _BROKEN = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]+")
 _LOST_SPACE = re.compile("(?<=[a-z\xdf-\xff])[\xc2\xc3](?=\\s|$)")
 _CYRILLIC_AS_LATIN = re.compile("[\xc0-\xd6\xd8-\xf6\xf8-\xff]{4,}")
@@ -49,7 +51,7 @@ _HINT = re.compile("[^\x00-\x7f\\W\\d_][" + _second_signs() + "]|\xe2\u20ac|\xe2
 
 def _plausible(ch: str) -> bool:
     n = ord(ch)
-    return 0xA0 <= n <= 0x17F or 0x2010 <= n <= 0x2044 or n in (0x20AC, 0x2116, 0x2122) or 0x400 <= n <= 0x52F or 0x5D0 <= n <= 0x6FF or 0x3000 <= n <= 0x30FF or 0x4E00 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3 or 0xFF00 <= n <= 0xFFEF
+    return 0xA0 <= n <= 0x17F or 0x2010 <= n <= 0x2044 or n in (0x20AC, 0x2116, 0x2122) or 0x400 <= n <= 0x52F or 0x5D0 <= n <= 0x6FF or 0x3000 <= n <= 0x30FF or 0x4E00 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3 or 0xFF00 <= n <= 0xFFEF or n == 0xFFFD
 
 
 def encode_loosely(text: str, name: str) -> bytes | None:
@@ -163,7 +165,8 @@ def unwrap(text: str) -> str:
         found = run_trace(m[0])
         return found[1] if found else m[0]
 
-    return _RUN.sub(one, text)
+    tried = _RUN.sub(one, text)
+    return tried if tried != text else _LATIN_RUN.sub(one, text)  # garbled signs between sound ones of another script
 
 
 def repair_text(text: str) -> tuple[str, int]:
@@ -178,9 +181,35 @@ def repair_text(text: str) -> tuple[str, int]:
     return text, layers
 
 
+_ENTITY = re.compile("&(?:#[xX]?[0-9a-fA-F]{2,6}|[a-zA-Z]{2,8});")
+
+
+def without_high_entities(text: str) -> str:
+    """Entities of characters beyond ascii decoded: a page may have been escaped after it was garbled. Markup is left as it is."""
+
+    def one(m: re.Match[str]) -> str:
+        ch = html.unescape(m[0])
+        return ch if not ch.isascii() else m[0]
+
+    return _ENTITY.sub(one, text) if "&" in text else text
+
+
+def mostly_garbled(text: str) -> bool:
+    """Whether about a third of the words are damaged, so that nothing else can be said of the text."""
+    return 3 * traces(text)[0] > len(text.split())
+
+
 def redecode(body: bytes, declared: str, text: str) -> tuple[str, str]:
     """The text under the encoding that fits the bytes best, and its name; the declared one where no other costs less."""
     best, name, least = text, declared, cost(text)
+    if declared == "utf-8" and "\ufffd" not in text:  # the bytes are what they claim; they were garbled before
+        return text, declared
+    try:
+        if declared == "utf-8":
+            body.decode(declared)
+            return text, declared  # the signs of loss are stored ones
+    except UnicodeDecodeError:
+        pass
     for other in FITS:
         if not least:
             break

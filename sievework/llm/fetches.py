@@ -52,14 +52,21 @@ def read(body: bytes | None, content_type: str | None, restore: bool = True) ->
     fitting, layers = name, 0
     if bad and restore:
         text, fitting = encoding.redecode(body, name, text)
-        text, layers = encoding.repair_text(text)
+        text, layers = encoding.repair_text(encoding.without_high_entities(text))
         page = pages.parse(text)
         main = mainbody.main_blocks(page)
     return Reading(text, name, where, page, main, bad, fitting, layers)
 
 
+def spam_of(r: Reading) -> tuple[float, float]:
+    """Share and redundancy; nothing can be said of a page whose words are lost."""
+    if r.garbled and encoding.mostly_garbled(r.main_text()):
+        return 0.0, 1.0
+    return spam.page_spam(r.page)
+
+
 def is_spam(r: Reading) -> bool:
-    return spam.page_spam(r.page)[0] > spam.SHARE
+    return spam_of(r)[0] > spam.SHARE
 
 
 def per_page(fetches: DataFrame, rows_of: Callable[[Reading], Iterable[tuple]], schema: str, restore: bool = True) -> DataFrame:
@@ -94,7 +101,7 @@ def keyword_pages(fetches: DataFrame) -> DataFrame:
     """Problem 1: fetch_id, spam_share, redundancy (lowest normalised ratio) of every html page."""
 
     def rows(r: Reading):
-        share, least = spam.page_spam(r.page)
+        share, least = spam_of(r)
         yield round(share, 4), round(least, 4)
 
     return per_page(fetches, rows, "spam_share double, redundancy double")
