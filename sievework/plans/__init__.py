@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, core, crawling, flows, search
+from . import content, core, crawling, flows, search, serving
 
-_MODULES = (core, crawling, content, search, flows)
+_MODULES = (core, crawling, content, search, serving, flows)
 
 
 def queries() -> dict:
