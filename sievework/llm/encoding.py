@@ -29,6 +29,8 @@ LAYERS = 4
 
 _RUN = re.compile("[^\x00-\x7f\\s\ufffd]{2,}")
 _LATIN_RUN = re.compile("[\x80-\u017f\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2,}")
+#: What the two bytes of a Cyrillic letter show as when read as cp1251, a lost no-break space among them.
+_CYRILLIC_PAIR = re.compile("[\u0420\u0421](?:[ \xa0](?=\\S)|[\u0402-\u040f\u0452-\u045f\xa4-\xbb\u2013-\u2122])")
 _BROKEN = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]+")
 _LOST_SPACE = re.compile("(?<=[a-z\xdf-\xff])[\xc2\xc3](?=\\s|$)")
 _CYRILLIC_AS_LATIN = re.compile("[\xc0-\xd6\xd8-\xf6\xf8-\xff]{4,}")
@@ -196,7 +198,7 @@ def without_high_entities(text: str) -> str:
 
 def mostly_garbled(text: str) -> bool:
     """Whether about a third of the words are damaged, so that nothing else can be said of the text."""
-    return 3 * traces(text)[0] > len(text.split())
+    return 3 * (traces(text)[0] + len(_CYRILLIC_PAIR.findall(text))) > len(text.split())
 
 
 def redecode(body: bytes, declared: str, text: str) -> tuple[str, str]:
