@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import path_prefixes, url_host
+from ..session import attach
 from .ranks import CHUNK, chunked_row_number
 
 # Fixed values of the crawl.
@@ -118,7 +119,7 @@ def consistent_owner(keys: DataFrame, key: str, nodes: list[str], virtual: int =
     ring = spark.createDataFrame([(n, v) for n in nodes for v in range(virtual)], "node string, v int")
     place = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
     points = ring.select("node", place(F.concat("node", F.lit("#"), F.col("v").cast("string"))).alias("at")).groupBy().agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("_ring"))
-    hashed = keys.withColumn("_h", place(F.col(key))).crossJoin(F.broadcast(points))  # one row
+    hashed = attach(keys.withColumn("_h", place(F.col(key))), points)
     after = F.filter("_ring", lambda p: p["at"] >= F.col("_h"))
     return hashed.withColumn("node", F.when(F.size(after) > 0, F.element_at(after, 1)["node"]).otherwise(F.element_at("_ring", 1)["node"])).drop("_h", "_ring")
 

@@ -31,9 +31,8 @@ def mean_ndcg(values: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def grid_search(posts: DataFrame, docs: DataFrame, queries: DataFrame, judgments: DataFrame, k: int = 10) -> DataFrame:
     """RK-18: k1, b, mean_ndcg of every combination, in one job: the grid is a fixed 20 rows."""
-    spark = posts.sparkSession
-    grid = spark.createDataFrame([(a, c) for a in GRID_K1 for c in GRID_B], "k1 double, b double")
-    hits = posts.select("term", "doc_id", "tf").join(F.broadcast(term_weights(posts, queries, docs)), "term").join(docs.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(grid))
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(c).alias("b")) for a in GRID_K1 for c in GRID_B]))
+    hits = posts.select("term", "doc_id", "tf").join(F.broadcast(term_weights(posts, queries, docs)), "term").join(docs.select("doc_id", "length"), "doc_id").withColumn("_g", grid).select("*", "_g.k1", "_g.b")
     mean = F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(F.lit(1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("length") / mean))
     scores = hits.groupBy("k1", "b", "query_id", "doc_id").agg(F.sum(part).alias("score"))

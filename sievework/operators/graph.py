@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import attach, materialise
 
 CUT_EVERY = 5
 
@@ -32,7 +32,7 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seed
     else:
         teleport = nodes.join(seeds.select("node", F.lit(1.0).alias("_s")).distinct(), "node", "left").select("node", F.coalesce("_s", F.lit(0.0)).alias("_t"))
     total = teleport.agg(F.sum("_t").alias("_all"), F.count("*").alias("_n"))
-    base = teleport.crossJoin(F.broadcast(total)).select("node", (F.col("_t") / F.col("_all")).alias("jump"))  # one row
+    base = attach(teleport, total).select("node", (F.col("_t") / F.col("_all")).alias("jump"))
     base = materialise(base.join(out_degree.withColumnRenamed("src", "node"), "node", "left"), "nodes")
     ranks = base.select("node", F.col("jump").alias("rank"))
     if start is not None:
@@ -42,9 +42,9 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seed
         dangling = known.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_d"))
         given = known.where("degree is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("_share"))
         received = edges.join(given, "src").groupBy("dst").agg(F.sum("_share").alias("_in")).withColumnRenamed("dst", "node")
-        ranks = base.join(received, "node", "left").crossJoin(F.broadcast(dangling)).select(
+        ranks = attach(base.join(received, "node", "left"), dangling).select(
             "node", (F.lit(1 - damping) * F.col("jump") + F.lit(damping) * (F.coalesce("_in", F.lit(0.0)) + F.col("_d") * F.col("jump"))).alias("rank")
-        )  # one row of dangling mass
+        )
         if (i + 1) % CUT_EVERY == 0:
             ranks = materialise(ranks, "ranks")
     return ranks
@@ -53,7 +53,7 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seed
 def log_rank(ranks: DataFrame) -> DataFrame:
     """RK-21: ln(1 + rank * nodes)."""
     n = ranks.agg(F.count("*").alias("_n"))
-    return ranks.crossJoin(F.broadcast(n)).select("node", "rank", F.log1p(F.col("rank") * F.col("_n")).alias("log_rank"))  # one row
+    return attach(ranks, n).select("node", "rank", F.log1p(F.col("rank") * F.col("_n")).alias("log_rank"))
 
 
 def hits(edges: DataFrame, iterations: int = 5) -> DataFrame:
@@ -62,7 +62,7 @@ def hits(edges: DataFrame, iterations: int = 5) -> DataFrame:
     nodes = nodes_of(edges)
     hubs = nodes.withColumn("hub", F.lit(1.0))
     authorities = None
-    scaled = lambda df, c: df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("_s")))).withColumn(c, F.col(c) / F.col("_s")).drop("_s")  # noqa: E731  one row
+    scaled = lambda df, c: attach(df, df.agg(F.sum(c).alias("_s"))).withColumn(c, F.col(c) / F.col("_s")).drop("_s")
     for i in range(iterations):
         authorities = scaled(edges.join(hubs.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum("hub").alias("authority")).withColumnRenamed("dst", "node"), "authority")
         hubs = scaled(edges.join(authorities.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.sum("authority").alias("hub")).withColumnRenamed("src", "node"), "hub")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import attach
 from .ranks import CHUNK, chunked_row_number, global_row_number
 
 BLOCK_DOCS = 128
@@ -69,7 +70,7 @@ def posting_blocks(posts: DataFrame, docs: DataFrame, size: int = BLOCK_DOCS) ->
     """IB-05: term, block, docs, first_doc, last_doc, max_saturation."""
     stats = docs.agg(F.avg("length").alias("_avg"))
     placed = numbered_postings(posts.select("term", "doc_id", "tf")).withColumn("block", F.floor(F.col("place") / size))
-    sized = placed.join(docs.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(stats))  # one row
+    sized = attach(placed.join(docs.select("doc_id", "length"), "doc_id"), stats)
     return sized.groupBy("term", "block").agg(
         F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max(saturation(F.col("tf"), F.col("length"), F.col("_avg"))).alias("max_saturation")
     )

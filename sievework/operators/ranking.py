@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import attach, spread
 from .index import idf, saturation
 from .ranks import top_k
 
@@ -37,7 +37,7 @@ def term_weights(posts: DataFrame, queries: DataFrame, docs: DataFrame) -> DataF
     wanted = queries.select("term").distinct()
     df = posts.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("_df"))
     size = docs.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    return queries.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "qtf", idf(F.col("_df"), F.col("_n")).alias("idf"), F.col("_avg").alias("avg_length"))
+    return attach(queries.join(df, "term"), size).select("query_id", "term", "qtf", idf(F.col("_df"), F.col("_n")).alias("idf"), F.col("_avg").alias("avg_length"))
 
 
 def scored(posts: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -100,7 +100,7 @@ def bm25f_scores(contributions: DataFrame, posts: DataFrame, total: DataFrame, k
     inner = F.sum(F.col("weight") * (c * (k1 + 1) / (c + k1) if per_field else c))
     pseudo = contributions.groupBy("query_id", "external_id", "term").agg(inner.alias("_p"), F.max("qtf").alias("qtf"))
     df = posts.join(F.broadcast(contributions.select("term").distinct()), "term").groupBy("term").agg(F.count_distinct("external_id").alias("_df"))
-    rows = pseudo.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))  # one row: _n
+    rows = attach(pseudo.join(F.broadcast(df), "term"), total)  # _n
     value = F.col("_p") if per_field else F.col("_p") * (k1 + 1) / (F.col("_p") + k1)
     return rows.groupBy("query_id", "external_id").agg(F.sum(F.col("qtf") * idf(F.col("_df"), F.col("_n")) * value).alias("score"))
 

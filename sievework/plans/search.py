@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, index, ranking, ranks
-from ..session import materialise, read_table
+from ..session import attach, materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,7 +124,7 @@ def bm25_multisegment_topk(spark, d):
     placed = posts.join(docs.select("doc_id", "segment", "length"), "doc_id").join(F.broadcast(queries), "term")
     df = placed.groupBy("segment", "term").agg(F.count_distinct("doc_id").alias("_df"))
     total = docs.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    rows = placed.join(F.broadcast(df), ["segment", "term"]).crossJoin(F.broadcast(total))  # one row
+    rows = attach(placed.join(F.broadcast(df), ["segment", "term"]), total)
     part = F.col("qtf") * index.idf(F.col("_df"), F.col("_n")) * index.saturation(F.col("tf"), F.col("length"), F.col("_avg"))
     scores = rows.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return _out(ranking.best(scores, 10))

@@ -163,7 +163,7 @@ select url from l where outcome = 'gone' union select url from fetch_results whe
     "cached_lookup": f"""with asked as (select {_host("url")} as host, offered_at as t, task_id from crawl_tasks where {_CRAWLABLE}),
 known as (select {_host("url")} as host, fetched_at as t, outcome from fetch_results),
 j as (select a.task_id, a.t, k.t as kt, k.outcome from asked a asof left join known k on a.host = k.host and a.t >= k.t where a.host is not null)
-select case when epoch_us(t) - epoch_us(kt) <= (case when outcome = 'fetched' then 14400 else 600 end) * 1000000 then outcome end as value, count(*)::bigint as offers from j group by 1""",
+select case when epoch_us(t) - epoch_us(kt) <= (case when outcome = 'fetched' then 14400 else 600 end) * 1000000::bigint then outcome end as value, count(*)::bigint as offers from j group by 1""",
     "discovery_split": """select domain, count_if(etag is not null or last_modified is not null)::bigint as refreshes, count_if(etag is null and last_modified is null)::bigint as discoveries
 from crawl_tasks where domain is not null group by 1""",
     "anchor_shuffle": f"""with r as (select distinct {_FETCH_DOMAIN} as target, source_url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as anchor from crawl_tasks where url is not null and source_url is not null)

@@ -62,6 +62,11 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """The columns of a one-row table on every row, as scalar subqueries: computed once, no join."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row: a scan of far fewer partitions than there are cores is dealt out over them; any other is left as it is."""
     sc = df.sparkSession.sparkContext

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index
+from ..session import attach
 from . import files
 
 TABLES = ("docs", "postings", "dictionary", "blocks")
@@ -106,6 +107,6 @@ def broken_rules(tables: dict[str, DataFrame]) -> DataFrame:
     mismatch = words.join(truth.select("term", F.col("doc_freq").alias("_d"), F.col("total_tf").alias("_t")), "term", "full").where("not (doc_freq <=> _d and total_tf <=> _t)")
     orphans = posts.join(docs.select("doc_id"), "doc_id", "left_anti")
     stats = docs.agg(F.avg("length").alias("_avg"))
-    over = posts.join(docs.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(stats)).withColumn("_s", index.saturation(F.col("tf"), F.col("length"), F.col("_avg"))).groupBy("term").agg(F.max("_s").alias("_s"))  # one row
+    over = attach(posts.join(docs.select("doc_id", "length"), "doc_id"), stats).withColumn("_s", index.saturation(F.col("tf"), F.col("length"), F.col("_avg"))).groupBy("term").agg(F.max("_s").alias("_s"))
     low = over.join(blocks.groupBy("term").agg(F.max("max_saturation").alias("_m")), "term", "left").where("_m is null or _s > _m + 1e-9")
     return count(mismatch, "dictionary").unionByName(count(orphans, "orphans")).unionByName(count(low, "bounds"))
