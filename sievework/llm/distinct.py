@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import attach
+
 #: A term in more than N / COMMON records is common. There are at most COMMON times the mean record size of them, whatever N.
 COMMON = 1000
 
@@ -48,7 +50,7 @@ def residual_idf(df: Column, cf: Column, n: Column) -> Column:
 def scored_terms(terms: DataFrame) -> DataFrame:
     """_id, term, tf, df, cf, residual, score for the rows of record_terms."""
     size = terms.groupBy("_id").agg(F.lit(1)).agg(F.count("*").cast("double").alias("_n"))
-    stats = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(size))  # one row
+    stats = attach(terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), size)
     stats = stats.withColumn("residual", residual_idf(F.col("df"), F.col("cf"), F.col("_n")))
     common = F.col("df") > F.col("_n") / COMMON
     # Common terms would be hot join keys; their table is bounded by COMMON times the mean record size and is broadcast.

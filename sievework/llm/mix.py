@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import attach, spread
 
 TOKENIZER = os.environ.get("SIEVEWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -165,7 +165,7 @@ def report(mix: DataFrame, plan_rows: list[dict]) -> DataFrame:
         "source string, target_share double, planned_share double, tokens_available bigint, max_repeats int",
     )
     all_used = used.agg(F.sum("tokens_used").alias("_all"))
-    joined = known.join(used, "source", "left").crossJoin(F.broadcast(all_used))  # one row
+    joined = attach(known.join(used, "source", "left"), all_used)
     share = F.round(F.coalesce(F.col("tokens_used"), F.lit(0)) / F.col("_all"), 6)
     return joined.select(
         "source", "target_share", F.round("planned_share", 6).alias("planned_share"), "tokens_available", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"),
