@@ -18,13 +18,13 @@ Defined results
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import delete_path, scratch_path
+from ..sources import files
 
 SCHEMA = "msg_key string, delivery_id bigint, part string"
 INDEX_SCHEMA = "msg_key string, part string"
@@ -58,29 +58,9 @@ class DeliveryStore:
 
     # -- manifest -----------------------------------------------------------------------------------
 
-    def _fs(self, name: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def manifest(self) -> dict:
         """{"parts": {part: folder}, "index": [folder]}; its size follows the number of days, not of messages."""
-        p, fs = self._fs("manifest.json")
-        if not fs.exists(p):
-            return {"parts": {}, "index": []}
-        return json.loads(self.spark.sparkContext.wholeTextFiles(p.toString()).values().first())
-
-    def _commit(self, manifest: dict) -> None:
-        tmp, fs = self._fs(f"manifest-{uuid.uuid4().hex}.tmp")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
-        target, _ = self._fs("manifest.json")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        if not fs.getScheme() == "file" and not hasattr(context, "FileContext"):  # pragma: no cover
-            raise RuntimeError("the file system offers no atomic rename")
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, target, options)
+        return files.read_json(self.spark, f"{self.path}/manifest.json") or {"parts": {}, "index": []}
 
     # -- reading ------------------------------------------------------------------------------------
 
@@ -125,7 +105,7 @@ class DeliveryStore:
         old = {manifest["parts"][p] + f"/part={p}" for p in touched if p in manifest["parts"]}
         manifest["parts"] |= {p: version for p in touched}
         manifest["index"].append(f"index-{version}")
-        self._commit(manifest)
+        files.write_json(self.spark, f"{self.path}/manifest.json", manifest)  # one atomic rename
         for folder in [f"staged-{version}", *sorted(old)]:  # after the flip nothing points there
             delete_path(self.spark, f"{self.path}/{folder}")
         return sorted(touched)

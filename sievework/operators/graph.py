@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import attach, materialise
 
-CUT_EVERY = 5
+CUT_EVERY = 2
 
 
 def edges_of(links: DataFrame, src: str, dst: str) -> DataFrame:
