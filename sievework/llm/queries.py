@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_key
-from ..session import read_table
+from ..session import materialise, read_table
 from . import distinct, fetches, langid, leak, loops, mix, seen, spam
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,8 @@ def p3_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
 def _both_tables(spark: SparkSession, d: str) -> list[DataFrame]:
     records = distinct.record_terms(read_table(spark, d, "input_documents"), "external_id", distinct.term_counts(F.col("terms")))
     fielded = distinct.record_terms(read_table(spark, d, "fielded_documents"), "external_id", distinct.field_counts(F.col("fields")))
-    return [records, fielded]
+    # scores read the terms several times: for their statistics, for the common terms, for the rare ones
+    return [materialise(records, "terms"), materialise(fielded, "terms")]
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
