@@ -30,6 +30,16 @@ def _seen(spark, d):
     return read_table(spark, d, "fetch_results").where(urls.crawlable(F.col("url"))).select(urls.native_canonical(F.col("url")).alias("key"))
 
 
+def _keyed_full(spark, d):
+    """_keyed by the full rules; addresses without a key are left out."""
+    rows = _tasks(spark, d).where("url is not null").select(urls.canonical_url(F.col("url")).alias("key"), F.col("task_id").alias("ord"), "domain", "url")
+    return rows.where("key is not null")
+
+
+def _seen_full(spark, d):
+    return read_table(spark, d, "fetch_results").where("url is not null").select(urls.canonical_url(F.col("url")).alias("key")).where("key is not null")
+
+
 def url_canonical_native(spark, d):
     return _tasks(spark, d).where(urls.crawlable(F.col("url"))).select("task_id", urls.native_canonical(F.col("url")).alias("canonical"))
 
@@ -68,6 +78,16 @@ def seen_stats(spark, d):
     return crawl.seen_stats(_keyed(spark, d), _seen(spark, d)).withColumn("absorption", F.round("absorption", 6))
 
 
+def seen_url_filter_full(spark, d):
+    """CR-04 by the canonical address, as no SQL can."""
+    return crawl.filter_new(_keyed_full(spark, d), _seen_full(spark, d))
+
+
+def seen_stats_full(spark, d):
+    """CR-05 by the canonical address."""
+    return crawl.seen_stats(_keyed_full(spark, d), _seen_full(spark, d)).withColumn("absorption", F.round("absorption", 6))
+
+
 def _budgets(spark, d):
     spent = read_table(spark, d, "fetch_results").select(urls.domain_of_host(urls.url_host(F.col("url"))).alias("domain")).where("domain is not null").groupBy("domain").agg(F.count("*").alias("spent"))
     authority = _tasks(spark, d).where("domain is not null").groupBy("domain").agg((F.avg("priority") / 1000).alias("authority"))
@@ -110,6 +130,11 @@ def frontier_enqueue(spark, d):
     return crawl.enqueue(_keyed(spark, d).select("domain", "key", "ord"), cap=200).select("domain", "key", "ord", "place")
 
 
+def frontier_enqueue_full(spark, d):
+    """CR-12 by the canonical address."""
+    return crawl.enqueue(_keyed_full(spark, d).select("domain", "key", "ord"), cap=200).select("domain", "key", "ord", "place")
+
+
 def frontier_lease(spark, d):
     """The oldest task of every host that is due: hosts wait a second for each fetch made of them."""
     queue = _tasks(spark, d).where("domain is not null and url is not null").select("domain", F.col("task_id").alias("ord"), "url")
@@ -173,9 +198,18 @@ def token_bucket_fold(spark, d):
     return crawl.token_bucket_fold(rows, rate=1 / 600)
 
 
+def _refreshes(keyed):
+    return keyed.where("domain is not null").groupBy("domain").agg(F.count("*").alias("offers"), F.count_distinct("key").alias("addresses")).withColumn("refresh_share", F.round(1 - F.col("addresses") / F.col("offers"), 6))
+
+
 def refresh_split(spark, d):
     """CR-38: per domain the offers, the distinct addresses and the share of refreshes."""
-    return _keyed(spark, d).where("domain is not null").groupBy("domain").agg(F.count("*").alias("offers"), F.count_distinct("key").alias("addresses")).withColumn("refresh_share", F.round(1 - F.col("addresses") / F.col("offers"), 6))
+    return _refreshes(_keyed(spark, d))
+
+
+def refresh_split_full(spark, d):
+    """CR-38 by the canonical address."""
+    return _refreshes(_keyed_full(spark, d))
 
 
 def message_events(spark, d):
@@ -341,6 +375,7 @@ QUERIES: dict[str, Query] = {
         url_canonical_native, url_canonical, url_identity, url_host_parts, url_path_prefixes, url_token_counts, seen_url_filter, seen_stats, site_budgets, site_budget_admission,
         trap_detect, trap_detect_sketch, trapped_urls, priority_bands, frontier_enqueue, frontier_lease, latest_validators, domain_ownership, fetch_outcomes, content_types,
         change_rates, outcome_runs, redirect_chains, aimd_fold, token_bucket_fold, refresh_split, message_events, stored_blobs, pagerank, log_rank, trustrank, hits, linked_components,
+        seen_url_filter_full, seen_stats_full, frontier_enqueue_full, refresh_split_full,
         anchor_aggregate, anchor_diversity, exact_dups, shingle_counts, simhash_values, near_duplicate_classes, canonical_election, second_sight_cache, cache_simulation,
         quota_per_minute, burn_rate, user_sessions, reformulation_sessions, day_over_day, corpus_health, freshness_sli, body_size_histogram,
     )
