@@ -88,10 +88,10 @@ def seen_stats_full(spark, d):
     return crawl.seen_stats(_keyed_full(spark, d), _seen_full(spark, d)).withColumn("absorption", F.round("absorption", 6))
 
 
-def _budgets(spark, d):
+def _budgets(spark, d, base=2):
     spent = read_table(spark, d, "fetch_results").select(urls.domain_of_host(urls.url_host(F.col("url"))).alias("domain")).where("domain is not null").groupBy("domain").agg(F.count("*").alias("spent"))
     authority = _tasks(spark, d).where("domain is not null").groupBy("domain").agg((F.avg("priority") / 1000).alias("authority"))
-    limit = crawl.budget_limit(F.col("authority"), base=2)
+    limit = crawl.budget_limit(F.col("authority"), base=base)
     return authority.join(spent, "domain", "left").select("domain", limit.alias("limit"), (limit - F.coalesce("spent", F.lit(0))).alias("left"))
 
 
@@ -99,9 +99,23 @@ def site_budgets(spark, d):
     return _budgets(spark, d)
 
 
-def site_budget_admission(spark, d):
+def _admitted(spark, d, budgets):
     offers = _tasks(spark, d).select("domain", F.col("task_id").alias("ord"))
-    return crawl.admit_within_budget(offers, _budgets(spark, d)).select("domain", F.col("ord").alias("task_id"), "place")
+    return crawl.admit_within_budget(offers, budgets).select("domain", F.col("ord").alias("task_id"), "place")
+
+
+def site_budget_admission(spark, d):
+    return _admitted(spark, d, _budgets(spark, d))
+
+
+def site_budgets_full(spark, d):
+    """CR-06 at the production base."""
+    return _budgets(spark, d, crawl.BUDGET_BASE)
+
+
+def site_budget_admission_full(spark, d):
+    """CR-08 at the production base."""
+    return _admitted(spark, d, _budgets(spark, d, crawl.BUDGET_BASE))
 
 
 def _traps(spark, d, **how):
@@ -131,8 +145,8 @@ def frontier_enqueue(spark, d):
 
 
 def frontier_enqueue_full(spark, d):
-    """CR-12 by the canonical address."""
-    return crawl.enqueue(_keyed_full(spark, d).select("domain", "key", "ord"), cap=200).select("domain", "key", "ord", "place")
+    """CR-12 by the canonical address, at the production cap."""
+    return crawl.enqueue(_keyed_full(spark, d).select("domain", "key", "ord")).select("domain", "key", "ord", "place")
 
 
 def frontier_lease(spark, d):
@@ -375,7 +389,7 @@ QUERIES: dict[str, Query] = {
         url_canonical_native, url_canonical, url_identity, url_host_parts, url_path_prefixes, url_token_counts, seen_url_filter, seen_stats, site_budgets, site_budget_admission,
         trap_detect, trap_detect_sketch, trapped_urls, priority_bands, frontier_enqueue, frontier_lease, latest_validators, domain_ownership, fetch_outcomes, content_types,
         change_rates, outcome_runs, redirect_chains, aimd_fold, token_bucket_fold, refresh_split, message_events, stored_blobs, pagerank, log_rank, trustrank, hits, linked_components,
-        seen_url_filter_full, seen_stats_full, frontier_enqueue_full, refresh_split_full,
+        seen_url_filter_full, seen_stats_full, frontier_enqueue_full, refresh_split_full, site_budgets_full, site_budget_admission_full,
         anchor_aggregate, anchor_diversity, exact_dups, shingle_counts, simhash_values, near_duplicate_classes, canonical_election, second_sight_cache, cache_simulation,
         quota_per_minute, burn_rate, user_sessions, reformulation_sessions, day_over_day, corpus_health, freshness_sli, body_size_histogram,
     )

@@ -115,17 +115,25 @@ def discovery_split(spark, d):
     return serving.discovery_split(read_table(spark, d, "crawl_tasks"), F.col("etag").isNotNull() | F.col("last_modified").isNotNull())
 
 
-def anchor_shuffle(spark, d):
+def _anchor_links(spark, d):
     t = read_table(spark, d, "crawl_tasks").where("url is not null and source_url is not null")
-    rows = t.select(urls.domain_of_host(urls.url_host(F.col("url"))).alias("target"), F.col("source_url").alias("source"), urls.url_path(F.col("url")).alias("anchor")).distinct()
-    return serving.anchor_shuffle(rows, 50).groupBy("target").agg(F.count("*").alias("anchors"))
+    return t.select(urls.domain_of_host(urls.url_host(F.col("url"))).alias("target"), F.col("source_url").alias("source"), urls.url_path(F.col("url")).alias("anchor")).distinct()
+
+
+def anchor_shuffle(spark, d):
+    return serving.anchor_shuffle(_anchor_links(spark, d), 50).groupBy("target").agg(F.count("*").alias("anchors"))
+
+
+def anchor_shuffle_full(spark, d):
+    """IB-24 at the production number of links a target."""
+    return serving.anchor_shuffle(_anchor_links(spark, d)).groupBy("target").agg(F.count("*").alias("anchors"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         host_collapse, deny_overlay, staged_rerank, layered_postings, click_model, snippets, interleaved, response_envelopes, priority_scores, confirmed_gone, redirect_canonicals,
-        cached_lookup, discovery_split, anchor_shuffle,
+        cached_lookup, discovery_split, anchor_shuffle, anchor_shuffle_full,
     )
 }
 

@@ -41,3 +41,21 @@ def test_other_spellings_of_a_page_are_one_key(spark, crawled):
     assert tuple(q["seen_stats_full"](spark, crawled).first()) == (13, 8, 2, round(1 - 6 / 13, 6))
     assert sorted((r.domain, r.ord) for r in q["frontier_enqueue_full"](spark, crawled).collect()) == [("m.test", 10), ("x.test", 1), ("x.test", 2), ("x.test", 4), ("x.test", 6), ("x.test", 8), ("x.test", 9)]
     assert {r.domain: (r.offers, r.addresses) for r in q["refresh_split_full"](spark, crawled).collect()} == {"m.test": (2, 1), "x.test": (10, 6)}
+
+
+# --- production limits -------------------------------------------------------------------------------
+
+
+def test_limits_cut_where_production_does(spark, tmp_path):
+    import math
+
+    tasks = [(n, "hot.test", f"https://hot.test/{n}", f"https://s.test/{n}", 0) for n in range(10_005)] + [(20_000, "cold.test", "https://cold.test/a", "https://s.test/a", 500)]
+    fetched = [("https://hot.test/x",)] * 3
+    d = write(spark, tmp_path / "limits", crawl_tasks=(tasks, "task_id long, domain string, url string, source_url string, priority int"), fetch_results=(fetched, "url string"))
+    q = plans.queries()
+    queued = q["frontier_enqueue_full"](spark, d).collect()
+    assert sorted(r.ord for r in queued) == [*range(10_000), 20_000] and max(r.place for r in queued) == 9_999
+    assert {r.target: r.anchors for r in q["anchor_shuffle_full"](spark, d).collect()} == {"hot.test": 1000, "cold.test": 1}
+    hot, cold = math.floor(500 * math.log(2)), math.floor(500 * math.log(502))
+    assert {tuple(r) for r in q["site_budgets_full"](spark, d).collect()} == {("hot.test", hot, hot - 3), ("cold.test", cold, cold)}
+    assert sorted(r.task_id for r in q["site_budget_admission_full"](spark, d).collect()) == [*range(hot - 3), 20_000]
