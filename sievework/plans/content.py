@@ -24,21 +24,32 @@ def _valid(spark, d):
     return _fetches(spark, d).where("is_valid_utf8(cast(body as string))").withColumn("html", F.expr("cast(body as string)"))
 
 
+def _decoded(spark, d):
+    """Every body as text, in the project's order of charsets; broken bytes become U+FFFD."""
+    from ..functions.charset import decode
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["fetch_id", "url"]].assign(html=[decode(bytes(b), k)[0] for b, k in zip(pdf["body"], pdf["content_type"])])
+
+    rows = _fetches(spark, d).where("body is not null")
+    return spread(rows).mapInPandas(run, f"fetch_id {dict(rows.dtypes)['fetch_id']}, url string, html string")
+
+
 def _parsed(spark, d):
     return html.parsed_pages(_fetches(spark, d))
 
 
-def page_titles(spark, d):
-    return _valid(spark, d).select("fetch_id", html.title_of(F.col("html")).alias("title"))
+def _titles(pages):
+    return pages.select("fetch_id", html.title_of(F.col("html")).alias("title"))
 
 
-def lang_attributes(spark, d):
-    return _valid(spark, d).groupBy(html.lang_attribute(F.col("html")).alias("lang")).agg(F.count("*").alias("pages"))
+def _langs(pages):
+    return pages.groupBy(html.lang_attribute(F.col("html")).alias("lang")).agg(F.count("*").alias("pages"))
 
 
-def render_decisions(spark, d):
-    """HT-27..30 by columns: script weight, framework marker, visible text, audit sample."""
-    pages = _valid(spark, d).where("html like '%<body%'")
+def _decisions(pages):
+    pages = pages.where("html like '%<body%'")
     scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
     weight = F.aggregate(scripts, F.lit(0).cast("bigint"), lambda a, s: a + F.octet_length(s)) + 8192 * F.regexp_count("html", F.lit(r"(?i)<script[^>]*\ssrc="))
     visible = F.length(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " "), r"<[^>]*>", " "), r"\s+", " ")))
@@ -46,6 +57,34 @@ def render_decisions(spark, d):
     return pages.select("fetch_id", weight.cast("bigint").alias("script_weight"), visible.cast("bigint").alias("visible_chars"), html.render_decision(visible, weight, html.framework_marker(F.col("html")), audit).alias("decision"))
 
 
+def page_titles(spark, d):
+    return _titles(_valid(spark, d))
+
+
+def page_titles_full(spark, d):
+    """HT-12 of pages in any charset, as no SQL can."""
+    return _titles(_decoded(spark, d))
+
+
+def lang_attributes(spark, d):
+    return _langs(_valid(spark, d))
+
+
+def lang_attributes_full(spark, d):
+    """HT-15 of pages in any charset."""
+    return _langs(_decoded(spark, d))
+
+
+def render_decisions(spark, d):
+    """HT-27..30 by columns: script weight, framework marker, visible text, audit sample."""
+    return _decisions(_valid(spark, d))
+
+
+def render_decisions_full(spark, d):
+    """HT-27..30 of pages in any charset."""
+    return _decisions(_decoded(spark, d))
+
+
 def charset_sources(spark, d):
     """HT-03: encoding and where it was found, of every html page."""
     from ..functions.charset import detect
@@ -138,7 +177,7 @@ def spelling_candidates(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        page_titles, lang_attributes, render_decisions, charset_sources, page_fields, page_links, discovered_urls, block_classes, template_texts, extracted_text,
+        page_titles, page_titles_full, lang_attributes, lang_attributes_full, render_decisions, render_decisions_full, charset_sources, page_fields, page_links, discovered_urls, block_classes, template_texts, extracted_text,
         word_counts, word_positions, char_bigrams, analyzed_terms, analyzed_lengths, spelling_candidates,
     )
 }

@@ -59,3 +59,21 @@ def test_limits_cut_where_production_does(spark, tmp_path):
     hot, cold = math.floor(500 * math.log(2)), math.floor(500 * math.log(502))
     assert {tuple(r) for r in q["site_budgets_full"](spark, d).collect()} == {("hot.test", hot, hot - 3), ("cold.test", cold, cold)}
     assert sorted(r.task_id for r in q["site_budget_admission_full"](spark, d).collect()) == [*range(hot - 3), 20_000]
+
+
+# --- charsets ----------------------------------------------------------------------------------------
+
+
+def test_pages_in_any_charset(spark, tmp_path):
+    page = '<html lang="ru"><head><title>%s</title></head><body>x</body></html>'
+    pages = {
+        1: ("\u041f\u0440\u0438\u0432\u0435\u0442", "windows-1251", "text/html; charset=windows-1251"), 2: ("caf\u00e9", "windows-1252", "text/html"),
+        3: ("\u65e5\u672c", "shift_jis", "text/html; charset=Shift_JIS"), 4: ("na\u00efve", "utf-8", None), 5: ("\u0414\u0430", "utf-16", "text/html"),
+    }
+    fetches = [(n, f"https://x.test/{n}", {} if kind is None else {"Content-Type": kind}, bytearray((page % title).encode(cs))) for n, (title, cs, kind) in pages.items()]
+    fetches += [(6, "https://x.test/6", {"content-type": "text/html; charset=utf-8"}, bytearray(b"<html><title>a\xffb</title><body>" + b"react" + b"</body>")), (7, "https://x.test/7", {}, None)]
+    d = write(spark, tmp_path / "pages", fetch_results=(fetches, "fetch_id long, url string, headers map<string,string>, body binary"))
+    q = plans.queries()
+    assert {r.fetch_id: r.title for r in q["page_titles_full"](spark, d).collect()} == {n: t for n, (t, _, _) in pages.items()} | {6: "a\u00ffb"}
+    assert {r.lang: r.pages for r in q["lang_attributes_full"](spark, d).collect()} == {"ru": 5, None: 1}
+    assert {r.fetch_id for r in q["render_decisions_full"](spark, d).collect()} == {1, 2, 3, 4, 5, 6}
