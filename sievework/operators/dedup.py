@@ -1,8 +1,10 @@
-"""Duplicates: exact by normalised text, near by SimHash with banding, and the election of one copy.
+"""Duplicates: exact by normalised text, near by Jaccard value of word shingles or by SimHash with banding, and the election of one copy.
 
-Exact copies are collapsed before any pair is made; near-duplicate pairs are
-made between different texts only, band by band, and every document gets the id
-of its class.
+Texts with the same shingles are collapsed before any pair is made. Pairs of
+Jaccard value 0.8 or more are found exactly: both sets of such a pair have one of
+their first shingles in common, whatever order all sets are read in (here rare
+ones first), and every pair so met is verified. Every document gets the id of its
+class. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ MAX_DISTANCE = 3
 HYSTERESIS = 1.15
 #: A band value shared by more different texts than this is split by a second band before pairs are made.
 WIDE_BAND = 64
+#: Pairs have this Jaccard value at least, as a fraction.
+NEAR = (4, 5)
+#: Shingle frequencies are kept by so many buckets, a table of fixed size; they only set the order.
+BUCKETS = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -98,8 +104,8 @@ def near_pairs(hashes: DataFrame, id_col: str, max_distance: int = MAX_DISTANCE)
     return left.join(right, ["band", "value", "_sub"]).where((F.col("a") < F.col("b")) & (distance <= max_distance)).select("a", "b", distance.cast("int").alias("distance")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """IB-29: id, class_id (its smallest id), links (pairs between different texts that its own text is in)."""
+def simhash_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """IB-28/29 by SimHash alone: id, class_id (its smallest id), links (pairs between different texts that its own text is in)."""
     hashed = materialise(simhashes(docs, id_col, text_col), "simhash")
     one = materialise(hashed.where("simhash is not null").groupBy("simhash").agg(F.min(id_col).alias(id_col)), "representatives")
     pairs = materialise(near_pairs(one, id_col), "pairs")
@@ -109,6 +115,58 @@ def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> DataF
     return members.select(id_col, F.coalesce("component", "_r", F.col(id_col)).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, _key of its text, _set: hashes of its distinct shingles, _sig of the set; both null for texts without words."""
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    hashed = F.array_sort(F.array_distinct(F.transform(shingles(words), lambda x: F.xxhash64(x))))
+    rows = spread(docs.select(id_col, text_col)).select(id_col, text_key(F.col(text_col)).alias("_key"), hashed.alias("_set"))
+    rows = rows.withColumn("_set", F.when(F.size("_set") > 0, F.col("_set")))
+    return rows.withColumn("_sig", F.sha2(F.array_join(F.col("_set").cast("array<string>"), ","), 256))
+
+
+def similar_sets(sets: DataFrame) -> DataFrame:
+    """a, b, common of all pairs of sets with a Jaccard value of NEAR or more. sets: _r, _set, _n, each set once."""
+    num, den = NEAR
+    bucket = F.col("_x").bitwiseAND(BUCKETS - 1)
+    counts = sets.select(F.explode("_set").alias("_x")).groupBy(bucket.cast("int").alias("_b")).agg(F.count("*").alias("_c")).toPandas()
+    rank = np.zeros(BUCKETS, np.uint8)
+    rank[counts["_b"].to_numpy(np.int64)] = np.minimum(255, 8 * np.log2(counts["_c"].to_numpy(np.float64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            firsts = []
+            for x in pdf["_set"]:
+                x = np.asarray(x, np.int64)
+                firsts.append(x[np.lexsort((x, rank[x & (BUCKETS - 1)]))[: len(x) - -(-num * len(x) // den) + 1]])
+            yield pdf[["_r", "_n"]].assign(_first=firsts)
+
+    kind = dict(sets.dtypes)["_r"]
+    firsts = sets.select("_r", "_n", "_set").mapInPandas(run, f"_r {kind}, _n int, _first array<bigint>")
+    keyed = materialise(firsts.select("_r", "_n", F.posexplode("_first").alias("_at", "_x")), "firsts")
+    left, right = (keyed.select("_x", F.col("_r").alias(r), F.col("_n").alias("_n" + r), F.col("_at").alias("_at" + r)) for r in "ab")
+    # at the first common shingle of a pair no more than the rest of either set can still be common
+    enough = (num + den) * F.least(F.col("_na") - F.col("_ata"), F.col("_nb") - F.col("_atb")) >= num * (F.col("_na") + F.col("_nb"))
+    met = left.join(right, "_x").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+    own = lambda r: sets.select(F.col("_r").alias(r), F.col("_set").alias("_s" + r))
+    both = met.join(own("a"), "a").join(own("b"), "b").withColumn("common", F.size(F.array_intersect("_sa", "_sb")))
+    return both.where((num + den) * F.col("common") >= num * (F.size("_sa") + F.size("_sb"))).select("a", "b", "common")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """IB-29 by the Jaccard value of 5-word shingles: id, class_id (its smallest id), links (other texts that its own text is as near to as NEAR)."""
+    rows = materialise(shingle_sets(docs, id_col, text_col), "shingles")
+    known = rows.where("_sig is not null")
+    texts = known.groupBy("_sig", "_key").agg(F.min(id_col).alias("_r")).groupBy("_sig").agg(F.min("_r").alias("_r"), F.count("*").alias("_texts"))
+    one = materialise(texts, "representatives")
+    sets = materialise(known.groupBy("_sig").agg(F.any_value("_set").alias("_set")).join(one, "_sig").select("_r", "_set", F.size("_set").alias("_n")), "sets")
+    pairs = materialise(similar_sets(sets), "pairs")
+    members = one.select("_r", "_texts")
+    ends = pairs.select(F.col("a").alias("_r"), F.col("b").alias("_o")).union(pairs.select("b", "a")).join(members.select(F.col("_r").alias("_o"), "_texts"), "_o").groupBy("_r").agg(F.sum("_texts").alias("_others"))
+    classes = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("_r"), "component")
+    found = one.join(classes, "_r", "left").join(ends, "_r", "left").select("_sig", F.coalesce("component", "_r").alias("class_id"), (F.col("_texts") - 1 + F.coalesce("_others", F.lit(0))).alias("links"))
+    return rows.select(id_col, "_sig").join(found, "_sig", "left").select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def elect(members: DataFrame, class_col: str, id_col: str, score: str, incumbent: str | None = None) -> DataFrame:
     """One id per class: the highest score, the smaller id of equal ones; an incumbent stays unless beaten by 15 %."""
     best = F.max_by(F.struct(F.col(id_col), F.col(score)), F.struct(F.col(score), -F.col(id_col))).alias("_b")

@@ -318,6 +318,11 @@ def near_duplicate_classes(spark, d):
     return dedup.near_duplicate_classes(read_table(spark, d, "documents"), "doc_id", "text")
 
 
+def simhash_classes(spark, d):
+    """The same by SimHash distance alone, for reference."""
+    return dedup.simhash_classes(read_table(spark, d, "documents"), "doc_id", "text")
+
+
 def canonical_election(spark, d):
     """Of the exact copies the longest text stays, the earlier of equal ones."""
     docs = read_table(spark, d, "documents")
@@ -390,7 +395,7 @@ QUERIES: dict[str, Query] = {
         trap_detect, trap_detect_sketch, trapped_urls, priority_bands, frontier_enqueue, frontier_lease, latest_validators, domain_ownership, fetch_outcomes, content_types,
         change_rates, outcome_runs, redirect_chains, aimd_fold, token_bucket_fold, refresh_split, message_events, stored_blobs, pagerank, log_rank, trustrank, hits, linked_components,
         seen_url_filter_full, seen_stats_full, frontier_enqueue_full, refresh_split_full, site_budgets_full, site_budget_admission_full,
-        anchor_aggregate, anchor_diversity, exact_dups, shingle_counts, simhash_values, near_duplicate_classes, canonical_election, second_sight_cache, cache_simulation,
+        anchor_aggregate, anchor_diversity, exact_dups, shingle_counts, simhash_values, near_duplicate_classes, simhash_classes, canonical_election, second_sight_cache, cache_simulation,
         quota_per_minute, burn_rate, user_sessions, reformulation_sessions, day_over_day, corpus_health, freshness_sli, body_size_histogram,
     )
 }

@@ -77,3 +77,42 @@ def test_pages_in_any_charset(spark, tmp_path):
     assert {r.fetch_id: r.title for r in q["page_titles_full"](spark, d).collect()} == {n: t for n, (t, _, _) in pages.items()} | {6: "a\u00ffb"}
     assert {r.lang: r.pages for r in q["lang_attributes_full"](spark, d).collect()} == {"ru": 5, None: 1}
     assert {r.fetch_id for r in q["render_decisions_full"](spark, d).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+# --- near duplicates ---------------------------------------------------------------------------------
+
+
+def test_jaccard_classes_equal_brute_force(spark):
+    import itertools
+    import random
+    import re
+
+    from sievework.operators import dedup
+
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(30)]  # a passage that many texts hold
+    texts, n = {}, 0
+    for _ in range(15):
+        words = shared + [f"w{rng.randrange(300)}" for _ in range(rng.choice([40, 90, 150]))]
+        for changes in (0, 1, 2, 3, 4, 6):
+            v = list(words)
+            for at in rng.sample(range(len(v)), changes):
+                v[at] = f"c{rng.randrange(10_000)}"
+            texts[n] = " ".join(v)
+            n += 1
+    texts |= {500: texts[0], 501: texts[0].upper() + "!", 502: "a b c", 503: "A, b c", 504: None, 505: "", 506: "..."}
+    words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    key = {i: " ".join((t or "").lower().split()) for i, t in texts.items()}
+    near = lambda a, b: bool(sets[a] and sets[b]) and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    links = {i: len({key[j] for j in texts if key[j] != key[i] and near(i, j)}) for i in texts}
+    label = {i: i for i in texts}
+    for _ in texts:
+        for a, b in itertools.combinations(texts, 2):
+            if near(a, b):
+                label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.links) for r in dedup.near_duplicate_classes(df, "doc_id", "text").collect()}
+    assert got == {i: (label[i], links[i]) for i in texts}
+    old = {r.doc_id: r.class_id for r in dedup.simhash_classes(df, "doc_id", "text").collect()}
+    assert sum(links.values()) > 50 and any(old[i] != label[i] for i in texts)
