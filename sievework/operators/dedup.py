@@ -72,16 +72,17 @@ def simhash64(text: str | None) -> int | None:
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
-def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, simhash."""
+def simhashes(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """id, simhash; with the key of the text where keyed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_id"], "simhash": pd.array([simhash64(t) for t in pdf["_t"]], dtype="Int64")})
+            yield pdf.drop(columns="_t").assign(simhash=pd.array([simhash64(t) for t in pdf["_t"]], dtype="Int64"))
 
     kind = dict(docs.dtypes)[id_col]
-    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))).mapInPandas(run, f"_id {kind}, simhash bigint")
-    return rows.select(F.col("_id").alias(id_col), "simhash")
+    key = [text_key(F.col(text_col)).alias("_key")] if keyed else []
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *key)).mapInPandas(run, f"_id {kind}, {'_key string, ' if keyed else ''}simhash bigint")
+    return rows.withColumnRenamed("_id", id_col)
 
 
 def near_pairs(hashes: DataFrame, id_col: str, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -105,14 +106,17 @@ def near_pairs(hashes: DataFrame, id_col: str, max_distance: int = MAX_DISTANCE)
 
 
 def simhash_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """IB-28/29 by SimHash alone: id, class_id (its smallest id), links (pairs between different texts that its own text is in)."""
-    hashed = materialise(simhashes(docs, id_col, text_col), "simhash")
-    one = materialise(hashed.where("simhash is not null").groupBy("simhash").agg(F.min(id_col).alias(id_col)), "representatives")
+    """IB-28/29 by SimHash alone: id, class_id (its smallest id), links (other texts of its own hash and of the linked hashes)."""
+    hashed = materialise(simhashes(docs, id_col, text_col, keyed=True), "simhash")
+    texts = hashed.where("simhash is not null").groupBy("simhash", "_key").agg(F.min(id_col).alias(id_col))
+    one = materialise(texts.groupBy("simhash").agg(F.min(id_col).alias(id_col), F.count("*").alias("_texts")), "representatives")
     pairs = materialise(near_pairs(one, id_col), "pairs")
-    ends = pairs.select(F.col("a").alias("_r")).union(pairs.select("b")).groupBy("_r").agg(F.count("*").alias("links"))
+    sizes = one.select(F.col(id_col).alias("_o"), F.col("_texts").alias("_t"))
+    ends = pairs.select(F.col("a").alias("_r"), F.col("b").alias("_o")).union(pairs.select("b", "a")).join(sizes, "_o").groupBy("_r").agg(F.sum("_t").alias("_others"))
     classes = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("_r"), "component")
     members = hashed.join(one.withColumnRenamed(id_col, "_r"), "simhash", "left").join(classes, "_r", "left").join(ends, "_r", "left")
-    return members.select(id_col, F.coalesce("component", "_r", F.col(id_col)).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    links = F.coalesce(F.col("_texts") - 1, F.lit(0)) + F.coalesce("_others", F.lit(0))
+    return members.select(id_col, F.coalesce("component", "_r", F.col(id_col)).alias("class_id"), links.alias("links"))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -116,3 +116,15 @@ def test_jaccard_classes_equal_brute_force(spark):
     assert got == {i: (label[i], links[i]) for i in texts}
     old = {r.doc_id: r.class_id for r in dedup.simhash_classes(df, "doc_id", "text").collect()}
     assert sum(links.values()) > 50 and any(old[i] != label[i] for i in texts)
+
+
+def test_links_count_texts_behind_a_hash(spark):
+    from sievework.operators import dedup
+
+    base = [f"w{i}" for i in range(400)]
+    near = next(t for i in range(400) if 0 < bin((dedup.simhash64(t := " ".join(base[:i] + ["changed"] + base[i + 1 :])) ^ dedup.simhash64(" ".join(base))) & (2**64 - 1)).count("1") <= 3)
+    text = " ".join(base)
+    data = [(1, text), (2, text.upper()), (3, text + "!"), (4, text.replace(" ", ", ")), (5, near), (6, near + "."), (7, "far away from all of these"), (8, None)]
+    got = {r.doc_id: (r.class_id, r.links) for r in dedup.simhash_classes(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text").collect()}
+    # three texts (case is no difference) with one hash, two with the other
+    assert got == {**{i: (1, 4) for i in range(1, 7)}, 7: (7, 0), 8: (8, 0)}
