@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import crawl, index, ranks
-from ..session import read_table, spread
+from ..session import attach, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A term in this share of the records at most, or in one, is rare.
+RARE_SHARE = 0.0001
+
 
 def _fetches(spark, d):
     f = read_table(spark, d, "fetch_results")
@@ -167,10 +170,12 @@ def analyzed_lengths(spark, d):
 
 
 def spelling_candidates(spark, d):
-    """Rare words of the indexed terms and their frequent neighbours at one edit."""
-    words = index.dictionary(index.postings(index.records(read_table(spark, d, "input_documents")), "external_id"))
-    rare = words.where("doc_freq = 1 and length(term) >= 6").select(F.col("term").alias("word"))
-    near = text.edit_candidates(rare, words.where("doc_freq > 1"), 1)
+    """Rare words of the indexed terms, by their share of the records, and their frequent neighbours within two edits."""
+    docs = index.records(read_table(spark, d, "input_documents"))
+    limit = docs.agg(F.greatest(F.lit(1), F.floor(F.count("*") * RARE_SHARE)).alias("_most"))
+    words = attach(index.dictionary(index.postings(docs, "external_id")), limit)
+    rare = words.where("doc_freq <= _most").select(F.col("term").alias("word"))
+    near = text.edit_candidates(rare, words.where("doc_freq > _most"))
     return ranks.top_k(near, ["word"], [F.asc("distance"), F.desc("doc_freq"), F.asc("candidate")], 3, F.col("candidate")).select("word", "candidate", "distance", "doc_freq")
 
 

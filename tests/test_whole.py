@@ -128,3 +128,18 @@ def test_links_count_texts_behind_a_hash(spark):
     got = {r.doc_id: (r.class_id, r.links) for r in dedup.simhash_classes(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text").collect()}
     # three texts (case is no difference) with one hash, two with the other
     assert got == {**{i: (1, 4) for i in range(1, 7)}, 7: (7, 0), 8: (8, 0)}
+
+
+# --- spelling ----------------------------------------------------------------------------------------
+
+
+def test_short_words_and_two_edits_are_asked(spark, tmp_path):
+    often = [(f"d{i}", {"house": [0], "market": [1], "tree": [2]}, 0.5, 3) for i in range(5)]
+    rare = [("r1", {"hose": [0], "mrakte": [1], "zzzzzzzz": [2]}, 0.5, 3)]
+    d = write(spark, tmp_path / "spelling", input_documents=(often + rare, "external_id string, terms map<string,array<int>>, static_rank double, length int"))
+    got = {(r.word, r.candidate, r.distance, r.doc_freq) for r in plans.queries()["spelling_candidates"](spark, d).collect()}
+    assert {("hose", "house", 1, 5)} <= got and not any(w == "zzzzzzzz" for w, *_ in got)
+    typo = [("r1", {"markte": [0], "markat": [1], "mrket": [2]}, 0.5, 3)]
+    d = write(spark, tmp_path / "spelling2", input_documents=(often + typo, "external_id string, terms map<string,array<int>>, static_rank double, length int"))
+    got = {(r.word, r.candidate, r.distance) for r in plans.queries()["spelling_candidates"](spark, d).collect()}
+    assert got == {("markte", "market", 2), ("markat", "market", 1), ("mrket", "market", 1)}
