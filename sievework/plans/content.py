@@ -159,6 +159,14 @@ def char_bigrams(spark, d):
     return rows.groupBy("pair").agg(F.count("*").alias("n"))
 
 
+def char_bigrams_full(spark, d):
+    """TX-07 over all documents: pairs within runs of Chinese and Japanese characters, whatever the label."""
+    ranges = "".join(f"{chr(low)}-{chr(high)}" for low, high, script in text.SCRIPT_RANGES if script == "cjk")
+    runs = F.regexp_extract_all(F.regexp_replace("text", r"\s+", ""), F.lit(rf"([{ranges}&&[\p{{L}}\p{{N}}]]+)"), F.lit(1))
+    rows = read_table(spark, d, "documents").select(F.explode(runs).alias("run")).select(F.explode(text.native_bigrams(F.col("run"))).alias("pair"))
+    return rows.groupBy("pair").agg(F.count("*").alias("n"))
+
+
 def analyzed_terms(spark, d):
     """TX-01: terms of all documents by kind."""
     return text.analyzed(read_table(spark, d, "documents")).groupBy("term", "kind").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("docs"))
@@ -183,7 +191,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         page_titles, page_titles_full, lang_attributes, lang_attributes_full, render_decisions, render_decisions_full, charset_sources, page_fields, page_links, discovered_urls, block_classes, template_texts, extracted_text,
-        word_counts, word_positions, char_bigrams, analyzed_terms, analyzed_lengths, spelling_candidates,
+        word_counts, word_positions, char_bigrams, char_bigrams_full, analyzed_terms, analyzed_lengths, spelling_candidates,
     )
 }
 

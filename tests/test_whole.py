@@ -143,3 +143,17 @@ def test_short_words_and_two_edits_are_asked(spark, tmp_path):
     d = write(spark, tmp_path / "spelling2", input_documents=(often + typo, "external_id string, terms map<string,array<int>>, static_rank double, length int"))
     got = {(r.word, r.candidate, r.distance) for r in plans.queries()["spelling_candidates"](spark, d).collect()}
     assert got == {("markte", "market", 2), ("markat", "market", 1), ("mrket", "market", 1)}
+
+
+# --- labels ------------------------------------------------------------------------------------------
+
+
+def test_labels_choose_no_documents(spark, tmp_path):
+    from collections import Counter
+
+    texts = [(1, "ja", "日本 語。カー"), (2, None, "日本"), (3, "en", "He said 東京 x 語, twice. A museum."), (4, "de", "Nothing. The library is open."), (5, "zh", None)]
+    d = write(spark, tmp_path / "labels", documents=(texts, "doc_id long, lang string, text string"))
+    got = {r.pair: r.n for r in plans.queries()["char_bigrams_full"](spark, d).collect()}
+    assert got == Counter(["日本", "本語", "カー", "日本", "東京", "語"])
+    found = {r.doc_id: r.snippet for r in plans.queries()["snippets"](spark, d).collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and found[4] == "The [library] is open." and found[3] == "A [museum]."
