@@ -165,9 +165,9 @@ def languages(fetches: DataFrame, filters: langid.Filters) -> DataFrame:
 
 
 def relabelled(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Segments of the fetches whose label is missing or wrong, or whose body mixes languages. labels: fetch_id, language."""
+    """Segments of the fetches whose label is missing or wrong, or whose body mixes languages. labels: fetch_id, language. Segments that no language explains are left out."""
     primary = F.lower(F.split_part(F.regexp_replace(F.trim("language"), "_", "-"), F.lit("-"), F.lit(1)))
     known = labels.where("fetch_id is not null").select(F.col("fetch_id").cast("bigint").alias("fetch_id"), primary.alias("_label")).dropDuplicates(["fetch_id"])
-    both = found.where("not excluded").join(known, "fetch_id")
+    both = found.where(~F.col("excluded") & (F.col("confidence") >= langid.VERDICT)).join(known, "fetch_id")
     wrong = F.col("_label").isNull() | F.col("_label").isin("", "und") | (F.col("_label") != F.col("main_language"))
     return both.where(wrong | (F.col("segments") > 1)).select("fetch_id", "segment_no", "language", "confidence", F.col("_label").alias("label"))

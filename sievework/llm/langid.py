@@ -6,12 +6,19 @@ and-ed. The popcounts of a sentence per language, corrected for each slice's
 rate of false positives, decide its language. A sentence with little evidence
 (numbers, code, names) or with a small lead keeps the language around it.
 
-The filters are fitted on a bounded sample of labelled rows (TRAIN_ROWS read,
-PER_LANGUAGE used of each label); wrong labels are outvoted, as an n-gram counts
-for a language only where it is about as frequent as anywhere.
+The finished runs of sentences are judged once more by their own evidence: a run
+whose confidence, less the error that so few n-grams leave, lies under FLOOR is
+no segment; it joins the stronger of its neighbours.
+
+The filters are fitted on a bounded sample of labelled rows: of each label about
+PER_LANGUAGE rows, drawn by a hash of the text, of at most SAMPLE_CHARS
+characters each; the sizes of the labels are counted over all rows. Wrong labels
+are outvoted, as an n-gram counts for a language only where it is about as
+frequent as anywhere.
 
 Defined results
-* null or empty text: no segments. Texts without letters: no segments.
+* null or empty text: no segments. Texts without letters, or without n-grams of any language: no segments.
+* a text all of whose runs are weak: one segment in the language with the most evidence, whatever its confidence; callers may ask for more.
 * null or unknown labels in the sample: not used; a language with fewer than LEAST_DOCS rows, or
   LEAST_SHARE of the sample, is not modelled, nor is a label that mostly stands on texts of a far more frequent language.
 * ties of two languages: the one around it, else the alphabetically first.
@@ -27,10 +34,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import attach
+
 ORDERS = (2, 4)
 BITS = 20
-TRAIN_ROWS = 10_000
-PER_LANGUAGE = 300
+#: Languages whose bits share a word of a filter.
+WORD = 32
+#: The bounded sample that the filters are fitted on: rows of each label, and the longest text taken into it.
+PER_LANGUAGE, SAMPLE_CHARS = 300, 20_000
 LEAST_DOCS, LEAST_SHARE = 12, 0.004
 #: A label is a wrong one for another language when so much of what its texts use is that language's, which has so many times its rows.
 ALIAS, ALIAS_ROWS = 0.85, 3
@@ -38,6 +49,10 @@ ALIAS, ALIAS_ROWS = 0.85, 3
 RELATIVE, ABSOLUTE = 0.2, 0.012
 #: Evidence that lets a sentence leave the language around it: n-grams, part of them known, lead over the other language.
 MIN_GRAMS, MIN_KNOWN, LEAD = 12, 0.55, 0.2
+#: Least confidence of a finished segment beside others, so many standard errors taken off.
+FLOOR, ERRORS = 0.5, 1.0
+#: Under this confidence nothing is said of a text: it is no prose in any language modelled.
+VERDICT = 0.4
 
 _SENTENCE = re.compile("(?<=[.!?؟…])[\"”»“’')\\]]*\\s+|(?<=[。！？])[」』）]*")
 _LETTER = None
@@ -88,39 +103,45 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # bit-sliced: one word of language bits per place
+    tables: list[np.ndarray]  # bit-sliced: one word of language bits per place, a table for every WORD languages
     wrong: np.ndarray  # rate of false positives by language
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
+    def masks(self, h: np.ndarray) -> list[np.ndarray]:
         low = np.uint64((1 << BITS) - 1)
-        return self.table[h & low] & self.table[(h >> np.uint64(BITS)) & low]
+        one, two = h & low, (h >> np.uint64(BITS)) & low
+        return [table[one] & table[two] for table in self.tables]
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) corrected counts, n-grams by text."""
         h, owner = grams(texts)
         masks = self.masks(h)
         n = np.bincount(owner, minlength=len(texts)).astype(float)
-        # n-grams of every language, or of none, tell nothing and only cost time
         out = np.empty((len(texts), len(self.languages)))
         for i in range(len(self.languages)):
-            out[:, i] = np.bincount(owner, weights=(masks >> np.uint32(i)) & np.uint32(1), minlength=len(texts))
+            out[:, i] = np.bincount(owner, weights=(masks[i // WORD] >> np.uint32(i % WORD)) & np.uint32(1), minlength=len(texts))
         return np.maximum(0.0, (out - n[:, None] * self.wrong) / (1 - self.wrong)), n
 
 
-def fit(rows: list[tuple[str, str]]) -> Filters:
-    """rows: (label, text), labels with errors among them."""
+def primary(label: str | None) -> str:
+    """The primary subtag of a label, lower case; empty for none and for und."""
+    x = (label or "").strip().lower().replace("_", "-").split("-")[0]
+    return "" if x == "und" else x
+
+
+def fit(rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Filters:
+    """rows: (label, text), labels with errors among them. sizes: rows of each primary label in the whole table, else those given."""
     by: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for label, text in rows:
-        if label and text:
-            x = label.strip().lower().replace("_", "-").split("-")[0]
+        x = primary(label)
+        if x and text:
             size[x] = size.get(x, 0) + 1
-            own = by.setdefault(x, [])
-            if len(own) < PER_LANGUAGE:
-                own.append(text)
+            by.setdefault(x, []).append(text)
+    if sizes is not None:
+        size = sizes
     least = max(LEAST_DOCS, LEAST_SHARE * sum(size.values()))
     found = []
-    for x in sorted(x for x, n in size.items() if n >= least and x not in ("und", "")):
+    for x in sorted(x for x in by if size.get(x, 0) >= least):
         pairs = np.concatenate([np.unique(grams([t.replace("\n", " ")])[0]) for t in by[x]])
         values, counts = np.unique(pairs, return_counts=True)
         found.append((x, values, counts / len(by[x])))
@@ -128,31 +149,69 @@ def fit(rows: list[tuple[str, str]]) -> Filters:
         (x, values, share)
         for x, values, share in found
         if not any(y != x and size[y] >= ALIAS_ROWS * size[x] and len(values) and np.isin(values, other, assume_unique=True).mean() >= ALIAS for y, other, _ in found)
-    ][:32]
+    ]
     languages, shares = [x for x, _, _ in kept], [(values, share) for _, values, share in kept]
     highest_at = np.concatenate([v for v, _ in shares]) if shares else np.empty(0, np.uint64)
     every, back = np.unique(highest_at, return_inverse=True)
     highest = np.zeros(len(every))
     np.maximum.at(highest, back, np.concatenate([s for _, s in shares]) if shares else np.empty(0))
-    table = np.zeros(1 << BITS, np.uint32)
+    tables = [np.zeros(1 << BITS, np.uint32) for _ in range(max(1, -(-len(languages) // WORD)))]
     low = np.uint64((1 << BITS) - 1)
     for i, (values, share) in enumerate(shares):
         top = highest[np.searchsorted(every, values)]
         member = values[(share >= RELATIVE * top) & (share >= ABSOLUTE)]
         for at in (member & low, (member >> np.uint64(BITS)) & low):
-            np.bitwise_or.at(table, at, np.uint32(1 << i))
-    fills = np.array([((table >> np.uint32(i)) & np.uint32(1)).mean() for i in range(len(languages))])
-    return Filters(languages, table, fills**2)
+            np.bitwise_or.at(tables[i // WORD], at, np.uint32(1 << i % WORD))
+    fills = np.array([((tables[i // WORD] >> np.uint32(i % WORD)) & np.uint32(1)).mean() for i in range(len(languages))])
+    return Filters(languages, tables, fills**2)
 
 
 def fit_on(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> Filters:
-    """Filters from the first TRAIN_ROWS labelled rows of a table."""
-    rows = documents.select(label_col, text_col).where(F.col(label_col).isNotNull() & (F.length(text_col) > 60)).limit(TRAIN_ROWS).toPandas()
-    return fit(list(zip(rows[label_col], rows[text_col])))
+    """Filters from a table of labelled rows: sizes counted over all of it, texts drawn by hash, about PER_LANGUAGE of each label that is not rare."""
+    label = F.split_part(F.regexp_replace(F.lower(F.trim(F.col(label_col).cast("string"))), "_", "-"), F.lit("-"), F.lit(1))
+    rows = documents.select(label.alias("_label"), F.col(text_col).cast("string").alias("_text")).where("_label is not null and _label not in ('', 'und')")
+    # labels under the least share are dropped before anything comes to the driver: at most 1 / LEAST_SHARE are left
+    counted = rows.groupBy("_label").agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*").alias("_all"))
+    sizes = {r[0]: r[1] for r in attach(counted, total).where((F.col("_n") >= LEAST_SHARE * F.col("_all")) & (F.col("_n") >= LEAST_DOCS)).select("_label", "_n").collect()}
+    if not sizes:
+        return fit([])
+    rate = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))])[F.col("_label")]
+    drawn = F.pmod(F.xxhash64("_text"), F.lit(1 << 24)) < rate * (1 << 24)
+    sample = rows.where(F.col("_label").isin(*sizes) & drawn & F.length("_text").between(60, SAMPLE_CHARS)).toPandas()
+    return fit(sorted(zip(sample["_label"], sample["_text"])), sizes)
+
+
+def _run(filters: Filters, counts: np.ndarray, n: np.ndarray, lang: int, own: list[int]) -> tuple[int, list[int], float, float]:
+    """A run of sentences with its confidence, and the same less the error of so few n-grams."""
+    mass, total = counts[own].sum(0), max(1.0, n[own].sum())
+    rest = np.delete(mass, lang).max() if len(mass) > 1 else 0.0
+    confidence = float(np.clip(mass[lang] / total * (0.5 + 0.5 * (mass[lang] - rest) / max(mass[lang], 1.0)), 0.0, 1.0))
+    return lang, own, confidence, confidence - ERRORS * (confidence * (1 - confidence) / total) ** 0.5
+
+
+def _folded(filters: Filters, counts: np.ndarray, n: np.ndarray, runs: list[tuple[int, list[int]]]) -> list[tuple[int, list[int], float, float]]:
+    """Runs too weak to be segments join the stronger neighbour, the weakest first."""
+    judged = [_run(filters, counts, n, *r) for r in runs]
+    while len(judged) > 1:
+        k = min(range(len(judged)), key=lambda i: judged[i][3])
+        if judged[k][3] >= FLOOR:
+            break
+        near = [i for i in (k - 1, k + 1) if 0 <= i < len(judged)]
+        lang = judged[max(near, key=lambda i: judged[i][3])][0]
+        a = b = k
+        while a > 0 and judged[a - 1][0] == lang:
+            a -= 1
+        while b + 1 < len(judged) and judged[b + 1][0] == lang:
+            b += 1
+        judged[a : b + 1] = [_run(filters, counts, n, lang, [x for r in judged[a : b + 1] for x in r[1]])]
+    return judged
 
 
 def segments(filters: Filters, blocks: list[str]) -> list[tuple[str, float, list[str]]]:
     """(language, confidence, sentences) of the maximal runs of sentences in one language, in order."""
+    if not filters.languages:
+        return []
     texts = [s.replace("\n", " ") for b in blocks for s in sentences(b)]
     if not texts:
         return []
@@ -179,11 +238,4 @@ def segments(filters: Filters, blocks: list[str]) -> list[tuple[str, float, list
             runs[-1][1].append(i)
         else:
             runs.append((now, [i]))
-    out = []
-    for lang, own in runs:
-        mass = counts[own].sum(0)
-        total = max(1.0, n[own].sum())
-        rest = np.delete(mass, lang).max() if len(mass) > 1 else 0.0
-        confidence = float(np.clip(mass[lang] / total * (0.5 + 0.5 * (mass[lang] - rest) / max(mass[lang], 1.0)), 0.0, 1.0))
-        out.append((filters.languages[lang], round(confidence, 4), [texts[i] for i in own]))
-    return out
+    return [(filters.languages[lang], round(confidence, 4), [texts[i] for i in own]) for lang, own, confidence, _ in _folded(filters, counts, n, runs)]

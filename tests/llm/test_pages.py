@@ -1,6 +1,7 @@
 """Problems 1, 2, 4 and 5 on small pages."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -185,6 +186,36 @@ def test_segments(filters):
     assert langid.segments(filters, []) == [] and langid.segments(filters, ["", "12 + 3"]) == []
 
 
+def test_weak_runs_join_their_neighbours(filters):
+    en, fr = SENTENCES["en"], SENTENCES["fr"]
+    log = ["GET /melka/cesel 200 8985", "GET /lenda/vorika 200 11", "120 g zelgor", "35 g finora lesoir"]
+    for blocks in ([*en, *log, *en], [*log, *en], [*en, *log], [*fr[:2], *log, *fr[2:]]):
+        assert len(langid.segments(filters, blocks)) == 1, blocks
+    assert [x[0] for x in langid.segments(filters, [*en, *log, *fr])] == ["en", "fr"]
+    assert all(x[1] >= langid.FLOOR for x in langid.segments(filters, [*en, *log, *fr, *log, *en]))
+
+
+def test_more_languages_than_a_word_holds():
+    # forty alphabets of their own
+    def text(k, seed):
+        rng = random.Random(seed)
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(12)]
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+
+    rows = [(f"l{k:02}", text(k, 100 * k + n)) for k in range(40) for n in range(langid.LEAST_DOCS + 2)]
+    made = langid.fit(rows)
+    assert len(made.languages) == 40 and len(made.tables) == 2
+    for k in (0, 31, 32, 39):
+        assert [x[0] for x in langid.segments(made, [text(k, 9999)])] == [f"l{k:02}"]
+
+
+def test_fit_on_counts_all_rows(spark):
+    rows = [(f"  {x.upper()}-x", " ".join(own[(i + k) % 5] for k in range(4))) for x, own in SENTENCES.items() for i in range(40)]
+    rows += [("rare", "one row alone " * 9), (None, "x" * 99), ("und", "y" * 99), ("en", None), ("en", ""), ("", "z" * 99)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "lang string, text string, _label int, _n int")
+    assert langid.fit_on(df).languages == ["en", "fr", "ru"]
+
+
 def test_no_training_rows():
     assert langid.segments(langid.fit([]), ["some text here."]) == []
 
