@@ -166,10 +166,51 @@ def test_winnowing_guarantee():
         assert prints[0] & prints[1]
 
 
-def test_joined_without_broadcast(spark, items, monkeypatch):
-    monkeypatch.setattr(leak, "BROADCAST_ROWS", 0)
-    docs = spark.createDataFrame([(1, " ".join(words_of(1, 50)))], "doc_id long, text string")
-    assert [tuple(r) for r in leak.leaked(leak.leaks(docs, items)).collect()] == [(1, 1)]
+def test_blocks_of_items(spark, items, monkeypatch):
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 40)
+    docs = spark.createDataFrame([(1, " ".join(words_of(1, 50))), (2, " ".join(words_of(3, 60)))], "doc_id long, text string")
+    assert sorted(tuple(r) for r in leak.leaked(leak.leaks(docs, items)).collect()) == [(1, 1), (2, 3)]
+
+
+def test_repeated_common_and_short_items(spark):
+    w, fill = words_of(21, 40), words_of(22, 200)
+    items = [(i, " ".join(w)) for i in range(5)]  # the same item five times
+    items += [(10 + i, " ".join(w[:30] + words_of(30 + i, 10))) for i in range(6)]  # a passage that eleven items carry
+    items += [(50, "zwei worte"), (51, "einzig"), (52, " ".join(w[35:39])), (53, "drei kurze worte")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = {1: " ".join(fill[:50] + w + fill[50:]), 2: " ".join(fill[:9] + w[:30]), 3: " ".join(fill[:60] + ["Zwei", "Worte"] + fill[60:]), 4: "worte zwei", 5: "das ist einzig", 6: " ".join(fill[:31] + w[35:39] + fill[31:77]), 7: "a drei kurze worte b"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leak.leaked(leak.leaks(docs, table)).collect()}
+    carried = {*range(5), *range(10, 16)}
+    want = {(1, i) for i in carried} | {(2, i) for i in carried} | {(1, 52), (3, 50), (5, 51), (6, 52), (7, 53)}
+    assert got == want
+
+
+def covered_brute(pieces):
+    """Best chain over all subsets of (a, b, c, d, places)."""
+    best = 0
+    for mask in range(1 << len(pieces)):
+        own = sorted((p for k, p in enumerate(pieces) if mask >> k & 1), key=lambda p: (p[2], p[0]))
+        if all(x[3] <= y[2] and x[1] <= y[0] for x, y in zip(own, own[1:])):
+            best = max(best, sum(len(p[4]) for p in own))
+    return best
+
+
+def test_chain_of_pieces():
+    rng = random.Random(3)
+    item = list(range(100, 140))
+    for _ in range(60):
+        parts = [(a, min(40, a + rng.randrange(4, 12))) for a in (rng.randrange(36) for _ in range(rng.randrange(1, 6)))]
+        doc, hits, at = [], [], []
+        for a, b in parts:
+            doc += [1000 + len(doc) + k for k in range(20)]
+            at.append((a, b, len(doc), len(doc) + b - a, list(range(a, b))))
+            hits.append((a, len(doc)))
+            doc += item[a:b]
+        got = leak.covered_words(item, doc, hits)
+        assert covered_brute(at) <= got <= 40
+    many = (item + [7] * 20) * 2000
+    assert leak.covered_words(item, many, [(0, 60 * k) for k in range(2000)]) == 40
 
 
 # --- 9 -----------------------------------------------------------------------------------------------
