@@ -1,21 +1,25 @@
 """Repetition inside a single document, by compression bands.
 
 Every text is reduced to what repeats (lower case, letters only) and compressed
-with zstandard, whole and in fixed chunks. A length-specific band of ratios says
-what ordinary text of that length compresses to: below the band a text is
-repetitive, above it incompressible. Texts whose whole or any chunk falls below
-the band go on to the exact measure, the share of words that stand in passages
-of RUN or more words (in scripts without spaces: CHARS characters) which
-occurred earlier in the same text.
-
-The lower limits are set so wide that no text with half of its words repeated
-lies above them: reduced to letters, even random words compress to some 0.6, half
-of them repeated to 0.3, and the references to passages of five words add a
-seventh of the other half.
+with zstandard, whole and in fixed chunks. ORDINARY says to what part ordinary
+text of some length compresses. A text of which half repeats the other half
+costs what that other half costs, so its ratio is half of the ordinary ratio of
+half its length: that is the lower limit of the band of its length, below which
+a text is repetitive. Far above the ordinary ratio it is incompressible. A
+document is repetitive when the whole of it is, or chunks are that hold half of
+its bytes. The bands decide; the exact share of repeated words is measured
+beside them and decides alone only where compression can't tell, under
+MIN_BYTES.
+
+The repeated share: words that stand in passages of RUN or more words (in
+scripts without spaces: CHARS characters) which occurred earlier in the text.
+
+ORDINARY was measured on text of this project's kind; ordinary_ratios measures it
+on another corpus.
 
 Defined results
 * null or empty text: ratio 1, share 0, band "short".
-* texts under MIN_BYTES: compression says nothing; they go to the exact measure.
+* texts under MIN_BYTES: band "short"; repetitive by the exact share.
 * very long texts: read whole, chunk by chunk.
 * null ids are kept as they are; repeated rows give a row each; an empty table gives none.
 * further columns: ignored.
@@ -36,15 +40,18 @@ from ..session import spread
 
 RUN, CHARS = 5, 10
 SHARE = 0.5
-MIN_BYTES = 160
+MIN_BYTES = 80
 CHUNK = 4096
 LEVEL = 3
-#: (bytes up to, lower limit, upper limit) of the zstandard ratio of ordinary text.
-BANDS = ((160, 9.0, 9.0), (250, 0.72, 1.02), (500, 0.60, 0.92), (1000, 0.50, 0.86), (2000, 0.44, 0.80), (4000, 0.41, 0.75), (float("inf"), 0.40, 0.70))
+#: (bytes, zstandard ratio of ordinary text of that length); between and beyond them by the logarithms of both.
+ORDINARY = (
+    (65, 0.90), (100, 0.78), (140, 0.72), (195, 0.66), (280, 0.60), (400, 0.56), (560, 0.52), (800, 0.47), (1120, 0.43), (1600, 0.38), (2250, 0.34), (3140, 0.30), (4500, 0.27), (6300, 0.24), (10000, 0.21),
+)
+#: Part of the ordinary ratio of half the length that is the lower limit; part of the ordinary ratio that is the upper one.
+LOWER, UPPER = 0.5, 1.6
 
 _WORD = re.compile(r"[^\W\d_]+")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
-_MASK = np.uint64(0x9E3779B97F4A7C15)
 
 
 def units(text: str | None) -> tuple[list[str], int, str]:
@@ -75,42 +82,91 @@ def repeated_share(tokens: list[str], run: int) -> float:
     return covered / len(tokens)
 
 
-def band(size: int) -> tuple[float, float]:
-    return next((low, high) for upto, low, high in BANDS if size <= upto)
+class Bands:
+    """Length-specific limits that follow from a curve of ordinary ratios."""
 
+    def __init__(self, ordinary=ORDINARY):
+        self.at, self.ratio = np.log([n for n, _ in ordinary]), np.log([r for _, r in ordinary])
+        self.slope = (self.ratio[-1] - self.ratio[-2]) / (self.at[-1] - self.at[-2]) if len(ordinary) > 1 else 0.0
 
-def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple[float, float, str, float]:
-    """Whole ratio, smallest chunk ratio, verdict of the bands, repeated share (0 where the bands rule it out)."""
-    tokens, run, joint = units(text)
-    data = joint.join(tokens).encode()
+    def ordinary(self, size: float) -> float:
+        x = np.log(size)
+        past = max(0.0, x - self.at[-1])
+        return float(min(1.0, np.exp(np.interp(x, self.at, self.ratio) + past * self.slope)))
+
+    def limits(self, size: int) -> tuple[float, float]:
+        return LOWER * self.ordinary(max(1, size / 2)), min(1.0, UPPER * self.ordinary(size))
+
+
+_EMPTY = len(zstandard.ZstdCompressor(level=LEVEL).compress(b""))
+
+
+def ratio_of(data: bytes, compressor: zstandard.ZstdCompressor) -> float:
+    """Compressed by plain size, the frame's own bytes taken off."""
+    return (len(compressor.compress(data)) - _EMPTY) / len(data)
+
+
+def verdict(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float, float, str]:
+    """Ratio of the whole, lowest ratio of a chunk, and what the bands say: repetitive, incompressible, ordinary, or short."""
     if not data:
-        return 1.0, 1.0, "short", 0.0
-    whole = least = len(compressor.compress(data)) / len(data)
-    low, high = band(len(data))
-    suspicious = whole < low
+        return 1.0, 1.0, "short"
+    whole = least = ratio_of(data, compressor)
+    if len(data) < MIN_BYTES:
+        return whole, least, "short"
+    low, high = bands.limits(len(data))
+    loops = noise = 0
     if len(data) > CHUNK:
-        for i in range(0, len(data) - CHUNK // 2, CHUNK):
+        for i in range(0, len(data), CHUNK):
             piece = data[i : i + CHUNK]
-            r = len(compressor.compress(piece)) / len(piece)
+            if len(piece) < MIN_BYTES:
+                break
+            r = ratio_of(piece, compressor)
             least = min(least, r)
-            suspicious |= r < band(len(piece))[0]
-    if not suspicious:
-        return whole, least, "incompressible" if whole > high else "ordinary", 0.0
-    verdict = "short" if len(data) <= MIN_BYTES else "repetitive"
-    return whole, least, verdict, repeated_share(tokens, run)
+            under, over = bands.limits(len(piece))
+            loops += len(piece) * (r < under)
+            noise += len(piece) * (r > over)
+    if whole < low or 2 * loops >= len(data):
+        return whole, least, "repetitive"
+    return whole, least, "incompressible" if whole > high or 2 * noise >= len(data) else "ordinary"
+
+
+def measure(text: str | None, bands: Bands, compressor: zstandard.ZstdCompressor, exact: bool) -> tuple[float, float, str, bool, float | None]:
+    """Ratios, band, whether the text is repetitive, and its repeated share (without `exact` only where the bands can't tell)."""
+    tokens, run, joint = units(text)
+    whole, least, band = verdict(joint.join(tokens).encode(), bands, compressor)
+    share = repeated_share(tokens, run) if exact or band == "short" else None
+    return whole, least, band, share >= SHARE if band == "short" else band == "repetitive", share
 
 
-def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, zstd_ratio, least_chunk_ratio, band, repeated_share. One pass, no shuffle."""
+def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary=ORDINARY, exact: bool = True) -> DataFrame:
+    """id, zstd_ratio, least_chunk_ratio, band, repetitive, repeated_share. One pass, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compressor = zstandard.ZstdCompressor(level=LEVEL)
+        compressor, bands = zstandard.ZstdCompressor(level=LEVEL), Bands(ordinary)
         for pdf in batches:
-            rows = [measure(t, compressor) for t in pdf["_text"]]
-            out = pd.DataFrame(rows, columns=["zstd_ratio", "least_chunk_ratio", "band", "repeated_share"])
+            rows = [measure(t, bands, compressor, exact) for t in pdf["_text"]]
+            out = pd.DataFrame(rows, columns=["zstd_ratio", "least_chunk_ratio", "band", "repetitive", "repeated_share"])
             out.insert(0, id_col, pdf["_id"].to_numpy())
             yield out
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return spread(rows).mapInPandas(run, f"`{id_col}` {kind}, zstd_ratio double, least_chunk_ratio double, band string, repeated_share double")
+    return spread(rows).mapInPandas(run, f"`{id_col}` {kind}, zstd_ratio double, least_chunk_ratio double, band string, repetitive boolean, repeated_share double")
+
+
+def ordinary_ratios(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """bytes, ratio, texts: the median zstandard ratio of all texts by half octaves of their length, to take for ORDINARY elsewhere."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
+        for pdf in batches:
+            out = []
+            for t in pdf["_text"]:
+                tokens, _, joint = units(t)
+                data = joint.join(tokens).encode()
+                if len(data) >= MIN_BYTES:
+                    out.append((int(2 * np.log2(len(data))), len(data), ratio_of(data, compressor)))
+            yield pd.DataFrame(out, columns=["_bin", "_n", "_r"])
+
+    rows = spread(df.select(F.col(text_col).cast("string").alias("_text"))).mapInPandas(run, "_bin int, _n int, _r double")
+    return rows.groupBy("_bin").agg(F.percentile_approx("_n", 0.5).alias("bytes"), F.percentile_approx("_r", 0.5).alias("ratio"), F.count("*").alias("texts")).drop("_bin")

@@ -116,12 +116,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents at least half of whose words repeat passages that stood earlier in them."""
-    return loops.repetition(read_table(spark, d, "documents")).where(F.col("repeated_share") >= loops.SHARE).select("doc_id")
+    """Documents at least half of whose words repeat passages that stood earlier in them, by the compression bands."""
+    return loops.repetition(read_table(spark, d, "documents"), exact=False).where("repetitive").select("doc_id")
 
 
 def p10_bands(spark: SparkSession, d: str) -> DataFrame:
-    """Ratios, band and repeated share of every document."""
+    """Ratios, band and exact repeated share of every document."""
     return loops.repetition(read_table(spark, d, "documents"))
 
 

@@ -286,32 +286,60 @@ def test_repeated_share():
     assert loops.repeated_share(["a"] * 10, 5) == 0.9 and loops.repeated_share([], 5) == 0 and loops.repeated_share(["a"] * 5, 5) == 0
 
 
-def test_no_repetitive_text_is_ruled_out(spark):
+def loop_rows():
     rng = random.Random(7)
     rows = []
     for n in range(300):
-        fresh = words_of(n, rng.randrange(12, 400))
+        fresh = words_of(n, rng.randrange(20, 400))
         kind = n % 4
         if kind == 0:
             text = " ".join(fresh)
         elif kind == 1:
-            text = " ".join(fresh + fresh)
+            text = " ".join(fresh * rng.randrange(3, 6))
         elif kind == 2:
             k = rng.randrange(6, 12)
-            text = ". ".join(" ".join(fresh[:k]) + f" {i}" for i in range(rng.randrange(3, 40)))
+            text = ". ".join(" ".join(fresh[:k]) + f" {i}" for i in range(rng.randrange(8, 40)))
         else:
-            text = " ".join(fresh + fresh[: len(fresh) // 2] + fresh[: len(fresh) // 2 + 6])
+            text = " ".join(fresh + fresh[: len(fresh) // 4])
         rows.append((n, text))
+    return rows
+
+
+#: The words of words_of are drawn letter by letter: no vocabulary, hardly compressible.
+RANDOM_WORDS = ((80, 0.75), (1000, 0.66), (10000, 0.62))
+
+
+def test_bands_decide(spark):
     ja = "今日は天気がとても良いので公園へ行きました。"
-    rows += [(900, ja * 3), (901, ja + "明日は雨が降るでしょうから家で本を読みます。"), (902, None), (903, ""), (904, "12 34 !!"), (905, "one two three four five"), (906, " ".join(words_of(1, 30) * 2000)), (None, "x")]
-    df = spark.createDataFrame([(*r, 1.0, "b") for r in rows], "doc_id long, text string, zstd_ratio double, band string")
-    got = {r.doc_id: r for r in loops.repetition(df).collect()}
-    assert len(got) == len(rows)
+    rows = loop_rows()
+    edge = [(900, ja * 6), (901, ja + "明日は雨が降るでしょうから家で本を読みます。"), (902, None), (903, ""), (904, "12 34 !!"), (905, "one two three four five"), (906, " ".join(words_of(1, 30) * 2000)), (907, "ab cd ef gh ij " * 3), (None, "x")]
+    df = spark.createDataFrame([(*r, 1.0, "b") for r in rows + edge], "doc_id long, text string, zstd_ratio double, band string")
+    got = {r.doc_id: r for r in loops.repetition(df, ordinary=RANDOM_WORDS).collect()}
+    assert len(got) == len(rows) + len(edge)
     for n, text in rows:
         want = share(text)
-        if want >= loops.SHARE:
-            assert got[n].repeated_share == pytest.approx(want), (n, got[n])
-        else:
-            assert got[n].repeated_share < loops.SHARE
-    assert got[900].repeated_share > 0.6 and got[902].band == "short" and got[906].repeated_share > 0.9
+        assert want < 0.45 or want > 0.55
+        assert got[n].repeated_share == pytest.approx(want) and got[n].repetitive == (want > 0.5), (n, got[n])
+    assert got[900].repetitive and not got[901].repetitive and got[902].band == "short" and got[906].repetitive and got[907].band == "short" and got[907].repetitive
+    assert not any(got[n].repetitive for n in (902, 903, 904, 905, None))
+    # other limits give other rows: nothing but the bands decides
+    shut = {r.doc_id for r in loops.repetition(df, ordinary=((80, 0.05), (10000, 0.01)), exact=False).where("repetitive").collect()}
+    assert shut == {906, 907}  # 60,000 words of which 30 differ; the short one has no band
     assert loops.repetition(df.limit(0)).count() == 0
+
+
+def test_chunks_and_noise():
+    c, bands = loops.zstandard.ZstdCompressor(level=loops.LEVEL), loops.Bands()
+    rng = random.Random(9)
+    noise = "".join(rng.choice(string.ascii_lowercase + string.digits) for _ in range(6000)).encode()
+    assert loops.verdict(noise, bands, c)[2] == "incompressible"
+    looping = (" ".join(words_of(5, 12)) + " ").encode() * 120
+    assert loops.verdict(noise[:3000] + looping, bands, c)[2] == "repetitive"
+    assert [bands.ordinary(n) for n in (65, 10_000)] == pytest.approx([0.90, 0.21]) and 0 < bands.ordinary(10**7) < bands.ordinary(10**5) < 0.21
+
+
+def test_ordinary_ratios(spark):
+    df = spark.createDataFrame([(t, 1) for _, t in loop_rows()] + [(None, 1), ("short", 1)], "text string, bytes int")
+    found = {r.bytes: r.ratio for r in loops.ordinary_ratios(df).where("texts >= 5").collect()}
+    assert found and all(0 < r < 1 for r in found.values())
+    assert loops.ordinary_ratios(df.limit(0)).count() == 0
