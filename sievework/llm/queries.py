@@ -64,13 +64,16 @@ def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks whose canonical url was offered under a smaller task_id."""
+    """Tasks whose canonical url was offered under a smaller task_id, by the chain's own answer."""
     return seen.repeated(read_table(spark, d, "crawl_tasks"), "task_id", "url", url_key)
 
 
 def p3_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
-    """What the chains answer wrongly, shard by shard, beside the bound they keep."""
-    return seen.wrong_answers(seen.seen_before(read_table(spark, d, "crawl_tasks"), "task_id", "url", url_key))
+    """What the chains answer wrongly, shard by shard, beside the bound they keep: at the error of p3_found and at a thousand times as much."""
+    tasks = read_table(spark, d, "crawl_tasks")
+    # the answers are read twice: for the rows and for the keys
+    parts = [seen.wrong_answers(materialise(seen.seen_before(tasks, "task_id", "url", url_key, error=e), "answers")).select(F.lit(e).alias("error"), "*") for e in (seen.ERROR, 1e-3)]
+    return parts[0].unionByName(parts[1])
 
 
 def _both_tables(spark: SparkSession, d: str) -> list[DataFrame]:

@@ -3,18 +3,24 @@
 Records are cut into shards by key. Within a shard they pass in order of their
 id through a chain of Bloom layers: layer i holds growth^i times as many keys
 as the first at tightening^i times its error rate, and a new layer is opened
-when half of the bits of the last are set. The compounded rate of wrong answers
-1 - prod(1 - fill_i^k_i) is carried on every row. Only the chain is held in
-memory, some 20 bits a key, never the keys.
+when half of the bits of the last are set. The chance that a new key is called
+seen stays under error / (1 - tightening), however long the history grows; the
+rate that the bits set so far imply is carried on every row. Only the chain is
+held in memory, some 30 bits a key at the default error, never the keys.
 
-Copies of a key within an Arrow batch, and of keys that proved frequent within
-the task, are answered before the shuffle, so a key with a third of all rows
-reaches its shard as some rows per task.
+The answer is the chain's own. It never misses a key that was there; what it
+wrongly calls seen is counted by wrong_answers, and confirmed takes it out where
+a caller wants no wrong answer at all.
+
+Keys travel as 128-bit hashes. Copies of a key within an Arrow batch, and of keys
+that prove frequent within the task, are answered before the shuffle, so a key
+with a third of all rows reaches its shard as some rows per task. The table of
+frequent keys ages, so that a key that becomes hot late gets into it.
 
 Defined results
 * null id: the record has no place in the order; it is left out.
 * null key: never seen, never remembered; the record is left out.
-* equal ids under one key (repeated rows): the later-read copy counts as seen by the filter; the exact answer asks for a strictly smaller id.
+* equal ids under one key (repeated rows): one of them is new, the others count as seen.
 * an empty table: no rows.
 * further columns: ignored, whatever their names.
 """
@@ -26,18 +32,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
 
 FIRST_CAPACITY = 1 << 14
 GROWTH = 4
-ERROR = 1e-3
+#: Error of the first layer; the chance of a wrong answer stays under ERROR / (1 - TIGHTENING).
+ERROR = 1e-6
 TIGHTENING = 0.5
 FILL = 0.5
-#: Frequent keys remembered by a task before the shuffle.
-HEAVY_KEYS = 4096
+#: Rows that a shard gets at most, about: its chain takes some 60 MB then. Tables of fewer are cut into as many shards as a shuffle has partitions.
+SHARD_ROWS = 1 << 24
+#: Frequent keys that a task remembers before the shuffle.
+FREQUENT = 1 << 13
 
 
 class BloomLayer:
@@ -54,9 +64,15 @@ class BloomLayer:
             at += h2
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h1), bool)
-        for at in self.places(h1, h2):
-            found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        """Place after place, of those whose bits were all set so far: new keys drop out after two places or so."""
+        left, at, step = np.arange(len(h1)), h1.copy(), h2
+        for _ in range(self.k):
+            place = at % self.m
+            is_set = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left, at, step = left[is_set], at[is_set], step[is_set]
+            at = at + step
+        found = np.zeros(len(h1), bool)
+        found[left] = True
         return found
 
     def add(self, h1: np.ndarray, h2: np.ndarray) -> None:
@@ -107,7 +123,7 @@ class BloomChain:
 
     def pass_batch(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Seen flags for keys in order; the new ones are remembered."""
-        _, first = np.unique(h1, return_index=True)
+        _, first = np.unique(np.rec.fromarrays([h1, h2]), return_index=True)
         seen = np.ones(len(h1), bool)
         seen[first] = self.contains(h1[first], h2[first])
         new = np.flatnonzero(~seen)
@@ -115,39 +131,62 @@ class BloomChain:
         return seen
 
 
+class Frequent:
+    """Keys of which a task met copies, with the smallest id it passed on; the least frequent give way to new ones."""
+
+    def __init__(self, size: int = FREQUENT):
+        self.size = size
+        self.h1, self.h2 = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Place of each key in the table, -1 for others."""
+        at = np.searchsorted(self.h1, h1)
+        at = np.where(at < len(self.h1), at, -1)
+        if len(self.h1):
+            at[(self.h1[at] != h1) | (self.h2[at] != h2)] = -1
+        return at
+
+    def met(self, at: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> None:
+        np.minimum.at(self.first, at, ids)
+        np.add.at(self.count, at, copies)
+
+    def take(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> None:
+        """Keys that are not in the table; two that agree in the first hash can't both be in it."""
+        h1 = np.concatenate((self.h1, h1))
+        h1, where = np.unique(h1, return_index=True)
+        self.h1, self.h2 = h1, np.concatenate((self.h2, h2))[where]
+        self.first, self.count = np.concatenate((self.first, ids))[where], np.concatenate((self.count, copies))[where]
+        if len(self.h1) > self.size:
+            keep = np.sort(np.argsort(-self.count, kind="stable")[: self.size // 2])
+            self.h1, self.h2, self.first, self.count = self.h1[keep], self.h2[keep], self.first[keep], self.count[keep] // 2
+
+
 def _local(key_of: Callable[[str], str | None]):
-    """Before the shuffle: the key of each row, and whether this task has met it with a smaller id (then the key is dropped)."""
+    """Before the shuffle: the hashes of each row's key, and whether this task has passed it on with a smaller id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heavy: dict[str, int] = {}
+        frequent = Frequent()
         for pdf in batches:
-            ids, raw = pdf["_id"].to_numpy(), pdf["_raw"]
-            first: dict[str, int] = {}
-            keys, known = [], []
-            order = range(len(ids)) if (np.diff(ids) >= 0).all() else np.argsort(ids, kind="stable")
-            out_ids = ids[order] if not isinstance(order, range) else ids
-            for i in order:
-                key, n = key_of(raw.iat[i]), int(ids[i])
-                if key is None:
-                    keys.append(None)
-                    known.append(False)
-                    continue
-                seen = first.get(key)
-                if seen is None:
-                    first[key] = n
-                    seen = heavy.get(key)
-                elif len(heavy) < HEAVY_KEYS and key not in heavy:
-                    heavy[key] = seen
-                if seen is not None and seen < n:
-                    keys.append(None)
-                    known.append(True)
-                else:
-                    if key in heavy:
-                        heavy[key] = n
-                    keys.append(key)
-                    known.append(False)
-            out = pd.DataFrame({"_id": out_ids, "_key": pd.Series(keys, dtype=object), "_known": known})
-            yield out[out["_known"] | out["_key"].notna()]
+            keys = [key_of(x) for x in pdf["_raw"]]
+            ids = pdf["_id"].to_numpy()[[k is not None for k in keys]]
+            digests = b"".join([xxhash.xxh3_128_digest(k) for k in keys if k is not None])
+            both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            order = np.lexsort((ids, both[:, 1], both[:, 0]))
+            ids, h1, h2 = ids[order], both[order, 0], both[order, 1]
+            new = np.ones(len(ids), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            lead = np.flatnonzero(new)
+            copies = np.diff(np.append(lead, len(ids)))
+            at = frequent.find(h1[lead], h2[lead])
+            known = ~new
+            hit = at >= 0
+            known[lead[hit]] = frequent.first[at[hit]] < ids[lead[hit]]
+            frequent.met(at[hit], ids[lead[hit]], copies[hit])
+            fresh = ~hit & (copies > 1)
+            if fresh.any():
+                frequent.take(h1[lead[fresh]], h2[lead[fresh]], ids[lead[fresh]], copies[fresh])
+            yield pd.DataFrame({"_id": ids, "_h1": h1.view(np.int64), "_h2": h2.view(np.int64), "_known": known})
 
     return run
 
@@ -159,10 +198,10 @@ def _chain(capacity: int, error: float, growth: int, tightening: float):
             seen = pdf["_known"].to_numpy().copy()
             asked = np.flatnonzero(~seen)
             if len(asked):
-                h1 = pdf["_h1"].to_numpy().astype(np.int64).view(np.uint64)[asked]
-                h2 = pdf["_h2"].to_numpy().astype(np.int64).view(np.uint64)[asked] | np.uint64(1)
+                h1 = pdf["_h1"].to_numpy().view(np.uint64)[asked]
+                h2 = pdf["_h2"].to_numpy().view(np.uint64)[asked] | np.uint64(1)
                 seen[asked] = chain.pass_batch(h1, h2)
-            yield pd.DataFrame({"_id": pdf["_id"], "_key": pdf["_key"], "_known": pdf["_known"], "_seen": seen, "_shard": pdf["_shard"], "_layers": len(chain.layers), "_rate": chain.wrong_rate()})
+            yield pdf.assign(_seen=seen, _layers=len(chain.layers), _rate=chain.wrong_rate(), _bound=chain.bound())
 
     return run
 
@@ -178,47 +217,38 @@ def seen_before(
     growth: int = GROWTH,
     tightening: float = TIGHTENING,
 ) -> DataFrame:
-    """_id, _key, _known (answered before the shuffle, for certain), _seen (the chain's answer), _shard, _layers, _rate.
-
-    Shards bound the memory of a chain: take some 10^8 keys a shard at most.
-    """
-    spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """_id, _seen (the answer), _known (given before the shuffle, for certain), _h1, _h2, _shard, _layers, _rate, _bound."""
     rows = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(key_col).cast("string").alias("_raw")).where("_id is not null and _raw is not null")
-    keyed = spread(rows).mapInPandas(_local(key_of), "_id bigint, _key string, _known boolean")
-    hashed = keyed.withColumns({"_h1": F.xxhash64("_key"), "_h2": F.xxhash64(F.lit(1), "_key")})
-    # a row answered already goes anywhere
-    placed = hashed.withColumn("_shard", F.pmod(F.when(F.col("_known"), F.col("_id")).otherwise(F.col("_h1")), F.lit(shards)).cast("int"))
-    ordered = placed.repartition(shards, "_shard").sortWithinPartitions("_id")
-    return ordered.mapInPandas(_chain(capacity, error, growth, tightening), "_id bigint, _key string, _known boolean, _seen boolean, _shard int, _layers int, _rate double")
+    shards = shards or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SHARD_ROWS))
+    keyed = spread(rows).mapInPandas(_local(key_of), "_id bigint, _h1 bigint, _h2 bigint, _known boolean")
+    # rows that are answered carry no key: they go anywhere
+    spare = [F.when(F.col("_known"), F.col("_id")).otherwise(F.col(c)).alias(c) for c in ("_h1", "_h2")]
+    placed = keyed.select("_id", *spare, "_known").repartition(shards, "_h1", "_h2").sortWithinPartitions("_id")
+    answers = placed.mapInPandas(_chain(capacity, error, growth, tightening), "_id bigint, _h1 bigint, _h2 bigint, _known boolean, _seen boolean, _layers int, _rate double, _bound double")
+    return answers.withColumn("_shard", F.spark_partition_id())
 
 
-def confirmed(answers: DataFrame) -> DataFrame:
-    """The exact check behind the chain: ids of rows called seen whose key does occur under a smaller id."""
-    first = F.min("_id").over(Window.partitionBy("_key"))
-    asked = answers.where("not _known").select("_id", "_key", "_seen").withColumn("_first", first)
-    return answers.where("_known").select("_id").unionByName(asked.where("_seen and _id > _first").select("_id"))
+def repeated(df: DataFrame, id_col: str, key_col: str, key_of: Callable[[str], str | None] = lambda x: x, **chain) -> DataFrame:
+    """The ids of the records that the chain has seen before."""
+    return seen_before(df, id_col, key_col, key_of, **chain).where("_seen").select(F.col("_id").alias(id_col))
 
 
-def repeated(df: DataFrame, id_col: str, key_col: str, key_of: Callable[[str], str | None] = lambda x: x, **chain) -> DataFrame:
-    """The ids of repeated records, wrong answers of the chain taken out: one pass of the chain serves both parts."""
-    answers = seen_before(df, id_col, key_col, key_of, **chain)
-    first = F.min("_id").over(Window.partitionBy("_group"))
-    # rows that are answered for certain spread over groups of their own
-    group = F.when(F.col("_known"), F.concat(F.lit("\u0000"), F.col("_id").cast("string"))).otherwise(F.col("_key"))
-    checked = answers.select("_id", "_known", "_seen", group.alias("_group")).withColumn("_first", first)
-    return checked.where("_known or (_seen and _id > _first)").select(F.col("_id").alias(id_col))
+def _keys(answers: DataFrame) -> DataFrame:
+    """Per key that was asked: shard, smallest id, rows, rows called new. Partial aggregation; no key gathers."""
+    asked = answers.where("not _known")
+    return asked.groupBy("_shard", "_h1", "_h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"), F.count_if(~F.col("_seen")).alias("_new"))
+
+
+def confirmed(answers: DataFrame) -> DataFrame:
+    """The exact check behind the chain: _id of the rows called seen, without first occurrences that were wrongly so called."""
+    wrong = _keys(answers).where("_new = 0").select(F.col("_first").alias("_id"))
+    return answers.where("_seen").select("_id").join(wrong, "_id", "left_anti")
 
 
 def wrong_answers(answers: DataFrame) -> DataFrame:
-    """Per shard: layers, keys, the bound of the compounded rate, and first occurrences that were called seen."""
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_id")) == 1
-    judged = answers.where("not _known").withColumn("_is_first", first)
-    return judged.groupBy(F.col("_shard").alias("shard")).agg(
-        F.max("_layers").alias("layers"),
-        F.count_if(F.expr("_is_first")).alias("distinct_keys"),
-        F.count_if(F.expr("_is_first and _seen")).alias("wrongly_seen"),
-        F.count_if(F.expr("not _is_first and not _seen")).alias("missed"),
-        F.round(F.max("_rate"), 6).alias("rate_from_fill"),
-        F.round(F.count_if(F.expr("_is_first and _seen")) / F.count_if(F.expr("_is_first")), 6).alias("rate_measured"),
+    """Per shard: layers, rows asked and called seen, keys, first occurrences called seen, missed repeats, and the rates: by the bits set, the bound kept, as measured."""
+    rows = answers.where("not _known").groupBy("_shard").agg(
+        F.max("_layers").alias("layers"), F.count("*").alias("asked"), F.count_if("_seen").alias("called_seen"), F.round(F.max("_rate"), 9).alias("rate_from_fill"), F.max("_bound").alias("bound")
     )
+    keys = _keys(answers).groupBy("_shard").agg(F.count("*").alias("distinct_keys"), F.count_if(F.col("_new") == 0).alias("wrongly_seen"), F.sum(F.greatest(F.col("_new") - 1, F.lit(0))).alias("missed"))
+    return rows.join(keys, "_shard").select(F.col("_shard").alias("shard"), "layers", "asked", "called_seen", "distinct_keys", "wrongly_seen", "missed", "rate_from_fill", "bound", F.round(F.col("wrongly_seen") / F.col("distinct_keys"), 9).alias("rate_measured"))
