@@ -58,15 +58,22 @@ def read(body: bytes | None, content_type: str | None, restore: bool = True) ->
     return Reading(text, name, where, page, main, bad, fitting, layers)
 
 
-def spam_of(r: Reading) -> tuple[float, float]:
-    """Share and redundancy; nothing can be said of a page whose words are lost."""
+def judged(r: Reading, model: spam.Model) -> list[spam.Judged]:
+    """The blocks of the main region; none of a page whose words are lost, of which nothing can be said."""
+    if r.garbled and encoding.mostly_garbled(r.main_text()):
+        return []
+    return spam.judge([b.text for b in spam.own_region(r.page)], model)
+
+
+def spam_of(r: Reading, model: spam.Model) -> tuple[float, float]:
+    """Share and redundancy."""
     if r.garbled and encoding.mostly_garbled(r.main_text()):
         return 0.0, 1.0
-    return spam.page_spam(r.page)
+    return spam.page_spam(r.page, model)
 
 
-def is_spam(r: Reading) -> bool:
-    return spam_of(r)[0] > spam.SHARE
+def is_spam(r: Reading, model: spam.Model) -> bool:
+    return spam_of(r, model)[0] > spam.SHARE
 
 
 def per_page(fetches: DataFrame, rows_of: Callable[[Reading], Iterable[tuple]], schema: str, restore: bool = True) -> DataFrame:
@@ -97,37 +104,52 @@ def per_page(fetches: DataFrame, rows_of: Callable[[Reading], Iterable[tuple]],
     return spread(source).mapInArrow(run, "fetch_id bigint" + (", " + schema if schema else ""))
 
 
-def keyword_pages(fetches: DataFrame) -> DataFrame:
+def keyword_pages(fetches: DataFrame, model: spam.Model = spam.NO_MODEL) -> DataFrame:
     """Problem 1: fetch_id, spam_share, redundancy (lowest normalised ratio) of every html page."""
+    shared = fetches.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def rows(r: Reading):
-        share, least = spam_of(r)
+        share, least = spam_of(r, shared.value)
         yield round(share, 4), round(least, 4)
 
     return per_page(fetches, rows, "spam_share double, redundancy double")
 
 
-def main_body(fetches: DataFrame) -> DataFrame:
+def keyword_blocks(fetches: DataFrame, model: spam.Model = spam.NO_MODEL) -> DataFrame:
+    """Problem 1 block by block: fetch_id, block_no, kind, words, redundancy, punctuation (sentence ends a word), spam."""
+    shared = fetches.sparkSession.sparkContext.broadcast(model)
+
+    def rows(r: Reading):
+        for k, b in enumerate(judged(r, shared.value)):
+            yield k, b.kind, b.words, round(b.redundancy, 4), round(b.density, 4), b.spam
+
+    return per_page(fetches, rows, "block_no int, kind string, words double, redundancy double, punctuation double, spam boolean")
+
+
+def main_body(fetches: DataFrame, model: spam.Model = spam.NO_MODEL) -> DataFrame:
     """Problem 2: fetch_id, block_no, block, block_md5, garbled, spam: the main-body blocks of every html page."""
+    shared = fetches.sparkSession.sparkContext.broadcast(model)
 
     def rows(r: Reading):
-        bad = is_spam(r)
+        bad = is_spam(r, shared.value)
         for k, b in enumerate(r.main):
             yield k, b.text, hashlib.md5(b.text.encode("utf-8", "replace")).hexdigest(), r.garbled, bad
 
     return per_page(fetches, rows, "block_no int, block string, block_md5 string, garbled boolean, spam boolean")
 
 
-def main_body_hashes(fetches: DataFrame) -> DataFrame:
-    """Distinct block hashes of the pages that are neither spam nor garbled; repeats within a page give one row."""
+def main_body_hashes(fetches: DataFrame, model: spam.Model = spam.NO_MODEL) -> DataFrame:
+    """fetch_id, block_md5, spam: distinct block hashes of the pages that are not garbled; repeats within a page give one row. Who wants no spam pages filters them."""
+    shared = fetches.sparkSession.sparkContext.broadcast(model)
 
     def rows(r: Reading):
-        if r.garbled or is_spam(r):
+        if r.garbled:
             return
+        bad = is_spam(r, shared.value)
         for h in dict.fromkeys(hashlib.md5(b.text.encode("utf-8", "replace")).hexdigest() for b in r.main):
-            yield (h,)
+            yield h, bad
 
-    return per_page(fetches, rows, "block_md5 string", restore=False)
+    return per_page(fetches, rows, "block_md5 string, spam boolean", restore=False)
 
 
 def garbled_pages(fetches: DataFrame) -> DataFrame:
@@ -145,19 +167,19 @@ def garbled_ids(fetches: DataFrame) -> DataFrame:
     return per_page(fetches, lambda r: [(True,)] if r.garbled else [], "garbled boolean", restore=False).select("fetch_id")
 
 
-def languages(fetches: DataFrame, filters: langid.Filters) -> DataFrame:
+def languages(fetches: DataFrame, model: spam.Model) -> DataFrame:
     """Problem 5: fetch_id, segment_no, language, confidence, segments, main_language, excluded (spam or garbled)."""
-    shared = fetches.sparkSession.sparkContext.broadcast(filters)  # of fixed size
+    shared = fetches.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def rows(r: Reading):
-        found = langid.segments(shared.value, [b.text for b in r.main])
+        found = langid.segments(shared.value.filters, [b.text for b in r.main])
         if not found:
             return
         size: dict[str, int] = {}
         for lang, _, own in found:
             size[lang] = size.get(lang, 0) + sum(map(len, own))
         main = max(sorted(size), key=lambda x: size[x])
-        bad = r.garbled or is_spam(r)
+        bad = r.garbled or is_spam(r, shared.value)
         for k, (lang, confidence, _) in enumerate(found, 1):
             yield k, lang, confidence, len(found), main, bad
 

@@ -136,7 +136,9 @@ def fit(rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Fil
         x = primary(label)
         if x and text:
             size[x] = size.get(x, 0) + 1
-            by.setdefault(x, []).append(text)
+            own = by.setdefault(x, [])
+            if len(own) < PER_LANGUAGE:
+                own.append(text)
     if sizes is not None:
         size = sizes
     least = max(LEAST_DOCS, LEAST_SHARE * sum(size.values()))
@@ -166,8 +168,8 @@ def fit(rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Fil
     return Filters(languages, tables, fills**2)
 
 
-def fit_on(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> Filters:
-    """Filters from a table of labelled rows: sizes counted over all of it, texts drawn by hash, about PER_LANGUAGE of each label that is not rare."""
+def sample(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(label, text) drawn by hash, about PER_LANGUAGE of each label that is not rare, and the rows of these labels in the whole table."""
     label = F.split_part(F.regexp_replace(F.lower(F.trim(F.col(label_col).cast("string"))), "_", "-"), F.lit("-"), F.lit(1))
     rows = documents.select(label.alias("_label"), F.col(text_col).cast("string").alias("_text")).where("_label is not null and _label not in ('', 'und')")
     # labels under the least share are dropped before anything comes to the driver: at most 1 / LEAST_SHARE are left
@@ -175,11 +177,16 @@ def fit_on(documents: DataFrame, label_col: str = "lang", text_col: str = "text"
     total = rows.agg(F.count("*").alias("_all"))
     sizes = {r[0]: r[1] for r in attach(counted, total).where((F.col("_n") >= LEAST_SHARE * F.col("_all")) & (F.col("_n") >= LEAST_DOCS)).select("_label", "_n").collect()}
     if not sizes:
-        return fit([])
+        return [], {}
     rate = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))])[F.col("_label")]
     drawn = F.pmod(F.xxhash64("_text"), F.lit(1 << 24)) < rate * (1 << 24)
-    sample = rows.where(F.col("_label").isin(*sizes) & drawn & F.length("_text").between(60, SAMPLE_CHARS)).toPandas()
-    return fit(sorted(zip(sample["_label"], sample["_text"])), sizes)
+    found = rows.where(F.col("_label").isin(*sizes) & drawn & F.length("_text").between(60, SAMPLE_CHARS)).toPandas()
+    return sorted(zip(found["_label"], found["_text"])), sizes
+
+
+def fit_on(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> Filters:
+    """Filters from a table of labelled rows."""
+    return fit(*sample(documents, label_col, text_col))
 
 
 def _run(filters: Filters, counts: np.ndarray, n: np.ndarray, lang: int, own: list[int]) -> tuple[int, list[int], float, float]:

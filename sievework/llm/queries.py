@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_key
 from ..session import materialise, read_table
-from . import distinct, fetches, langid, leak, loops, mix, seen, spam
+from . import distinct, fetches, leak, loops, mix, seen, spam
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,24 +18,34 @@ def _fetches(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "fetch_results")
 
 
+def _model(spark: SparkSession, d: str) -> spam.Model:
+    """Language filters and ordinary ratios, fitted on a bounded sample of documents."""
+    return spam.fit_on(read_table(spark, d, "documents"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Html fetches more than half of whose main-region words belong to keyword runs, bare link lists or tag lists."""
-    return fetches.keyword_pages(_fetches(spark, d)).where(F.col("spam_share") > spam.SHARE).select("fetch_id")
+    return fetches.keyword_pages(_fetches(spark, d), _model(spark, d)).where(F.col("spam_share") > spam.SHARE).select("fetch_id")
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """Share of spam and redundancy of every html page."""
-    return fetches.keyword_pages(_fetches(spark, d))
+    return fetches.keyword_pages(_fetches(spark, d), _model(spark, d))
+
+
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Redundancy and punctuation of every block of the main regions."""
+    return fetches.keyword_blocks(_fetches(spark, d), _model(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Main-body blocks of html fetches that are neither spam nor garbled."""
-    return fetches.main_body_hashes(_fetches(spark, d))
+    return fetches.main_body_hashes(_fetches(spark, d), _model(spark, d)).where("not spam").select("fetch_id", "block_md5")
 
 
 def p2_main_body(spark: SparkSession, d: str) -> DataFrame:
     """The main-body blocks themselves, of restored pages too."""
-    return fetches.main_body(_fetches(spark, d))
+    return fetches.main_body(_fetches(spark, d), _model(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +59,7 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    filters = langid.fit_on(read_table(spark, d, "documents"))
-    return fetches.relabelled(fetches.languages(_fetches(spark, d), filters), read_table(spark, d, "analyzed_texts").select("fetch_id", "language"))
+    return fetches.relabelled(fetches.languages(_fetches(spark, d), _model(spark, d)), read_table(spark, d, "analyzed_texts").select("fetch_id", "language"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +163,7 @@ scored as (
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_shares": p1_shares,
+    "p1_blocks": p1_blocks,
     "p2_found": p2_found,
     "p2_main_body": p2_main_body,
     "p4_found": p4_found,

@@ -1,17 +1,24 @@
 """Keyword-stuffed and link-list pages, by block-wise compression.
 
-The main region of a page is cut into stretches of blocks that hold no
-sentences, and the text that looks like sentences. Each is compressed; its ratio
-is divided by the ratio that ordinary text of that length and script has. What
-lies far below it is extreme redundancy. A stretch without sentences is confirmed
-by its low density of sentence punctuation; keywords with full stops strewn in
-(there punctuation proves nothing) are confirmed by a vocabulary too small for
-their length. A page is spam when more than half of the words of its main region
-are so confirmed.
+The main region of a page is cut into blocks: stretches that hold no sentences
+(the short ones together), and the text that looks like sentences. Each is
+compressed, and its ratio is divided by the ratio that ordinary text of that
+length and language has: 1 is ordinary. A block far below it is redundant; it
+is confirmed by its low density of sentence punctuation. Keywords with full stops
+strewn in have no low density, but no prose comes near them: EXTREME redundancy
+needs no confirmation. A page is spam when more than half of the words of its
+main region are in such blocks.
+
+What is ordinary: ORDINARY by length, times a factor by language that is fitted
+on the same bounded sample of labelled texts as the language filters. The
+language of a page is looked up only where some language could make a block
+redundant.
 
 Defined results
 * null or empty body, or a body that is no html: no row. A page without words: share 0.
 * null headers: decoded by the page's own declaration. Very long pages: read whole.
+* a block under LEAST words: compression tells nothing; it counts among the words of the page.
+* no labelled texts to fit on: every language is taken as ordinary.
 * repeated rows give a row each; an empty table none. Further columns: ignored.
 """
 
@@ -19,24 +26,32 @@ from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 
+import numpy as np
+
+from . import langid
 from .mainbody import bare_links, region
 from .pages import Block, Page
 
 SHARE = 0.5
-#: Ratio of ordinary text of n bytes: FLOOR + SLOPE / sqrt(n); a stretch below LIMIT times that is redundant.
-FLOOR, SLOPE, LIMIT = 0.35, 6.5, 0.80
-#: Punctuated text: this redundant, and with fewer distinct words than this times the root of all.
-LIMIT_PUNCTUATED, RICHNESS = 0.62, 2.6
+#: (bytes, zlib ratio of ordinary text of that length), the median of the languages; between and beyond them by the logarithms of both.
+ORDINARY = (
+    (71, 0.93), (101, 0.81), (144, 0.77), (204, 0.70), (290, 0.64), (411, 0.59), (584, 0.54), (828, 0.49), (1175, 0.44), (1668, 0.39), (2367, 0.345), (3359, 0.31), (4766, 0.285), (6764, 0.26), (9598, 0.225),
+)
+#: A block below LIMIT times the ordinary ratio is redundant: lists of names, numbers or headings cost more than prose does. Below EXTREME times it no punctuation speaks for it.
+LIMIT, EXTREME = 1.0, 0.66
+#: Words that a block has at least for compression to tell anything.
+LEAST = 12
+#: Bytes of zlib's own.
+FRAME = 8
 #: Sentence ends per word that still count as none.
 PUNCTUATION = 1 / 40
 #: A stretch of this many words without a sentence end is no sentence.
 LONG = 45
 
-_END = re.compile(r"[.!?。！？؟…](?=[\s”»“\"」』)’]|$)")
-_SPLIT = re.compile(r"(?<=[.!?。！？؟…])[”»“\"」』)’]*\s+")
-_SIGN = re.compile(r"[\W\d_]+")
-_PAIR = re.compile("([぀-ヿ㐀-鿿]{2})")
+_END = re.compile(r"[.!?؟…](?=[\s”»“\"」』)’]|$)|[。！？]")
+_SPLIT = re.compile(r"(?<=[.!?؟…])[”»“\"」』)’]*\s+|(?<=[。！？])[”»“\"」』)’]*\s*")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿]")
 
 
@@ -86,44 +101,97 @@ def stretches(texts: list[str]) -> tuple[list[str], list[str]]:
     return ["\n".join(r) for r in runs if r], said
 
 
-def richness(text: str) -> float:
-    """Distinct words by the root of all; pairs of characters count as words in scripts without spaces."""
-    text = _SIGN.sub(" ", text.lower())
-    if not text.isascii() and _UNSPACED.search(text):
-        text = _PAIR.sub(r"\1 ", text)
-    words = text.split()
-    return len(set(words)) / len(words) ** 0.5 if words else 0.0
+_AT, _RATIO = np.log([n for n, _ in ORDINARY]), np.log([r for _, r in ORDINARY])
+_SLOPE = float((_RATIO[-1] - _RATIO[-2]) / (_AT[-1] - _AT[-2]))
+
+
+def ordinary(size: int) -> float:
+    x = np.log(max(1, size))
+    return min(1.0, float(np.exp(np.interp(x, _AT, _RATIO) + max(0.0, x - _AT[-1]) * _SLOPE)))
 
 
-def redundancy(text: str) -> float:
-    """Compression ratio by the ratio of ordinary text of this length and script: 1 is ordinary, low is redundant."""
-    data = text.encode()
+def redundancy(text: str, factor: float = 1.0) -> float:
+    """Compression ratio by the ratio of ordinary text of this length, and of the language whose factor is given: 1 is ordinary, low is redundant."""
+    data = text.encode("utf-8", "replace")
     if not data:
         return 1.0
-    ordinary = FLOOR + SLOPE / len(data) ** 0.5
-    wide = len(data) / len(text)
-    return len(zlib.compress(data, 6)) / len(data) / ordinary * (1 + 0.15 * (wide - 1))
+    return max(0, len(zlib.compress(data, 6)) - FRAME) / len(data) / ordinary(len(data)) / factor
+
+
+@dataclass
+class Model:
+    """Language filters and, by language, the ratio of its ordinary text to ORDINARY."""
+
+    filters: langid.Filters
+    factors: dict[str, float]
+
+    @property
+    def highest(self) -> float:
+        return max(self.factors.values(), default=1.0)
+
+    def language(self, text: str) -> str | None:
+        if not self.filters.languages:
+            return None
+        counts, n = self.filters.counts([text.replace("\n", " ")])
+        best = int(counts[0].argmax())
+        return self.filters.languages[best] if counts[0, best] > 0 else None
+
+    def factor(self, text: str) -> float:
+        return self.factors.get(self.language(text) or "", 1.0)
+
+
+NO_MODEL = Model(langid.fit([]), {})
 
 
-def spam_share(texts: list[str]) -> tuple[float, float]:
-    """(share of words in redundant stretches, lowest normalised ratio)."""
+def fit(rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Model:
+    """rows: (label, text). A language's factor is the median over its texts, so wrong labels don't tell."""
+    filters = langid.fit(rows, sizes)
+    by: dict[str, list[float]] = {}
+    for label, text in rows:
+        x = langid.primary(label)
+        if x in filters.languages and text:
+            by.setdefault(x, []).append(redundancy(text))
+    return Model(filters, {x: float(np.median(own)) for x, own in by.items()})
+
+
+def fit_on(documents, label_col: str = "lang", text_col: str = "text") -> Model:
+    return fit(*langid.sample(documents, label_col, text_col))
+
+
+@dataclass(slots=True)
+class Judged:
+    """A block of the main region: what it is, its words, redundancy and sentence ends a word, and whether it is spam."""
+
+    kind: str
+    words: float
+    redundancy: float
+    density: float
+    spam: bool
+
+
+def judge(texts: list[str], model: Model = NO_MODEL) -> list[Judged]:
     runs, said = stretches(texts)
-    words = spam = count_words("\n".join(said))
+    small = [r for r in runs if count_words(r) < LEAST]
     once = "\n".join(dict.fromkeys(said))  # a sentence said again and again is no keyword
-    least = redundancy(once)
-    if not (least < LIMIT_PUNCTUATED and richness(once) < RICHNESS):
-        spam = 0.0
-    for run in runs:
-        n = count_words(run)
-        words += n
-        if n < 12:  # a heading or a few cells
-            continue
-        r = redundancy(run)
-        least = min(least, r)
-        if r < LIMIT and len(_END.findall(run)) <= PUNCTUATION * n:
-            spam += n
-    return (spam / words if words else 0.0), least
+    blocks = [("stretch", r, r) for r in runs if count_words(r) >= LEAST]
+    blocks += [("short", x, x) for x in ["\n".join(small)] if small] + [("sentences", "\n".join(said), once)] * bool(said)
+    plain = [redundancy(own) for _, _, own in blocks]
+    limit = {"stretch": LIMIT, "short": LIMIT, "sentences": EXTREME}
+    factor = model.factor("\n".join(texts)) if any(r < limit[kind] * model.highest for r, (kind, _, _) in zip(plain, blocks)) else 1.0
+    out = []
+    for (kind, text, own), r in zip(blocks, plain):
+        n, r = count_words(text), r / factor
+        density = len(_END.findall(own)) / max(1.0, count_words(own))
+        out.append(Judged(kind, n, r, density, n >= LEAST and (r < EXTREME or (kind != "sentences" and r < LIMIT and density <= PUNCTUATION))))
+    return out
+
+
+def spam_share(texts: list[str], model: Model = NO_MODEL) -> tuple[float, float]:
+    """(share of words in redundant blocks, lowest normalised ratio)."""
+    blocks = judge(texts, model)
+    words = sum(b.words for b in blocks)
+    return (sum(b.words for b in blocks if b.spam) / words if words else 0.0), min((b.redundancy for b in blocks if b.words >= LEAST), default=1.0)
 
 
-def page_spam(page: Page) -> tuple[float, float]:
-    return spam_share([b.text for b in own_region(page)])
+def page_spam(page: Page, model: Model = NO_MODEL) -> tuple[float, float]:
+    return spam_share([b.text for b in own_region(page)], model)

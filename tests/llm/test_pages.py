@@ -102,6 +102,26 @@ def test_spam_below_half_is_none():
     assert spam.page_spam(pages.parse(body(f"<h1>A headline</h1>{long}<p>{stuffed(60)}</p>")))[0] < 0.5
 
 
+def test_language_factors(filters):
+    """The same text is more or less redundant by what its language's ordinary text compresses to."""
+    rows = [(x, " ".join(own[(i + k) % 5] for k in range(5))) for x, own in SENTENCES.items() for i in range(40)]
+    model = spam.fit(rows)
+    assert set(model.factors) == {"en", "fr", "ru"} and model.factors["ru"] < model.factors["en"]
+    text = " ".join(SENTENCES["ru"])
+    assert model.language(text) == "ru" and spam.redundancy(text, model.factors["ru"]) > spam.redundancy(text) * 1.02
+    assert spam.NO_MODEL.factor("anything") == 1.0 and spam.fit([]).highest == 1.0
+
+
+def test_blocks():
+    blocks = spam.judge([SENTENCES["en"][0], SENTENCES["en"][1], "Heading", "cell one", "cell two", stuffed()])
+    kinds = {b.kind: b for b in blocks}
+    assert kinds["stretch"].spam and kinds["stretch"].density == 0 and not kinds["sentences"].spam
+    assert spam.judge([]) == [] and not any(b.spam for b in spam.judge(["x y"]))
+    # many short runs are judged together
+    short = [x for k in range(30) for x in ("cheap boots loan", SENTENCES["en"][k % 5])]
+    assert {b.kind: b for b in spam.judge(short)}["short"].spam
+
+
 # --- 4 -----------------------------------------------------------------------------------------------
 
 
@@ -253,21 +273,21 @@ def test_frames(table):
     assert ids(fetches.garbled_ids(table)) == [2]
     restored = fetches.garbled_pages(table).first()
     assert SENTENCES["fr"][1] in restored.restored and restored.fitting == "utf-8"
-    hashes = fetches.main_body_hashes(table).where("fetch_id = 1").collect()
+    hashes = fetches.main_body_hashes(table).where("not spam and fetch_id = 1").collect()
     assert {r.block_md5 for r in hashes} >= {hashlib.md5(SENTENCES["fr"][3].encode()).hexdigest()} and len(hashes) == 5
-    got = ids(fetches.main_body_hashes(table).select("fetch_id").distinct())
+    got = ids(fetches.main_body_hashes(table).where("not spam").select("fetch_id").distinct())
     assert got == [1, 4, 5, 9, None]
     assert len(fetches.main_body(table).where("fetch_id = 9").select("block").distinct().collect()) == 26
 
 
 def test_labels(spark, table, filters):
     labels = spark.createDataFrame([(1, "FR-ca", 0), (2, None, 0), (3, None, 0), (4, "ru", 0), (5, "und", 0), (9, "en", 0), (None, "en", 0), (77, "", 0), (4, "ru", 0)], "fetch_id long, language string, segments int")
-    got = fetches.relabelled(fetches.languages(table, filters), labels)
+    got = fetches.relabelled(fetches.languages(table, spam.Model(filters, {})), labels)
     assert sorted({(r.fetch_id, r.segment_no, r.language) for r in got.collect()}) == [(4, 1, "en"), (5, 1, "ru")]
 
 
 def test_empty_table(spark, table, filters):
     none = table.limit(0)
-    for df in (fetches.keyword_pages(none), fetches.main_body(none), fetches.main_body_hashes(none), fetches.garbled_pages(none), fetches.garbled_ids(none), fetches.languages(none, filters)):
+    for df in (fetches.keyword_pages(none), fetches.main_body(none), fetches.main_body_hashes(none), fetches.garbled_pages(none), fetches.garbled_ids(none), fetches.languages(none, spam.Model(filters, {})), fetches.keyword_blocks(none)):
         assert df.count() == 0
     assert langid.fit_on(spark.createDataFrame([], "lang string, text string")).languages == []
