@@ -25,7 +25,6 @@ from functools import lru_cache
 LEGACY = ("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp1256", "cp1254")
 #: Encodings that the bytes of a page are tried under where the declared one does not fit.
 FITS = ("utf-8", "cp1252", "cp1250", "cp1251", "iso8859-2", "koi8-r", "cp1256", "shift_jis", "euc_jp", "euc_kr", "gbk", "big5")
-LAYERS = 4
 
 _RUN = re.compile("[^\x00-\x7f\\s\ufffd]{2,}")
 _LATIN_RUN = re.compile("[\x80-\u017f\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2,}")
@@ -150,18 +149,19 @@ def is_garbled(text: str) -> bool:
 
 
 def unwrap(text: str) -> str:
-    """One layer off: garbled runs re-encoded and strictly decoded, other text left alone."""
-    whole = None
-    for name in LEGACY[:4]:
+    """One layer off: the whole text re-encoded under the encoding that leaves it least garbled; else its garbled runs, other text left alone."""
+    wholes = []
+    for name in LEGACY:
         data = encode_loosely(text, name)
         if data is not None:
             try:
-                whole = data.decode("utf-8")
-                break
+                wholes.append(data.decode("utf-8"))
             except UnicodeDecodeError:
                 continue
-    if whole is not None and whole != text:
-        return whole
+    if wholes:
+        whole = min(dict.fromkeys(wholes), key=cost)
+        if whole != text:
+            return whole
 
     def one(m: re.Match[str]) -> str:
         found = run_trace(m[0])
@@ -172,9 +172,9 @@ def unwrap(text: str) -> str:
 
 
 def repair_text(text: str) -> tuple[str, int]:
-    """(text, layers taken off). A layer is accepted when the cost drops."""
+    """(text, layers taken off). A layer is accepted when the cost drops; it is a count, so the layers end."""
     layers, now = 0, cost(text)
-    while layers < LAYERS and now:
+    while now:
         tried = unwrap(text)
         after = cost(tried)
         if tried == text or after >= now:

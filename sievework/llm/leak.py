@@ -187,7 +187,7 @@ class Items:
     """A block of item classes: their words, and their runs sorted by hash."""
 
     classes: np.ndarray
-    words: list[list[int]]
+    words: list[np.ndarray]
     weights: list[list[float]]
     prints: np.ndarray
     owner: np.ndarray
@@ -204,7 +204,7 @@ class Items:
         words_, weights, prints, owner, place, every, short = [], [], [], [], [], [], set()
         for k, text in enumerate(texts):
             h = word_hashes(text.split(" "), memo)
-            words_.append(h.tolist())
+            words_.append(h)
             n = min(GRAM, len(h))
             if n < GRAM:
                 short.add(n)
@@ -242,6 +242,16 @@ class Items:
         return out
 
 
+    def possible(self, h: np.ndarray, found: dict[int, list[tuple[int, int]]], least: float) -> list[tuple[int, list[tuple[int, int]]]]:
+        """The items with that share of their words in the document, in whatever order: no more can be covered."""
+        have = np.unique(h)
+        flat = np.concatenate([self.words[k] for k in found])
+        at = np.minimum(np.searchsorted(have, flat), len(have) - 1)
+        sizes = np.array([len(self.words[k]) for k in found])
+        common = np.add.reduceat(have[at] == flat, np.cumsum(sizes) - sizes)
+        return [x for x, ok in zip(found.items(), common >= least * sizes) if ok]
+
+
 def _scan(shared, least: float):
     """doc_id, _class, words_found, words_in_item for the pairs of which at least that share is found."""
 
@@ -255,13 +265,10 @@ def _scan(shared, least: float):
                 found = items.hits(h)
                 if not found:
                     continue
-                doc, have = h.tolist(), Counter(h.tolist())
-                for k, hits in found.items():
+                doc: list[int] = h.tolist()
+                for k, hits in items.possible(h, found, least):
                     item = items.words[k]
-                    # no more words can be covered than both texts have in common, in whatever order
-                    if sum(min(c, have[w]) for w, c in Counter(item).items()) < least * len(item):
-                        continue
-                    covered = covered_words(item, doc, hits, items.weights[k])
+                    covered = covered_words(item.tolist(), doc, hits, items.weights[k])
                     if covered and covered >= least * len(item):
                         out.append((n, items.classes[k], covered, len(item)))
             yield pd.DataFrame(out, columns=["doc_id", "_class", "words_found", "words_in_item"])

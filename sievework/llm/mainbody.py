@@ -112,8 +112,9 @@ def region(page: Page) -> list[Block]:
     keep = {best}
     parent = nodes[best].parent
     if parent >= 0:
+        headed = _headlines(page)
         for i, n in enumerate(nodes):
-            if n.parent == parent and i != best and not chrome[i] and n.score >= SIBLING_SHARE * nodes[best].score and n.tag == nodes[best].tag and _has_headline(page, i):
+            if n.parent == parent and i != best and not chrome[i] and n.score >= SIBLING_SHARE * nodes[best].score and n.tag == nodes[best].tag and i in headed:
                 keep.add(i)
     inside = [False] * len(nodes)
     for i, n in enumerate(nodes):
@@ -126,8 +127,16 @@ def main_blocks(page: Page) -> list[Block]:
     return drop_lists(page, region(page))
 
 
-def _has_headline(page: Page, i: int) -> bool:
-    return any(page.nodes[b.node].tag == "h1" and i in page.ancestors(b.node) for b in page.blocks)
+def _headlines(page: Page) -> set[int]:
+    """The nodes above a block of an h1."""
+    out: set[int] = set()
+    for b in page.blocks:
+        if page.nodes[b.node].tag == "h1":
+            for i in page.ancestors(b.node):
+                if i in out:
+                    break
+                out.add(i)
+    return out
 
 
 def drop_lists(page: Page, blocks: list[Block]) -> list[Block]:

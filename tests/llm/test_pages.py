@@ -142,6 +142,22 @@ def test_round_trip(lang, wrong, times):
             assert encoding.repair_text(bad) == (s, times)
 
 
+@pytest.mark.parametrize("times", [5, 6])
+def test_many_layers(times):
+    assert encoding.repair_text(garble("Près de l’été", "latin-1", times)) == ("Près de l’été", times)
+
+
+@pytest.mark.parametrize("wrong", ["cp1251", "koi8-r", "iso8859-2"])
+def test_every_legacy_encoding(wrong):
+    text = "Près du café «été» à Noël"
+    bad = text.encode().decode(wrong, "strict") if wrong != "cp1251" else "".join(bytes([b]).decode(wrong) if b != 0x98 else "\x98" for b in text.encode())
+    assert encoding.repair_text(bad) == (text, 1)
+
+
+def test_html_is_found_late():
+    assert pages.is_html(b" " * 3000 + b"<p>x", None) and pages.is_html(b"x" * 3000 + b"<!DOCTYPE  html>", None) and not pages.is_html(b"x" * 3000, None)
+
+
 def test_sound_text_is_left_alone():
     for s in (*(x for own in SENTENCES.values() for x in own), "日本語の文章です。", "مرحبا بالعالم", "«CAFÉ»", "NÃO É AQUI", "Główna żółć", "“É—” ½ × 3", "", "plain"):
         assert not encoding.is_garbled(s), s
