@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,11 +34,17 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all executors share, as named by spark.checkpoint.dir. Where it is unset a local session gets a temporary one; a cluster has no such thing."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
-        where = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="sievework-"))
+        where = _OWN.get(app)
+        if where is None:
+            folder = tempfile.mkdtemp(prefix="sievework-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            where = _OWN[app] = "file://" + folder
     return where.rstrip("/")
 
 
@@ -67,9 +76,19 @@ def attach(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
 
 
+#: Plans whose partitions are those of their source: counting them runs nothing.
+_PLAIN = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "RelationV2", "Union"}
+
+
+def _plain(node) -> bool:
+    children = node.children()
+    return node.nodeName().split(" ")[0] in _PLAIN and all(_plain(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a scan of far fewer partitions than there are cores is dealt out over them; any other is left as it is."""
+    """For work that is heavy per row: a scan of far fewer partitions than there are cores is dealt out over them; any other plan is left as it is."""
     sc = df.sparkSession.sparkContext
-    if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= sc.defaultParallelism:
+    execution = df._jdf.queryExecution()
+    if _plain(execution.optimizedPlan()) and execution.toRdd().getNumPartitions() * 2 <= sc.defaultParallelism:
         return df.repartition(sc.defaultParallelism)
     return df

@@ -32,12 +32,68 @@ def test_delivery_keeps_the_first_of_each(spark):
     store.merge(second)
     assert sorted(r.delivery_id for r in store.winners().collect()) == [1, 6, 7, 9, 10]
     assert store.manifest()["parts"]["2026-01-09"] == before["2026-01-09"], "a partition that nothing touched was rewritten"
-    assert rows(delivery.repeated_deliveries(store, first.union(second))) == [(11,), (3,), (4,), (8,)]
+    assert rows(delivery.repeated_deliveries(store, first.union(second))) == [(11,), (3,), (4,), (8,), (9,)], "9 came twice under one id: one copy is a repeat"
     again = store.winners().count()
     store.merge(second)
     assert store.winners().count() == again
 
 
+def test_equal_and_null_delivery_ids(spark):
+    m = messages(spark, [(5, "a", "x", None), (5, "a", "x", None), (5, "a", "x", None), (7, "a", "x", None), (None, "b", "y", None), (None, "b", "y", None), (None, "c", "z", None), (4, "c", "z", None), (None, "d", "q", None)])
+    store = delivery.replay(delivery.DeliveryStore(spark), m)
+    assert sorted((r[0] is None, r[0]) for r in delivery.repeated_deliveries(store, m).collect()) == [(False, 5), (False, 5), (False, 7), (True, None), (True, None)]
+    assert store.winners().count() == 4
+
+
+def test_an_open_reader_keeps_its_files(spark):
+    from datetime import datetime
+
+    store = delivery.DeliveryStore(spark)
+    one = messages(spark, [(3, "a", None, datetime(2026, 1, 1)), (4, "b", None, datetime(2026, 1, 1))])
+    store.merge(one)
+    reader = store.winners()
+    store.merge(messages(spark, [(1, "a", None, datetime(2026, 1, 1))]))
+    assert sorted(r.delivery_id for r in reader.collect()) == [3, 4], "the version a reader had planned on is gone"
+    assert sorted(r.delivery_id for r in store.winners().collect()) == [1, 4]
+
+
+def test_two_writers(spark, monkeypatch):
+    """The second of two that start from one manifest merges anew; nothing is lost."""
+    from datetime import datetime
+
+    store, other = delivery.DeliveryStore(spark), None
+    other = delivery.DeliveryStore(spark, store.path)
+    at = datetime(2026, 1, 1)
+    store.merge(messages(spark, [(10, "a", None, at)]))
+    publish, between = delivery.DeliveryStore._publish, []
+
+    def late(self, old, new):
+        if self is store and not between:
+            between.append(other.merge(messages(spark, [(2, "a", None, at), (11, "c", None, at)])))
+        return publish(self, old, new)
+
+    monkeypatch.setattr(delivery.DeliveryStore, "_publish", late)
+    store.merge(messages(spark, [(5, "a", None, at), (6, "b", None, at)]))
+    assert between and sorted(r.delivery_id for r in store.winners().collect()) == [2, 6, 11]
+    assert store.index().count() == 3 and store.manifest()["number"] == 3
+
+
+def test_index_is_cut_and_compacted(spark, monkeypatch):
+    from datetime import datetime
+
+    monkeypatch.setattr(delivery, "FILE_ROWS", 10)
+    monkeypatch.setattr(delivery, "PIECES", 2)
+    store = delivery.DeliveryStore(spark)
+    for k in range(6):
+        store.merge(messages(spark, [(100 * k + i, f"u{(k * 7 + i) % 90}", None, datetime(2026, 1, 1 + i % 2)) for i in range(25)]))
+    seen = {(k * 7 + i) % 90: 0 for k in range(6) for i in range(25)}
+    m = store.manifest()
+    assert m["buckets"] > 1 and all(len(x) <= 3 for x in m["index"].values())
+    assert store.index().select("msg").distinct().count() == store.index().count() == m["rows"] == store.winners().count()
+    # a message of url and day: u and its two days
+    assert m["rows"] == len({((k * 7 + i) % 90, i % 2) for k in range(6) for i in range(25)}) and len(seen) <= m["rows"]
+
+
 def test_delivery_of_nothing(spark):
     store = delivery.replay(delivery.DeliveryStore(spark), messages(spark, []))
     assert store.winners().count() == 0
