@@ -71,23 +71,54 @@ def hits(edges: DataFrame, iterations: int = 5) -> DataFrame:
     return nodes.join(hubs, "node", "left").join(authorities, "node", "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Rows and an order-free hash: two tables of distinct edges with one state are equal."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """node, component (the smallest node). Alternating large-star and small-star contraction: rounds grow with the log of the longest path.
 
-    edges: src, dst of one type; direction is ignored. Nothing but a change count reaches the driver.
+    edges: src, dst of one type; direction is ignored. One row a round reaches the driver, which tells whether anything changed.
+    Labels that still change after max_rounds are no result: RuntimeError.
     """
     e = materialise(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct(), "cc")
+    before = _state(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(smallest, "a")
-        nxt = materialise(star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
-        same = nxt.exceptAll(e).limit(1).count() == 0 and e.exceptAll(nxt).limit(1).count() == 0
-        e = nxt
-        if same:
+        e = materialise(star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
+        after = _state(e)
+        if after == before:
             break
+        before = after
+    else:
+        raise RuntimeError(f"the components still changed after {max_rounds} rounds")
     labels = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = e.select(F.col("b").alias("node")).distinct().join(labels.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
     return labels.unionByName(roots)
+
+
+def salsa(edges: DataFrame) -> DataFrame:
+    """RK-23: node, authority by the random walk from authorities over hubs. On a connected graph it is the in-degree's share; components weigh by their authorities.
+
+    Within a component the walk ends at in-degree / edges of the component, so no iteration is needed.
+    """
+    edges = materialise(edges, "edges")
+    sides = edges.select(F.concat(F.lit("h:"), "src").alias("src"), F.concat(F.lit("a:"), "dst").alias("dst"))
+    parts = connected_components(sides)
+    degree = edges.groupBy("dst").agg(F.count("*").alias("_in")).select(F.concat(F.lit("a:"), "dst").alias("node"), "_in")
+    own = materialise(degree.join(parts, "node"), "salsa")
+    sizes = own.groupBy("component").agg(F.sum("_in").alias("_edges"), F.count("*").alias("_nodes"))
+    total = own.agg(F.count("*").alias("_all"))
+    return attach(own.join(sizes, "component"), total).select(F.substring("node", 3, 1 << 20).alias("node"), (F.col("_in") / F.col("_edges") * F.col("_nodes") / F.col("_all")).alias("authority"))
+
+
+def trust_ratio(ranks: DataFrame, trust: DataFrame) -> DataFrame:
+    """RK-22: node, rank, trust, ratio of rank to trust: high where links come from nowhere that is trusted."""
+    both = ranks.join(trust.select("node", F.col("rank").alias("trust")), "node", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
+    return both.select("node", "rank", "trust", F.when(F.col("trust") > 0, F.col("rank") / F.col("trust")).alias("ratio"))

@@ -14,6 +14,8 @@ from ..session import attach
 from .ranks import CHUNK, chunked_row_number, global_row_number
 
 BLOCK_DOCS = 128
+#: Documents of a range: ids follow the static rank, so a range is of one rank.
+RANGE_DOCS = 32
 MERGE_SEGMENTS, MERGE_DEAD = 8, 0.25
 
 
@@ -35,9 +37,21 @@ def assign_doc_ids(docs: DataFrame) -> DataFrame:
     return global_row_number(docs, [F.desc("static_rank"), F.asc("external_id")], "doc_id")
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """IB-02: key, term, tf, positions."""
-    return docs.select(key, F.explode("terms").alias("term", "positions")).select(key, "term", F.greatest(F.size("positions"), F.lit(1)).cast("bigint").alias("tf"), F.array_sort("positions").alias("positions"))
+def postings(docs: DataFrame, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """IB-02: key, term, tf, positions, and the columns of the document to keep."""
+    own = keep or []
+    rows = docs.select(key, *own, F.explode("terms").alias("term", "positions"))
+    return rows.select(key, "term", F.greatest(F.size("positions"), F.lit(1)).cast("bigint").alias("tf"), F.array_sort("positions").alias("positions"), *own)
+
+
+def range_of(doc_id: Column) -> Column:
+    """The range of document ids that shares bounds."""
+    return F.floor(doc_id / RANGE_DOCS).cast("bigint")
+
+
+def range_bounds(posts: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """IB-05 by ranges that all terms share: term, range, docs, max_saturation. posts: term, range, tf, length, _avg."""
+    return posts.groupBy("term", "range").agg(F.count("*").alias("docs"), F.max(saturation(F.col("tf"), F.col("length"), F.col("_avg"), k1, b)).alias("max_saturation"))
 
 
 def dictionary(posts: DataFrame) -> DataFrame:

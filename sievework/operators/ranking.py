@@ -6,11 +6,13 @@ descending, then doc_id (or external id); rank 1 is best.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import attach, spread
-from .index import idf, saturation
+from ..session import attach, materialise, spread
+from .index import idf, range_bounds, range_of, saturation
 from .ranks import top_k
 
 # Weight and length normalisation of each field.
@@ -28,22 +30,39 @@ def query_table(spark, queries: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame([(q, t, n) for (q, t), n in rows.items()], "query_id string, term string, qtf int")
 
 
+#: Terms of all queries of a call that go into the scan as a filter; more are joined.
+FILTER_TERMS = 5000
+
+
+def of_terms(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of the query terms: the scan of a table sorted by term skips the rest."""
+    terms = [r[0] for r in queries.select("term").distinct().limit(FILTER_TERMS + 1).collect()]  # the terms of the call's own queries
+    return table.where(F.col("term").isin(terms)) if len(terms) <= FILTER_TERMS else table.join(queries.select("term").distinct(), "term", "left_semi")
+
+
 def matching(posts: DataFrame, queries: DataFrame) -> DataFrame:
-    return posts.join(F.broadcast(queries), "term")
+    return of_terms(posts, queries).join(F.broadcast(queries), "term")
 
 
-def term_weights(posts: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+def term_weights(posts: DataFrame, queries: DataFrame, docs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """query_id, term, qtf, idf of the query terms that the dictionary holds."""
-    wanted = queries.select("term").distinct()
-    df = posts.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("_df"))
+    if dictionary is None:
+        df = of_terms(posts, queries).groupBy("term").agg(F.count("*").alias("_df"))
+    else:
+        df = of_terms(dictionary, queries).select("term", F.col("doc_freq").alias("_df"))
     size = docs.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
     return attach(queries.join(df, "term"), size).select("query_id", "term", "qtf", idf(F.col("_df"), F.col("_n")).alias("idf"), F.col("_avg").alias("avg_length"))
 
 
-def scored(posts: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def with_lengths(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Postings of a stored index carry the length of their document; others get it by a join."""
+    return posts if "length" in posts.columns else posts.join(docs.select("doc_id", "length"), "doc_id")
+
+
+def scored(posts: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, dictionary: DataFrame | None = None) -> DataFrame:
     """RK-04 without the cut: query_id, doc_id, score."""
-    weights = term_weights(posts, queries, docs)
-    hits = posts.select("term", "doc_id", "tf").join(F.broadcast(weights), "term").join(docs.select("doc_id", "length"), "doc_id")
+    weights = term_weights(posts, queries, docs, dictionary)
+    hits = with_lengths(of_terms(posts, queries), docs).select("term", "doc_id", "tf", "length").join(F.broadcast(weights), "term")
     part = F.col("qtf") * F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -53,32 +72,61 @@ def best(scores: DataFrame, k: int, tie: str = "doc_id") -> DataFrame:
     return top_k(scores, ["query_id"], [F.desc(F.round("score", 9)), F.asc(tie)], k, F.col(tie))
 
 
-def bm25_top_k(posts: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return best(scored(posts, docs, queries), k)
+def bm25_top_k(posts: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, dictionary: DataFrame | None = None) -> DataFrame:
+    return best(scored(posts, docs, queries, dictionary=dictionary), k)
+
 
+def upper_bound(bounds: DataFrame, weights: DataFrame) -> DataFrame:
+    """RK-03: query_id, range, _bound (no document of the range scores higher), _docs (that match one term at least)."""
+    parts = bounds.join(F.broadcast(weights), "term").select("query_id", "range", (F.col("qtf") * F.col("idf") * F.col("max_saturation")).alias("_max"), "docs")
+    return parts.groupBy("query_id", "range").agg(F.sum("_max").alias("_bound"), F.max("docs").alias("_docs"))
 
-def bm25_pruned_top_k(posts: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, block: int = 128) -> tuple[DataFrame, DataFrame]:
-    """RK-05/06: the same answer from fewer documents, and how many were scored.
 
-    Documents lie in blocks of doc_ids. The bound of a block is the sum over the terms of idf times the largest
-    saturation in it. The blocks with the highest bounds that together hold k matches give a threshold; only blocks
-    whose bound reaches it are scored.
+def bm25_pruned_top_k(posts: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, bounds: DataFrame | None = None, dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """RK-05/06: the same answer from the postings of fewer ranges of documents, and how much was read.
+
+    The stored bounds of the query terms, a small table, give each range a score that none of its documents exceeds. The
+    ranges of the highest bounds that hold k matches are scored and give a threshold; then only ranges whose bound reaches
+    it are read. Their numbers go into the scan of the postings, so other row groups are skipped.
     """
-    weights = term_weights(posts, queries, docs)
-    sized = posts.select("term", "doc_id", "tf").join(F.broadcast(weights), "term").join(docs.select("doc_id", "length"), "doc_id")
-    parts = sized.select("query_id", "term", "doc_id", F.floor(F.col("doc_id") / block).alias("_block"), (F.col("qtf") * F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"))).alias("_part"))
-    maxima = parts.groupBy("query_id", "_block", "term").agg(F.max("_part").alias("_max"), F.count("*").alias("_n"))
-    bounds = maxima.groupBy("query_id", "_block").agg(F.sum("_max").alias("_bound"), F.max("_n").alias("_docs"))
-    # k blocks hold k matches at least
-    heads = top_k(bounds, ["query_id"], [F.desc("_bound"), F.asc("_block")], k, F.col("_block"), "_rank").select("query_id", "_block")
-    first = parts.join(F.broadcast(heads), ["query_id", "_block"]).groupBy("query_id", "doc_id").agg(F.sum("_part").alias("score"))
+    if bounds is None:
+        known = attach(with_lengths(posts, docs), docs.agg(F.avg("length").alias("_avg"))).withColumn("range", range_of(F.col("doc_id")))
+        bounds = range_bounds(known)
+    posts = posts if "range" in posts.columns else posts.withColumn("range", range_of(F.col("doc_id")))
+    weights = _held(term_weights(posts, queries, docs, dictionary))
+    limits = materialise(upper_bound(of_terms(bounds, queries), weights), "bounds")
+    ahead = F.coalesce(F.sum("_docs").over(Window.partitionBy("query_id").orderBy(F.desc("_bound"), "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # k ranges hold k matches at least, so no more than k of each query are looked at
+    heads = top_k(limits, ["query_id"], [F.desc("_bound"), F.asc("range")], k, F.col("range"), "_rank").withColumn("_ahead", ahead).where(F.col("_ahead") < k)
+    own = of_terms(posts, queries)
+    first = _ranges_scored(own, docs, _held(heads.select("query_id", "range", "_docs")), weights)
     kth = best(first, k).groupBy("query_id").agg(F.min("score").alias("_kth"), F.count("*").alias("_found"))
     threshold = kth.select("query_id", F.when(F.col("_found") >= k, F.col("_kth")).otherwise(F.lit(0.0)).alias("_theta"))
-    kept = bounds.join(F.broadcast(threshold), "query_id").where(F.col("_bound") >= F.col("_theta") - 1e-9).select("query_id", "_block")
-    scores = parts.join(kept, ["query_id", "_block"]).groupBy("query_id", "doc_id").agg(F.sum("_part").alias("score"))
-    all_docs = parts.groupBy("query_id").agg(F.count_distinct("doc_id").alias("matching_docs"))
-    stats = scores.groupBy("query_id").agg(F.count("*").alias("scored_docs")).join(all_docs, "query_id").withColumn("skip_ratio", F.lit(1.0) - F.col("scored_docs") / F.col("matching_docs"))
-    return best(scores, k), stats
+    kept = _held(limits.join(F.broadcast(threshold), "query_id").where(F.col("_bound") >= F.col("_theta") - 1e-9).select("query_id", "range", "_docs"))
+    scores = _ranges_scored(own, docs, kept, weights)
+    per = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(f"ranges_{name}"), F.sum("_docs").alias(f"docs_{name}"))
+    stats = per(limits, "all").join(per(kept, "read"), "query_id").join(scores.groupBy("query_id").agg(F.count("*").alias("scored_docs")), "query_id")
+    return best(scores, k), stats.withColumn("skip_ratio", F.lit(1.0) - F.col("ranges_read") / F.col("ranges_all"))
+
+
+#: Rows that the driver holds between two steps of a pruned search, and puts into the scan as a filter; more go by a table.
+HELD_ROWS = 10_000
+
+
+def _held(df: DataFrame) -> DataFrame:
+    rows = df.limit(HELD_ROWS + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= HELD_ROWS else materialise(df, "held")
+
+
+def _ranges_scored(posts: DataFrame, docs: DataFrame, ranges: DataFrame, weights: DataFrame) -> DataFrame:
+    """query_id, doc_id, score over the postings of some ranges. ranges: query_id, range."""
+    wanted = [r[0] for r in ranges.select("range").distinct().limit(HELD_ROWS + 1).collect()]
+    few = len(wanted) <= HELD_ROWS
+    near = posts.where(F.col("range").isin(wanted)) if few else posts
+    pairs = ranges.select("query_id", "range")
+    hits = with_lengths(near, docs).select("term", "doc_id", "tf", "length", "range").join(F.broadcast(weights), "term").join(F.broadcast(pairs) if few else pairs, ["query_id", "range"])
+    part = F.col("qtf") * F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"))
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 # --- fields ------------------------------------------------------------------------------------------
@@ -247,7 +295,7 @@ def snippet(text: Column, terms: list[str], size: int = 160) -> Column:
     rated = F.transform(sentences, lambda s, i: F.struct((-hits(s)).alias("m"), i.alias("i"), s.alias("s")))
     out = F.substring(F.array_min(rated)["s"], 1, size)
     for t in terms:
-        out = F.regexp_replace(out, f"(?i)({t})", "[$1]")
+        out = F.regexp_replace(out, f"(?i)({re.escape(t)})", "[$1]")
     return out
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, index, ranking, ranks
-from ..session import attach, materialise, read_table
+from ..session import attach, read_table
+from ..sources import segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +21,14 @@ def _values(queries: dict[str, list[str]]) -> str:
     return ", ".join(f"('{q}', '{t}', {terms.count(t)})" for q, terms in queries.items() for t in dict.fromkeys(terms))
 
 
+def _store(spark: SparkSession, d: str) -> segments.Published:
+    """The published index over input_documents: built once an application, read by every search."""
+    return segments.published(spark, ("input", d), lambda: index.records(read_table(spark, d, "input_documents")))
+
+
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = index.assign_doc_ids(index.records(read_table(spark, d, "input_documents")))
-    docs = materialise(docs, "docs")
-    return docs, index.postings(docs)
+    s = _store(spark, d)
+    return s.docs, s.postings
 
 
 _DOCS = """
@@ -56,7 +61,7 @@ def _out(ranked: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def dictionary_stats(spark, d):
-    return index.dictionary(_index(spark, d)[1])
+    return _store(spark, d).dictionary
 
 
 def docid_assignment(spark, d):
@@ -68,8 +73,12 @@ def inverted_postings(spark, d):
 
 
 def posting_blocks(spark, d):
-    docs, posts = _index(spark, d)
-    return index.posting_blocks(posts, docs).withColumn("max_saturation", F.round("max_saturation", 6))
+    return _store(spark, d).blocks.withColumn("max_saturation", F.round("max_saturation", 6))
+
+
+def posting_range_bounds(spark, d):
+    """IB-05 by ranges of document ids."""
+    return _store(spark, d).bounds.withColumn("max_saturation", F.round("max_saturation", 6))
 
 
 def posting_gaps(spark, d):
@@ -101,18 +110,21 @@ def segment_merge(spark, d):
 
 
 def bm25_topk(spark, d):
-    docs, posts = _index(spark, d)
-    return _out(ranking.bm25_top_k(posts, docs, ranking.query_table(spark, SEARCHES)))
+    s = _store(spark, d)
+    return _out(ranking.bm25_top_k(s.postings, s.docs, ranking.query_table(spark, SEARCHES), dictionary=s.dictionary))
+
+
+def _pruned(spark, d):
+    s = _store(spark, d)
+    return ranking.bm25_pruned_top_k(s.postings, s.docs, ranking.query_table(spark, SEARCHES), bounds=s.bounds, dictionary=s.dictionary)
 
 
 def bm25_pruned_topk(spark, d):
-    docs, posts = _index(spark, d)
-    return _out(ranking.bm25_pruned_top_k(posts, docs, ranking.query_table(spark, SEARCHES))[0])
+    return _out(_pruned(spark, d)[0])
 
 
 def bm25_pruning_stats(spark, d):
-    docs, posts = _index(spark, d)
-    return ranking.bm25_pruned_top_k(posts, docs, ranking.query_table(spark, SEARCHES))[1]
+    return _pruned(spark, d)[1].withColumn("skip_ratio", F.round("skip_ratio", 6))
 
 
 def bm25_multisegment_topk(spark, d):
@@ -121,7 +133,7 @@ def bm25_multisegment_topk(spark, d):
     queries = ranking.query_table(spark, SEARCHES)
     segment = F.when(F.substring("external_id", 3, 1) < "8", 0).otherwise(1)
     docs = docs.withColumn("segment", segment)
-    placed = posts.join(docs.select("doc_id", "segment", "length"), "doc_id").join(F.broadcast(queries), "term")
+    placed = ranking.matching(posts, queries).join(docs.select("doc_id", "segment"), "doc_id")
     df = placed.groupBy("segment", "term").agg(F.count_distinct("doc_id").alias("_df"))
     total = docs.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
     rows = attach(placed.join(F.broadcast(df), ["segment", "term"]), total)
@@ -258,7 +270,7 @@ def dense_knn(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        dictionary_stats, docid_assignment, inverted_postings, posting_blocks, posting_gaps, front_coding, corpus_stats_merge, segment_merge, bm25_topk, bm25_pruned_topk,
+        dictionary_stats, docid_assignment, inverted_postings, posting_blocks, posting_range_bounds, posting_gaps, front_coding, corpus_stats_merge, segment_merge, bm25_topk, bm25_pruned_topk,
         bm25_pruning_stats, bm25_multisegment_topk, bm25_with_tombstones, minimum_should_match, phrase_match, proximity_sdm, search_page, suggest_terms, tier_and_shard, tier_spill,
         ndcg_eval, grid_search, lever_gain, field_averages, bm25f_topk, bm25f_per_field_topk, bm25f_static_prior, bm25f_multiplicative_prior, rrf_hybrid, dense_knn,
     )
@@ -325,6 +337,23 @@ select term, block::bigint as block, docs::bigint as docs, max_gap::bigint as ma
     "segment_merge": f"""with {_DOCS}, {_TOMBS}
 select (row_number() over (order by static_rank desc, external_id) - 1)::bigint as doc_id, external_id, length from docs where external_id not in (select external_id from gone)""",
     "bm25_topk": f"with {_DOCS}, {_SCORED} {_top('scored')}",
+    "posting_range_bounds": f"""with {_DOCS}
+select term, (doc_id // {index.RANGE_DOCS})::bigint as range, count(*)::bigint as docs, round(max(p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * x.length / avg_length))), 6) as max_saturation
+from posts p join docs x using (doc_id), stats group by 1, 2""",
+    "bm25_pruning_stats": f"""with {_DOCS}, {_SCORED},
+maxima as (select query_id, doc_id // {index.RANGE_DOCS} as range, term, max(part) as most, count(*) as docs from parts group by 1, 2, 3),
+limits as (select query_id, range, sum(most) as bound, max(docs) as docs from maxima group by 1, 2),
+placed as (select *, row_number() over w as place, coalesce(sum(docs) over (partition by query_id order by bound desc, range rows between unbounded preceding and 1 preceding), 0) as ahead
+           from limits window w as (partition by query_id order by bound desc, range)),
+heads as (select query_id, range from placed where place <= 10 and ahead < 10),
+firsts as (select s.query_id, s.score, row_number() over (partition by s.query_id order by round(s.score, 9) desc, s.doc_id) as place from scored s join heads h on h.query_id = s.query_id and h.range = s.doc_id // {index.RANGE_DOCS}),
+theta as (select query_id, case when count(*) >= 10 then min(score) else 0 end as theta from firsts where place <= 10 group by 1),
+kept as (select l.* from limits l join theta using (query_id) where bound >= theta - 1e-9),
+a as (select query_id, count(*) as ranges_all, sum(docs) as docs_all from limits group by 1),
+r as (select query_id, count(*) as ranges_read, sum(docs) as docs_read from kept group by 1),
+n as (select s.query_id, count(*) as scored_docs from scored s join kept k on k.query_id = s.query_id and k.range = s.doc_id // {index.RANGE_DOCS} group by 1)
+select query_id, ranges_all::bigint as ranges_all, docs_all::bigint as docs_all, ranges_read::bigint as ranges_read, docs_read::bigint as docs_read, scored_docs::bigint as scored_docs,
+  round(1.0 - ranges_read / ranges_all, 6) as skip_ratio from a join r using (query_id) join n using (query_id)""",
     "bm25_pruned_topk": f"with {_DOCS}, {_SCORED} {_top('scored')}",
     "bm25_multisegment_topk": f"""with {_DOCS},
 queries(query_id, term, qtf) as (values {_values(SEARCHES)}),

@@ -25,6 +25,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """The data files of a folder and their bytes."""
+    p, fs = _path(spark, folder)
+    return {x.getPath().getName(): x.getLen() for x in fs.listStatus(p) if not x.getPath().getName().startswith(("_", "."))}
+
+
 def read_json(spark: SparkSession, name: str) -> dict | None:
     p, fs = _path(spark, name)
     if not fs.exists(p):

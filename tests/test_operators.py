@@ -127,13 +127,14 @@ def corpus(spark, n=60):
     return spark.createDataFrame(data, "external_id string, terms map<string,array<int>>, static_rank double, length int")
 
 
-def test_bm25_pruned_equals_exhaustive_and_formula(spark):
+def test_bm25_pruned_equals_exhaustive_and_formula(spark, monkeypatch):
     docs = index.assign_doc_ids(index.records(corpus(spark)))
     posts = index.postings(docs)
     q = ranking.query_table(spark, {"a": ["w1", "w3"], "b": ["w0", "w0", "w5"], "none": ["zzz"]})
     full = ranking.bm25_top_k(posts, docs, q, 5)
-    for block in (2, 8, 128):
-        cut, stats = ranking.bm25_pruned_top_k(posts, docs, q, 5, block)
+    for size in (2, 8, 128):
+        monkeypatch.setattr(index, "RANGE_DOCS", size)
+        cut, stats = ranking.bm25_pruned_top_k(posts, docs, q, 5)
         assert [(r[0], r[1], round(r[2], 9)) for r in rows(cut.select("query_id", "doc_id", "score"))] == [(r[0], r[1], round(r[2], 9)) for r in rows(full.select("query_id", "doc_id", "score"))]
     assert stats.count() == 2
     one = {r["doc_id"]: r for r in docs.collect()}
@@ -174,11 +175,50 @@ def test_segment_files(spark):
     assert two["parent"] == one["id"] and g.rollback()["id"] == one["id"]
     with pytest.raises(FileNotFoundError):
         segments.open_segment(spark, base + "/none")
+    segments.write_segment(recs, base + "/s3", "a1", hashes=True)
+    assert segments.open_segment(spark, base + "/s3", rows=True)[0]["doc_count"] == recs.count()
+    with pytest.raises(ValueError):
+        segments.open_segment(spark, base + "/s1", rows=True)
     spark.read.parquet(base + "/s1/dictionary").limit(1).write.mode("append").parquet(base + "/s1/dictionary")
     with pytest.raises(ValueError):
         segments.open_segment(spark, base + "/s1")
 
 
+def test_index_that_grows(spark):
+    """IB-20: add, delete, undelete, replace, merge, publish; what is not published is not searched."""
+    from sievework.session import scratch_path
+    from sievework.sources import segments
+
+    recs = index.records(corpus(spark))
+    ids = lambda x: {r.external_id for r in x.select("external_id").collect()}
+    every = ids(recs)
+    old, new = recs.where("external_id < 'doc-030'"), recs.where("external_id >= 'doc-030'")
+    s = segments.SearchIndex(spark, scratch_path(spark, "grow"), "a1")
+    assert not s.maintain()
+    s.add(old)
+    s.publish()
+    s.add(new)
+    assert ids(s.docs()) == ids(old), "nothing more is served before it is published"
+    s.delete(recs.where("external_id in ('doc-001', 'doc-002', 'doc-040')"))
+    s.undelete(recs.where("external_id = 'doc-002'"))
+    s.add(recs.where("external_id = 'doc-005'").withColumn("static_rank", F.lit(0.999)))
+    s.publish()
+    assert ids(s.alive()) == every - {"doc-001", "doc-040"}
+    assert s.alive().where("external_id = 'doc-005'").count() == 1 and s.docs().where("external_id = 'doc-005'").count() == 2
+    assert s.docs().select("doc_id").distinct().count() == 61
+    q = ranking.query_table(spark, {"a": ["w1", "w3"]})
+    scores = ranking.scored(s.postings(), s.docs(), q)
+    hits = ranking.best(scores.join(s.alive().select("doc_id"), "doc_id", "left_semi"), 5)
+    cut = ranking.bm25_pruned_top_k(s.postings(), s.docs(), q, 5)[0]
+    assert hits.count() == 5 and rows(cut.select("doc_id")) == rows(ranking.best(scores, 5).select("doc_id"))
+    reopened = segments.SearchIndex(spark, s.path, "a1")
+    assert not reopened.maintain() and ids(reopened.alive()) == every - {"doc-001", "doc-040"}
+    reopened.delete(recs.where("external_id < 'doc-020'"))
+    assert reopened.maintain() and len(reopened.segments) == 1
+    reopened.publish()
+    assert ids(reopened.docs()) == ids(reopened.alive()) == {x for x in every if x >= "doc-020"} - {"doc-040"}
+
+
 def test_fields_saturate_once(spark):
     stuffed = {f: {"block": [0]} for f in ("title", "headings", "body", "anchors", "url_text")}
     honest = {"body": {"block": [0, 5, 9], "other": [1, 2]}}
