@@ -390,3 +390,46 @@ def test_clicks_and_queries():
     for bad in ("x" * 513, " ".join("abc" * 20), "*a"):
         with pytest.raises(ValueError):
             ranking.validate_query(bad if bad != " ".join("abc" * 20) else "a " * 33)
+
+
+# --- frontier ----------------------------------------------------------------------------------------
+
+
+def test_frontier_admission(spark):
+    from sievework.operators import frontier
+
+    offers = spark.createDataFrame(
+        [("k1", "a", "https://a.test/x/1", 1), ("k1", "a", "https://a.test/x/1", 2), ("k2", "a", "https://a.test/x/2", 3), ("k3", "a", "https://a.test/bad/3", 4), ("k4", "a", "https://a.test/x/4", 5), ("k5", "b", "https://b.test/q", 6), (None, "b", "x", 7), ("k6", None, "x", 8), ("k7", "b", "https://b.test/r", 9), ("k8", "c", "https://c.test/r", 10)],
+        "key string, domain string, url string, ord bigint",
+    )
+    traps = spark.createDataFrame([("a.test/bad",), ("b.test/r",)], "prefix string")
+    free = spark.createDataFrame([("b.test/r",)], "prefix string")
+    budgets = spark.createDataFrame([("a", 3), ("b", 9), ("c", -2)], "domain string, left bigint")
+    seen = spark.createDataFrame([("k5",)], "key string")
+    held = frontier.demoted(traps, spark.createDataFrame([("c.test/none",)], "prefix string"), free)
+    assert rows(held) == [("a.test/bad",), ("c.test/none",)]
+    got = frontier.add_many(offers, held, budgets, seen)
+    assert rows(got) == [("a", "k1", 1, 0), ("a", "k2", 3, 1), ("b", "k7", 9, 0)], "k4 is the fourth claim on a budget of three"
+    assert rows(frontier.add_many(offers, held, budgets, seen, spark.createDataFrame([("k1",)], "key string"), cap=1)) == [("a", "k2", 3, 0), ("b", "k7", 9, 0)]
+    assert rows(frontier.spend(got)) == [("a", 2), ("b", 1)]
+    assert frontier.add_one(spark, "https://a.test/new", "kn", "a", held, budgets, seen) and not frontier.add_one(spark, "https://a.test/bad/n", "kn", "a", held, budgets, seen)
+    assert frontier.add_many(offers.limit(0), held, budgets, seen).count() == 0
+    with pytest.raises(ValueError):
+        frontier.valid_agent("bot/1.0")
+    assert frontier.valid_agent("bot/1.0 (+https://x.test/bot)")
+
+
+def test_pauses_and_paired_buckets(spark):
+    from sievework.operators import frontier
+
+    f = spark.createDataFrame(
+        [("a", 1, 0, "throttled", 10.0), ("a", 2, 4000, "fetched", None), ("a", 3, 10_000, "fetched", None), ("a", 4, 299_000, "throttled", 900.0), ("a", 5, 598_000, "fetched", None), ("b", 6, 5000, "fetched", None), (None, 7, 1, "throttled", None), ("c", 8, 0, "throttled", None), ("c", 9, 59_999, "fetched", None)],
+        "domain string, ord bigint, at_ms bigint, outcome string, retry_after_s double",
+    )
+    assert {r.ord: r.paused_ms for r in frontier.paused(f).collect() if r.paused_ms} == {2: 6000, 5: 1000, 9: 1}
+    reqs = [("ip", d, n, t, 0) for n, (d, t) in enumerate([("a", 0), ("a", 0), ("a", 0), ("b", 0), ("b", 0), ("c", 0), ("c", 0), ("d", 0), ("a", 1000)])] + [("ip", "e", 50, 1000, 7)]
+    df = spark.createDataFrame(reqs, "address string, domain string, ord bigint, at_ms bigint, paused_ms bigint")
+    got = {r.ord: (r.allowed, r.wait_ms, r.reason) for r in frontier.paired_buckets(df).collect()}
+    # two of a domain, six of an address
+    assert got[2] == (False, 1000, "domain") and got[7] == (False, 334, "ip") and got[8] == (True, 0, "") and got[50] == (False, 7, "paused")
+    assert [got[n][0] for n in (0, 1, 3, 4, 5, 6)] == [True] * 6
