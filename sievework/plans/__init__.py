@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, core, crawling, flows, frontier, search, serving
+from . import content, core, crawling, flows, frontier, retrieval, search, serving
 
-_MODULES = (core, crawling, frontier, content, search, serving, flows)
+_MODULES = (core, crawling, frontier, content, search, retrieval, serving, flows)
 
 
 def queries() -> dict:
