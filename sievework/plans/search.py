@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, index, ranking, ranks
-from ..session import attach, read_table
+from ..operators import codec, evaluate, index, ranking, ranks
+from ..session import attach, materialise, read_table, scratch_path
 from ..sources import segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,9 +214,99 @@ def lever_gain(spark, d):
     return evaluate.lever(grid).select(*[F.round(c, 6).alias(c) for c in ("best", "worst", "gain")])
 
 
+# --- binary forms ------------------------------------------------------------------------------------
+
+
+def posting_codec(spark, d):
+    """IB-06..08: postings through packed gaps and variable-length frequencies, and back."""
+    return codec.decoded_postings(materialise(codec.encoded_postings(_store(spark, d).postings), "encoded"))
+
+
+def posting_codec_sizes(spark, d):
+    """IB-08: bits a gap by term, and blocks."""
+    blocks = codec.encoded_postings(_store(spark, d).postings)
+    return blocks.groupBy(F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int").alias("bit_width")).agg(F.count("*").alias("blocks"), F.sum("count").alias("postings"))
+
+
+def bounds_rounded_up(spark, d):
+    """IB-09: stored bounds as 32-bit numbers, and how many would be below the true one."""
+    up = F.pandas_udf(lambda s: s.map(codec.float_up), "double")
+    rows = _store(spark, d).bounds.withColumn("_up", up("max_saturation"))
+    return rows.agg(F.count("*").alias("bounds"), F.count_if(F.col("_up") < F.col("max_saturation")).alias("too_low"), F.count_if(F.col("_up") > F.col("max_saturation") * (1 + 1e-6)).alias("too_high"))
+
+
+def _targets(spark):
+    terms = sorted({t for own in SEARCHES.values() for t in own})
+    return spark.createDataFrame([(t, n) for t in terms for n in (0, 17, 150, 399)], "term string, target bigint")
+
+
+def posting_advance(spark, d):
+    """IB-11: the first posting of a term at or after a document."""
+    s = _store(spark, d)
+    return codec.advance(s.postings, s.blocks, _targets(spark)).withColumn("max_saturation", F.round("max_saturation", 6))
+
+
+def hit_positions(spark, d):
+    """IB-12: positions of the query terms in the ten best documents, read for them only."""
+    s = _store(spark, d)
+    queries = ranking.query_table(spark, SEARCHES)
+    hits = ranking.bm25_top_k(s.postings, s.docs, queries, dictionary=s.dictionary).select("query_id", "doc_id")
+    return ranking.matching(s.postings, queries).join(F.broadcast(hits), ["query_id", "doc_id"]).select("query_id", "doc_id", "term", F.array_join("positions", ",").alias("positions"))
+
+
+def front_coded_dictionary(spark, d):
+    """IB-13: the dictionary through front coding and back."""
+    return codec.dictionary_rows(materialise(codec.front_coded(_store(spark, d).dictionary), "front"))
+
+
+def dictionary_lookup(spark, d):
+    """IB-13: some terms looked up in the front-coded dictionary."""
+    blocks = codec.front_coded(_store(spark, d).dictionary)
+    return codec.lookup(blocks, _targets(spark).select("term").union(spark.createDataFrame([("no-such-term",)], "term string")))
+
+
+def tombstone_codec(spark, d):
+    """IB-15/16: deleted documents as a set of containers, and back."""
+    docs = _store(spark, d).docs
+    return codec.decoded_ids(codec.encoded_ids(docs.where("static_rank < 0.3").select("doc_id"), container=64), container=64)
+
+
+def tombstone_density(spark, d):
+    """IB-15: containers by the form that their density asks for."""
+    docs = _store(spark, d).docs
+    return codec.encoded_ids(docs.where("static_rank < 0.3 and doc_id % 7 = 0 or static_rank < 0.1").select("doc_id"), container=64).select("container", F.col("count").cast("bigint").alias("count"), "kind")
+
+
+def forward_index(spark, d):
+    """IO-12: the forward index of a segment: id, length and rank of every document in order."""
+    return _store(spark, d).docs.select("doc_id", "external_id", "length", F.col("static_rank").cast("float").cast("double").alias("rank32"))
+
+
 # --- fields ------------------------------------------------------------------------------------------
 
 
+def field_sidecar(spark, d):
+    """IO-13: what is kept beside a fielded segment: each document's field lengths, with the field's average and weight."""
+    _, posts, lengths, averages = _fields(spark, d)
+    specs = spark.createDataFrame([(f, w, b) for f, (w, b) in ranking.FIELD_SPECS.items()], "field string, weight double, b double")
+    path = scratch_path(spark, "sidecar")
+    lengths.join(F.broadcast(averages.select("field", "avg_length")), "field").join(F.broadcast(specs), "field", "left").write.parquet(path)
+    return spark.read.parquet(path).select("external_id", "field", "field_length", F.round("avg_length", 6).alias("avg_length"), "weight", "b")
+
+
+def field_lookup(spark, d):
+    """IB-35: postings of a term in one field."""
+    posts = _fields(spark, d)[1]
+    return posts.where(F.col("field").isin("title", "body") & F.col("term").isin("fita", "lapri", "mel")).select("field", "term", "external_id", "tf")
+
+
+def index_counts(spark, d):
+    """IB-36: documents, living documents, length."""
+    docs = _store(spark, d).docs
+    alive = index.live(docs, _tombstones(docs))
+    return attach(index.corpus_stats(docs), alive.agg(F.count("*").alias("live_count"))).select("doc_count", "live_count", F.round("avg_length", 6).alias("avg_length"), "total_length")
+
+
 def _fields(spark, d):
     docs = index.fielded_records(read_table(spark, d, "fielded_documents"))
     posts = index.field_postings(docs)
@@ -270,7 +360,7 @@ def dense_knn(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        dictionary_stats, docid_assignment, inverted_postings, posting_blocks, posting_range_bounds, posting_gaps, front_coding, corpus_stats_merge, segment_merge, bm25_topk, bm25_pruned_topk,
+        dictionary_stats, docid_assignment, inverted_postings, posting_blocks, posting_range_bounds, posting_gaps, posting_codec, posting_codec_sizes, bounds_rounded_up, posting_advance, hit_positions, front_coded_dictionary, dictionary_lookup, tombstone_codec, tombstone_density, forward_index, field_sidecar, field_lookup, index_counts, front_coding, corpus_stats_merge, segment_merge, bm25_topk, bm25_pruned_topk,
         bm25_pruning_stats, bm25_multisegment_topk, bm25_with_tombstones, minimum_should_match, phrase_match, proximity_sdm, search_page, suggest_terms, tier_and_shard, tier_spill,
         ndcg_eval, grid_search, lever_gain, field_averages, bm25f_topk, bm25f_per_field_topk, bm25f_static_prior, bm25f_multiplicative_prior, rrf_hybrid, dense_knn,
     )
@@ -321,7 +411,36 @@ mean as (select k1, b, avg(ndcg) as mean_ndcg, count(*) as queries from gndcg gr
 _TOMBS = """
 gone as (select external_id from docs where static_rank < 0.01 and not static_rank < 0.002)"""
 
+_TARGETS = ", ".join(f"('{t}', {n})" for t in sorted({t for own in SEARCHES.values() for t in own}) for n in (0, 17, 150, 399))
+_FIELD_POSTS = """docs as (select external_id, arg_min(fields, array_to_string(list_transform(map_entries(fields), lambda f: f.key || ':' || array_to_string(map_keys(f.value), ',')), ';')) as fields
+  from fielded_documents where external_id is not null group by 1),
+posts as (select external_id, field, e.key as term, greatest(coalesce(len(e.value), 1), 1)::bigint as tf from (select external_id, f.key as field, unnest(map_entries(f.value)) as e from (select external_id, unnest(map_entries(fields)) as f from docs)))"""
+_SPEC_ROWS = ", ".join(f"('{f}', {w}, {b})" for f, (w, b) in ranking.FIELD_SPECS.items())
+
 SQL: dict[str, str] = {
+    "posting_codec": f"with {_DOCS} select term, doc_id::bigint as doc_id, tf from posts",
+    "posting_codec_sizes": f"""with {_DOCS}, placed as (
+  select term, ((row_number() over w - 1) // 128) as block, doc_id - coalesce(lag(doc_id) over w, 0) as gap from posts window w as (partition by term order by doc_id)),
+blocks as (select term, block, count(*) as n, max(gap) as g from placed group by 1, 2)
+select (case when g = 0 then 0 else length(bin(g::bigint)) end)::int as bit_width, count(*)::bigint as blocks, sum(n)::bigint as postings from blocks group by 1""",
+    "bounds_rounded_up": f"with {_DOCS} select count(*)::bigint as bounds, 0::bigint as too_low, 0::bigint as too_high from (select distinct term, doc_id // {index.RANGE_DOCS} from posts)",
+    "posting_advance": f"""with {_DOCS}, targets(term, target) as (values {_TARGETS}),
+placed as (select p.*, length, ((row_number() over (partition by term order by doc_id) - 1) // 128) as block from posts p join docs using (doc_id)),
+blocks as (select term, block, max(doc_id) as last_doc, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) as max_saturation from placed, stats group by 1, 2),
+firsts as (select t.term, t.target, min(p.doc_id) as doc_id from targets t join posts p on p.term = t.term and p.doc_id >= t.target group by 1, 2)
+select f.term, f.target::bigint as target, f.doc_id::bigint as doc_id, b.block::bigint as block, b.last_doc::bigint as last_doc, b.max_saturation from firsts f join placed p on p.term = f.term and p.doc_id = f.doc_id join blocks b on b.term = f.term and b.block = p.block""",
+    "hit_positions": f"""with {_DOCS}, {_SCORED}, hits as (select query_id, doc_id from scored qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 10)
+select h.query_id, h.doc_id::bigint as doc_id, p.term, array_to_string(p.positions, ',') as positions from hits h join queries q using (query_id) join posts p on p.term = q.term and p.doc_id = h.doc_id""",
+    "front_coded_dictionary": f"with {_DOCS} select term, doc_freq::bigint as doc_freq, total_tf::bigint as total_tf from dict",
+    "dictionary_lookup": f"with {_DOCS}, targets(term, target) as (values {_TARGETS}) select term, doc_freq::bigint as doc_freq, total_tf::bigint as total_tf from dict where term in (select term from targets)",
+    "tombstone_codec": f"with {_DOCS} select doc_id::bigint as doc_id from docs where static_rank < 0.3",
+    "tombstone_density": f"""with {_DOCS}, c as (select doc_id // 64 as container, count(*) as count from docs where static_rank < 0.3 and doc_id % 7 = 0 or static_rank < 0.1 group by 1)
+select container::bigint as container, count::bigint as count, case when count >= 0.05 * 64 then 'dense' else 'sparse' end as kind from c""",
+    "forward_index": f"with {_DOCS} select doc_id::bigint as doc_id, external_id, length, static_rank::float::double as rank32 from docs",
+    "field_sidecar": f"""with {_FIELD_POSTS}, lengths as (select external_id, field, sum(tf)::bigint as field_length from posts group by 1, 2), specs(field, weight, b) as (values {_SPEC_ROWS})
+select external_id, l.field, field_length, round(avg(field_length) over (partition by l.field), 6) as avg_length, weight::double as weight, b::double as b from lengths l left join specs using (field)""",
+    "field_lookup": f"with {_FIELD_POSTS} select field, term, external_id, tf from posts where field in ('title', 'body') and term in ('fita', 'lapri', 'mel')",
+    "index_counts": f"with {_DOCS} select count(*)::bigint as doc_count, count_if(not (static_rank < 0.01 and not static_rank < 0.002))::bigint as live_count, round(avg(length), 6) as avg_length, sum(length)::bigint as total_length from docs",
     "dictionary_stats": f"with {_DOCS} select term, doc_freq::bigint as doc_freq, total_tf::bigint as total_tf from dict",
     "docid_assignment": f"with {_DOCS} select doc_id::bigint as doc_id, external_id, static_rank, length from docs",
     "inverted_postings": f"with {_DOCS} select term, doc_id::bigint as doc_id, tf, array_to_string(positions, ',') as positions from posts",
