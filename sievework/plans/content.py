@@ -197,6 +197,10 @@ QUERIES: dict[str, Query] = {
 
 _PAGES = "pages as (select * from (select fetch_id, url, try(decode(body)) as html from fetch_results where body is not null) where html is not null)"
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+(?:[''’]\\p{L}+)*')"
+#: A blob as text, one byte a character; the engine escapes all but plain ascii, quotes and white space among it.
+BYTES = "body::varchar"
+for _code, _char in (("22", '"'), ("27", "''"), ("0A", " "), ("0D", " "), ("09", " ")):
+    BYTES = f"replace({BYTES}, '\\x{_code}', '{_char}')"
 _MARKERS = ", ".join("'" + m.replace("'", "''") + "'" for m in html.FRAMEWORK_MARKERS)
 
 SQL: dict[str, str] = {
@@ -215,4 +219,8 @@ select fetch_id, script_weight, visible_chars,
     "char_bigrams": """with t as (select regexp_replace(text, '\\s+', '', 'g') as t from documents where lang = 'ja'),
 p as (select unnest(case when length(t) = 1 then [t] else list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) end) as pair from t)
 select pair, count(*)::bigint as n from p group by 1""",
+    "spelling_candidates": f"""with docs as (select external_id, any_value(terms) as terms from input_documents where external_id is not null group by 1),
+dict as (select term, count(*) as doc_freq from (select external_id, unnest(map_keys(terms)) as term from docs) group by 1), lim as (select greatest(1, floor(count(*) * {RARE_SHARE})) as most from docs),
+near as (select r.term as word, c.term as candidate, levenshtein(r.term, c.term) as distance, c.doc_freq from dict r, dict c, lim where r.doc_freq <= most and c.doc_freq > most and abs(length(r.term) - length(c.term)) <= 2 and levenshtein(r.term, c.term) <= 2)
+select word, candidate, distance::int as distance, doc_freq::bigint as doc_freq from near qualify row_number() over (partition by word order by distance, doc_freq desc, candidate) <= 3""",
 }

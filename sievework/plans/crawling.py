@@ -414,6 +414,24 @@ def _canon(url: str) -> str:
     )
 
 
+def canonical_ctes(table: str, extra: str, name: str = "canon") -> str:
+    """canon(key, extra columns): the whole of the canonical form in SQL, but for hosts beyond ascii. Null where an address has no key."""
+    junk, safe = _JUNK, "[A-Za-z0-9_.~/%:@!$&''()*+,;=-]"
+    resolved = ", ".join(f"'{ord(ch):02X}'" for ch in urls.RESOLVED)
+    octet = f"case when regexp_matches(x, '^[0-9a-fA-F]{{2}}') then (case when upper(x[1:2]) in ({resolved}) then chr(('0x' || x[1:2])::int) else '%' || upper(x[1:2]) end) || x[3:] else '%' || x end"
+    plus = "replace(url_encode({0}), '%20', '+')"
+    return f"""{name}_split as (select {extra}, regexp_extract(trim(translate(url, chr(9) || chr(10) || chr(13), ''), ' '), '(?is)^(https?)://([^/?#]*)([^?#]*)(?:[?]([^#]*))?(?:#.*)?$', ['scheme', 'auth', 'path', 'query']) as u from {table} where url is not null),
+{name}_named as (select {extra}, lower(u.scheme) as scheme, regexp_extract(regexp_replace(u.auth, '^.*@', ''), '^([^:]*)(?::(.*))?$', ['host', 'port']) as h, contains(u.auth, '[') or contains(u.auth, ']') as bracket, u.path as path, u.query as query from {name}_split),
+{name}_resolved as (select *, rtrim(lower(h.host), '.') as host, string_split(path, '%')[1] || coalesce(array_to_string(list_transform(string_split(path, '%')[2:], lambda x: {octet}), ''), '') as p1 from {name}_named),
+{name}_folded as (select *, case when contains(p1, '/.') then list_reduce(string_split(p1, '/'), lambda acc, x: case x when '.' then acc when '..' then regexp_replace(acc, '/[^/]+$', '') else acc || '/' || x end) else p1 end as p2 from {name}_resolved),
+{name}_quoted as (select *, case when p2 = '' then '/' when regexp_full_match(p2, '{safe}*') then p2 else array_to_string(list_transform(string_split(p2, ''), lambda ch: case when regexp_full_match(ch, '{safe}') then ch else url_encode(ch) end), '') end as p3 from {name}_folded),
+{name}_asked as (select *, list_sort(list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: {{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, length(split_part(x, '=', 1)) + 2), '+', ' '))}}), lambda x: lower(x.k) not in ({junk}))) as q from {name}_quoted),
+{name} as (select {extra}, case when scheme = '' or host = '' or bracket or not regexp_full_match(h.port, '[0-9]*') or coalesce(try_cast(h.port as bigint), 0) > 65535 then null
+  else scheme || '://' || host || case when h.port = '' or (scheme = 'http' and coalesce(try_cast(h.port as int), -1) = 80) or (scheme = 'https' and coalesce(try_cast(h.port as int), -1) = 443) then '' else ':' || coalesce(try_cast(h.port as int), -1) end
+    || case when regexp_matches(p3, '/[^/]*[.][^/]*/$') then rtrim(p3, '/') else p3 end
+    || case when len(q) > 0 then '?' || array_to_string(list_transform(q, lambda x: {plus.format('x.k')} || '=' || {plus.format('x.v')}), '&') else '' end end as key from {name}_asked)"""
+
+
 def _host(url: str) -> str:
     return f"nullif(regexp_extract(lower({url}), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '')"
 
@@ -475,7 +493,47 @@ _KIND = """coalesce(case when outcome in ('robots_denied', 'robots_unreachable',
        when status >= 200 and status < 300 and coalesce(octet_length(body), 0) > 10485760 then 'too_large' when status >= 200 and status < 300 then 'fetched' end, outcome)"""
 _ENTRY = "lambda p: trim(regexp_replace(p, '^\\s*sieveworkbot\\s*:', '')) in ('noindex', 'none')"
 
+_SHINGLED = """w as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
+runs as (select doc_id, text, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as r from w)"""
+
 SQL: dict[str, str] = {
+    "url_canonical": f"with {canonical_ctes('crawl_tasks', 'task_id')} select t.task_id, c.key as canonical from crawl_tasks t left join canon c using (task_id)",
+    "redirect_chains": """with recursive e as (select url, min(redirect_target) as target from fetch_results where url is not null and redirect_target is not null group by 1),
+f as (
+  select url, target as final_url, [url] as met, 1 as hops, 0 as round from e
+  union all
+  select f.url, case when go then n.target else final_url end, case when go then list_append(met, final_url) else met end, case when go then hops + 1 else hops end, round + 1
+  from (select *, not list_contains(met, final_url) and final_url in (select url from e) as go from f where round < 5) f left join e n on n.url = f.final_url)
+select url, final_url, hops, case when list_contains(met, final_url) then 'loop' when hops > 5 then 'too_many' else 'resolved' end as outcome from f where round = 5""",
+    "token_bucket_fold": f"""with recursive r as (select {_FETCH_DOMAIN} as domain, fetch_id as ord, floor(epoch_us(fetched_at) / 1000)::bigint as at_ms,
+  row_number() over (partition by {_FETCH_DOMAIN} order by floor(epoch_us(fetched_at) / 1000)::bigint, fetch_id) as n from fetch_results where {_FETCH_DOMAIN} is not null),
+f as (
+  select distinct domain, 0::bigint as ord, false as allowed, 0::bigint as wait_ms, 2.0::double as held, null::bigint as last, 0::bigint as n from r
+  union all
+  select domain, ord, level >= 1, case when level >= 1 then 0 else ceil((1 - level) / (1.0::double / 600) * 1000)::bigint end, case when level >= 1 then level - 1 else held end, case when level >= 1 then at_ms else last end, n
+  from (select r.domain, r.ord, r.at_ms, r.n, f.held, f.last, least(2.0::double, f.held + greatest(0, coalesce(r.at_ms - f.last, 0)) / 1000.0::double * (1.0::double / 600)) as level from f join r on r.domain = f.domain and r.n = f.n + 1))
+select domain, ord, allowed, wait_ms from f where n > 0""",
+    "linked_components": f"""with recursive raw as (select {_host("url")} as s, {_host("source_url")} as t from crawl_tasks where {_CRAWLABLE}),
+e as (select distinct s, t from (select s, t from raw union all select {_domain("s")}, s from raw) where s is not null and t is not null and s <> t),
+ways as (select s, t from e union select t, s from e),
+walk as (select distinct s as node, s as component from ways union select b.t, w.component from walk w join ways b on b.s = w.node where w.component < b.t)
+select node, min(component) as component from walk group by 1""",
+    "simhash_values": f"""with {_SHINGLED}, h as (select doc_id, len(r) as n, unnest(r) as x from runs),
+bits as (select doc_id, n, b, sum(((('0x' || substr(md5(x), 1, 16))::ubigint >> b) & 1)::bigint) as ones from h, (select unnest(range(64))::ubigint as b) group by 1, 2, 3),
+v as (select doc_id, sum(case when 2 * ones > n then (1::hugeint << b::int) else 0::hugeint end) as v from bits group by 1)
+select d.doc_id, (case when v >= 9223372036854775808::hugeint then v - 18446744073709551616::hugeint else v end)::bigint as simhash from documents d left join v using (doc_id)""",
+    "near_duplicate_classes": f"""with recursive {_SHINGLED}, keyed as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as k, list_sort(list_distinct(r)) as r from runs where len(r) > 0),
+sets as (select md5(array_to_string(r, chr(1))) as sig, any_value(r) as r, min(doc_id) as rep, count(distinct k) as texts from keyed group by 1),
+x as (select rep, unnest(r) as x from sets),
+pairs as (select a.rep as a, b.rep as b from x a join x b on a.x = b.x and a.rep <> b.rep join sets sa on sa.rep = a.rep join sets sb on sb.rep = b.rep group by 1, 2, sa.r, sb.r having 9 * count(*) >= 4 * (len(sa.r) + len(sb.r))),
+walk as (select rep as node, rep as class_id from sets union select p.b, w.class_id from walk w join pairs p on p.a = w.node where w.class_id < p.b),
+classes as (select node, min(class_id) as class_id from walk group by 1),
+others as (select p.a as rep, sum(s.texts) as n from pairs p join sets s on s.rep = p.b group by 1)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(s.texts - 1 + coalesce(o.n, 0), 0)::bigint as links
+from documents d left join keyed k using (doc_id) left join sets s on s.sig = md5(array_to_string(k.r, chr(1))) left join classes c on c.node = s.rep left join others o on o.rep = s.rep""",
+    "url_token_counts": f"""with raw as (select concat_ws(' ', regexp_replace({_host("url")}, '^www\\.', ''), url_decode(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1))) as t from crawl_tasks where {_CRAWLABLE}),
+p as (select unnest(list_filter(string_split_regex(lower(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 2 and not regexp_full_match(x, '[0-9a-f]{{8,}}') and x not in ('html', 'htm', 'php', 'asp', 'aspx', 'jsp', 'index', 'www'))[:64]) as token from raw)
+select token, count(*)::bigint as n from p group by 1""",
     "url_canonical_native": f"select task_id, {_canon('url')} as canonical from crawl_tasks where {_CRAWLABLE}",
     "url_host_parts": f"select host, {_domain('host')} as registrable, count(*)::bigint as offers from (select {_host('url')} as host from crawl_tasks) where host is not null group by 1, 2",
     "url_path_prefixes": f"select prefix, count(*)::bigint as offers from (select unnest({_prefixes('url')}) as prefix from crawl_tasks where {_CRAWLABLE}) group by 1",
@@ -570,3 +628,13 @@ from fetched_messages where delivered_at is not null and fetched_at is not null"
     "body_size_histogram": """select outcome, (case when s < 1000 then 0 when s < 2000 then 1 when s < 4000 then 2 when s < 8000 then 3 when s < 16000 then 4 else 5 end)::int as bucket, count(*)::bigint as n
 from (select outcome, octet_length(body) as s from fetch_results) where s is not null group by 1, 2""",
 }
+
+# the full rules in place of the native ones, and production limits
+_KEYED_FULL = (
+    f"{canonical_ctes('crawl_tasks', 'task_id, domain, url')}, {canonical_ctes('fetch_results', 'fetch_id', 'canonf')}, "
+    "keyed as (select key, task_id as ord, domain, url from canon where key is not null), seen as (select distinct key from canonf where key is not null)"
+)
+for _name in ("seen_url_filter", "seen_stats", "frontier_enqueue", "refresh_split"):
+    SQL[f"{_name}_full"] = SQL[_name].replace(_KEYED, _KEYED_FULL).replace("place < 200", f"place < {crawl.QUEUE_CAP}")
+for _name in ("site_budgets", "site_budget_admission"):
+    SQL[f"{_name}_full"] = SQL[_name].replace("floor(2 * ln", f"floor({crawl.BUDGET_BASE} * ln")

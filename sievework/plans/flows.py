@@ -91,6 +91,10 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "stream_hourly_counts": """select date_trunc('hour', ts) as window_start, event_type, count(*)::bigint as events from events
 group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 10 minutes""",
+    "stream_sessions": """with m as (select *, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as fresh from events where ts is not null window w as (partition by user_id order by ts)),
+n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from m),
+x as (select user_id, s, min(ts) as started, max(ts) + interval 30 minutes as closes, count(*)::bigint as events from n group by 1, 2)
+select user_id, started, closes, events from x where closes <= (select max(ts) from events) - interval 10 minutes""",
     "stream_unique_messages": """select distinct length(url)::varchar || ':' || url || '|' || case when coalesce(blob, '') = '' then 't:' || coalesce(epoch_us(fetched_at)::varchar, '-')
   else 'b:' || coalesce(nullif(regexp_extract(blob, '([0-9]{4}/[0-9]{2}/[0-9]{2}/.*)$', 1), ''), blob) end as msg_key from fetched_messages where url is not null""",
     "stream_delivery": CORE_SQL["p6_found"],

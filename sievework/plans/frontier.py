@@ -169,3 +169,4 @@ f as (
 select address, ord, allowed, wait_ms, reason from f where n > 0""",
     "seed_offers": "select 'https://' || domain || '/' as url, min(task_id) as ord, 0 as depth, 0 as priority from crawl_tasks where domain is not null group by 1",
 }
+SQL["frontier_add_many_full"] = SQL["frontier_add_many"].replace(c._KEYED, c._KEYED_FULL)

@@ -12,6 +12,7 @@ from ..operators import crawl, graph, monitor, ranking, retrieval
 from ..session import materialise, read_table
 from . import crawling as c
 from . import search as s
+from .content import BYTES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,11 +221,6 @@ select query_id, external_id, max(cm + sh)::bigint as matched from per join need
 _THREE = """p as (select doc_id, max(case when term = 'the' then positions end) as a, max(case when term = 'town' then positions end) as b, max(case when term = 'library' then positions end) as c
   from posts where term in ('the', 'town', 'library') group by 1 having count(*) = 3)"""
 
-#: A blob as text, one byte a character; the engine escapes all but plain ascii, quotes and white space among it.
-_BYTES = "body::varchar"
-for _code, _char in (("22", '"'), ("27", "''"), ("0A", " "), ("0D", " "), ("09", " ")):
-    _BYTES = f"replace({_BYTES}, '\\x{_code}', '{_char}')"
-
 SQL: dict[str, str] = {
     "filtered_search": f"""with {_DOCS}, {_PARTS}, filters(query_id, site, lang, since, safe_only) as (values {_FILTER_ROWS}),
 ok as (select f.query_id, d.doc_id from docs d join filters f on (f.site is null or f.site = d.site) and (f.lang is null or f.lang = d.lang) and (f.since is null or d.at_time >= f.since::timestamp) and (not f.safe_only or coalesce(d.safe, true))),
@@ -288,4 +284,4 @@ select len(list_filter(list_transform(string_split(meta, ',') , lambda x: trim(x
     "same_site_redirects": f"""select {c._domain(c._host("url"))} = {c._domain(c._host("redirect_target"))} as same_site, count(*)::bigint as redirects from fetch_results where redirect_target is not null and url is not null group by 1""",
 }
 for _name in ("language_cascade", "indexable_pages"):
-    SQL[_name] = SQL[_name].replace("BYTES", _BYTES)
+    SQL[_name] = SQL[_name].replace("BYTES", BYTES)

@@ -418,6 +418,10 @@ posts as (select external_id, field, e.key as term, greatest(coalesce(len(e.valu
 _SPEC_ROWS = ", ".join(f"('{f}', {w}, {b})" for f, (w, b) in ranking.FIELD_SPECS.items())
 
 SQL: dict[str, str] = {
+    "front_coding": f"""with {_DOCS}, r as (select term, (row_number() over (order by term) - 1) // 16 as block from dict),
+b as (select term, block, coalesce(lag(term) over (partition by block order by term), '') as before from r),
+c as (select term, block, len(list_filter(range(1, length(term) + 1), lambda i: substr(term, 1, i) = substr(before, 1, i) and i <= length(before))) as common from b)
+select block::bigint as block, count(*)::bigint as terms, sum(length(term))::bigint as plain_chars, sum(length(term) - common)::bigint as coded_chars from c group by 1""",
     "posting_codec": f"with {_DOCS} select term, doc_id::bigint as doc_id, tf from posts",
     "posting_codec_sizes": f"""with {_DOCS}, placed as (
   select term, ((row_number() over w - 1) // 128) as block, doc_id - coalesce(lag(doc_id) over w, 0) as gap from posts window w as (partition by term order by doc_id)),
