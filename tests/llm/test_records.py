@@ -299,6 +299,13 @@ def test_mix(spark, sources):
         assert abs(sum(order[k] == "big" for k in range(upto)) / upto - 0.5 / 0.9) < 0.1
 
 
+def test_kept_finds_what_is_not(spark):
+    shares = spark.createDataFrame([("a", 0.5, 0.9, 100, 3, 2), ("b", 0.5, 0.5, 100, 1, 1)], "source string, planned_share double, actual_share double, tokens_used bigint, rounds int, max_repeats int")
+    made = spark.createDataFrame([(0, "a", 8), (1, "a", 7), (2, "b", 5), (2, "b", 3)], "slot bigint, source string, piece_tokens bigint")
+    got = {r.source: (r.share_kept, r.cap_kept, r.uneven_slots) for r in mix.kept(made, shares, 8).collect()}
+    assert got == {"a": (False, False, 1), "b": (True, True, 0)}
+
+
 def test_mix_of_nothing_and_too_much(spark, sources):
     docs, targets = sources
     made, report = mix.mixture(docs.limit(0), targets)
