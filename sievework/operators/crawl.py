@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -243,7 +244,7 @@ def bucket_step(tokens: float, since_ms: float, rate: float, burst: float, cost:
 def ordered_fold(df: DataFrame, key: str, order: list[str], start, step, schema: str) -> DataFrame:
     """A fold over the rows of each key in order, as a stream: rows of a key follow each other in one partition and only its state is held.
 
-    step(state, row) -> (state, output tuple).
+    start(row) -> state of a key whose first row that is; step(state, row) -> (state, output tuple).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +254,7 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start, step, schema:
             out = []
             for row in pdf.itertuples(index=False):
                 if row[0] != at:
-                    at, state = row[0], start()
+                    at, state = row[0], start(row)
                 state, made = step(state, row)
                 out.append(made)
             yield pd.DataFrame(out, columns=names)
@@ -262,16 +263,95 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start, step, schema:
     return df.select(*columns).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def aimd_fold(signals: DataFrame, **limits) -> DataFrame:
-    """Rate of every domain after each of its signals. signals: domain, ord, signal."""
+#: Numbers of the order that one task folds at a time.
+FOLD_CHUNK = 1 << 16
+
+
+class RateMaps:
+    """What a run of signals does to a rate, for every streak it may begin with: r -> min(high, max(low, a * r + b)), and the streak it ends with.
+
+    Every step of the controller is such a map, and two of them make one again; so runs can be folded apart and composed.
+    """
+
+    def __init__(self, p: dict):
+        n = p["streak"]
+        self.p, self.ok = p, np.arange(n)
+        self.a, self.b, self.low, self.high = np.ones(n), np.zeros(n), np.full(n, -np.inf), np.full(n, np.inf)
+
+    def then(self, mask: np.ndarray, a: float, b: float, low: float, high: float) -> None:
+        """Where mask holds, another map after this one."""
+        self.a[mask], self.b[mask] = a * self.a[mask], a * self.b[mask] + b
+        self.low[mask] = np.minimum(high, np.maximum(low, a * self.low[mask] + b))
+        self.high[mask] = np.minimum(high, np.maximum(low, a * self.high[mask] + b))
+
+    def signal(self, signal: str) -> None:
+        p, every = self.p, np.ones(len(self.ok), bool)
+        if signal in ("err", "slow"):
+            self.then(every, p["times"] if signal == "err" else 1 - (1 - p["times"]) / 2, 0.0, p["low"], np.inf)
+            self.ok[:] = 0
+        elif signal == "ok":
+            self.ok += 1
+            full = self.ok >= p["streak"]
+            if full.any():
+                self.then(full, 1.0, p["add"], -np.inf, p["high"])
+                self.ok[full] = 0
+
+    def rows(self) -> list[tuple]:
+        return list(zip(self.a.tolist(), self.b.tolist(), self.low.tolist(), self.high.tolist(), self.ok.tolist()))
+
+
+def _chunk_starts(signals: DataFrame, p: dict) -> DataFrame:
+    """domain, chunk, rate, ok: the state at the beginning of every chunk of a domain that has several. signals: domain, ord, signal, chunk."""
+    hot = signals.groupBy("domain", "chunk").agg(F.count("*").alias("_n")).groupBy("domain").agg(F.count("*").alias("_c")).where("_c > 1").select("domain")
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, now = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if (row.domain, row.chunk) != at:
+                    if at is not None:
+                        out.append((*at, now.rows()))
+                    at, now = (row.domain, row.chunk), RateMaps(p)
+                now.signal(row.signal)
+            yield pd.DataFrame(out, columns=["domain", "chunk", "maps"])
+        if at is not None:
+            yield pd.DataFrame([(*at, now.rows())], columns=["domain", "chunk", "maps"])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rate, ok, out = p["start"], 0, []
+        for row in pdf.sort_values("chunk").itertuples(index=False):
+            out.append((row.domain, row.chunk, rate, ok))
+            m = row.maps[ok]
+            rate, ok = min(m["high"], max(m["low"], m["a"] * rate + m["b"])), m["ok"]
+        return pd.DataFrame(out, columns=["domain", "chunk", "rate", "ok"])
+
+    per = signals.join(hot, "domain").repartition("domain", "chunk").sortWithinPartitions("domain", "chunk", "ord")
+    summaries = per.select("domain", "chunk", "signal").mapInPandas(maps, "domain string, chunk bigint, maps array<struct<a:double,b:double,low:double,high:double,ok:int>>")
+    # a row a chunk: as many as the order has chunks
+    return summaries.groupBy("domain").applyInPandas(fold, "domain string, chunk bigint, rate double, ok int")
+
+
+def aimd_fold(signals: DataFrame, chunk: int = FOLD_CHUNK, **limits) -> DataFrame:
+    """Rate of every domain after each of its signals. signals: domain, ord, signal.
+
+    The signals of a domain are cut by ord. What a cut does to a rate is found for every cut apart, these maps are composed
+    to the state at the beginning of each, and from there the cuts are folded side by side: a hot domain is many tasks.
+    """
     p = {**AIMD, **limits}
     rest = {k: p[k] for k in ("low", "high", "add", "times", "streak")}
+    cut = signals.where("domain is not null").select("domain", "ord", "signal", F.floor(F.col("ord") / chunk).cast("bigint").alias("chunk"))
+    started = cut.join(_chunk_starts(cut, p), ["domain", "chunk"], "left").withColumn("_key", F.concat("domain", F.lit("\u0000"), F.col("chunk").cast("string")))
+
+    def start(row):
+        return (p["start"], 0) if math.isnan(row.rate) else (row.rate, int(row.ok))
 
     def step(state, row):
         state = aimd_step(*state, row.signal, **rest)
         return state, (row.domain, row.ord, state[0], state[1])
 
-    return ordered_fold(signals.select("domain", "ord", "signal"), "domain", ["ord"], lambda: (p["start"], 0), step, "domain string, ord bigint, rate double, streak bigint")
+    rows = started.select("_key", "domain", "ord", "signal", F.coalesce("rate", F.lit(float("nan"))).alias("rate"), F.coalesce("ok", F.lit(0)).alias("ok"))
+    return ordered_fold(rows, "_key", ["ord"], start, step, "domain string, ord bigint, rate double, streak bigint")
 
 
 def token_bucket_fold(requests: DataFrame, rate: float = 1.0, burst: float = 2.0) -> DataFrame:
@@ -283,7 +363,7 @@ def token_bucket_fold(requests: DataFrame, rate: float = 1.0, burst: float = 2.0
         allowed, left, wait = bucket_step(tokens, since, rate, burst)
         return ((left, row.at_ms) if allowed else state), (row.domain, row.ord, allowed, wait)
 
-    return ordered_fold(requests.select("domain", "ord", "at_ms"), "domain", ["at_ms", "ord"], lambda: (burst, None), step, "domain string, ord bigint, allowed boolean, wait_ms bigint")
+    return ordered_fold(requests.select("domain", "ord", "at_ms"), "domain", ["at_ms", "ord"], lambda row: (burst, None), step, "domain string, ord bigint, allowed boolean, wait_ms bigint")
 
 
 def host_of_url(url: Column) -> Column:

@@ -136,7 +136,7 @@ def paired_buckets(requests: DataFrame, rate: float = 1.0, burst: float = 2.0, c
         return ((level(own, row.at_ms, rate * share, burst * share) - cost, row.at_ms), domains), (row.address, row.ord, True, 0, "")
 
     rows = requests.where("domain is not null").select("address", "domain", "ord", "at_ms", "paused_ms")
-    return ordered_fold(rows, "address", ["at_ms", "ord"], lambda: (None, {}), step, "address string, ord bigint, allowed boolean, wait_ms bigint, reason string")
+    return ordered_fold(rows, "address", ["at_ms", "ord"], lambda row: (None, {}), step, "address string, ord bigint, allowed boolean, wait_ms bigint, reason string")
 
 
 def valid_agent(agent: str) -> str:

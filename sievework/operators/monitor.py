@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import chunked_neighbour, chunked_sum
+
+#: Rows of a key are ordered day by day.
+CELL_US = 86_400_000_000
+
 
 def micros(ts: Column) -> Column:
     """Microseconds of a timestamp with or without zone (UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def _cell() -> Column:
+    return F.floor(micros(F.col("ts")) / CELL_US)
+
+
+def _beside(events: DataFrame, key: list[str], values: list[str], ahead: bool = False) -> DataFrame:
+    """events with _near: the values of the event before (or ahead) of its key; a hot key is ordered day by day."""
+    return chunked_neighbour(events, key, ["ts", "event_id"], _cell(), values, "_near", ahead)
+
+
 def second_sight(events: DataFrame, key: list[str], within_s: int = 600) -> DataFrame:
     """MO-01: occurrences of a key that follow an earlier one within the time: those are admitted to the cache."""
-    w = Window.partitionBy(*key).orderBy("ts", "event_id")
-    return events.withColumn("_last", F.lag("ts").over(w)).where((micros(F.col("ts")) - micros(F.col("_last"))) <= within_s * 1_000_000).drop("_last")
+    return _beside(events, key, ["ts"]).where((micros(F.col("ts")) - micros(F.col("_near.ts"))) <= within_s * 1_000_000).drop("_near")
 
 
 def cache_hits(events: DataFrame, key: list[str], ttl_s: int) -> DataFrame:
@@ -22,9 +35,8 @@ def cache_hits(events: DataFrame, key: list[str], ttl_s: int) -> DataFrame:
 
     A request is a hit when the one before it (which filled or hit) is within the time: a sliding lifetime.
     """
-    w = Window.partitionBy(*key).orderBy("ts", "event_id")
-    hit = (micros(F.col("ts")) - micros(F.lag("ts").over(w))) <= ttl_s * 1_000_000
-    return events.withColumn("_hit", F.coalesce(hit, F.lit(False))).groupBy(*key).agg(F.count("*").alias("requests"), F.count_if("_hit").alias("hits"))
+    hit = (micros(F.col("ts")) - micros(F.col("_near.ts"))) <= ttl_s * 1_000_000
+    return _beside(events, key, ["ts"]).withColumn("_hit", F.coalesce(hit, F.lit(False))).groupBy(*key).agg(F.count("*").alias("requests"), F.count_if("_hit").alias("hits"))
 
 
 def over_quota(events: DataFrame, key: list[str], window: str = "1 minute", limit: int = 2) -> DataFrame:
@@ -42,23 +54,27 @@ def burn_rate(events: DataFrame, bad: Column, short_h: int, long_h: int, budget:
 
 def sessions(events: DataFrame, gap_s: int = 1800) -> DataFrame:
     """Sessions of a user: user_id, session, start, events, last event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = (micros(F.col("ts")) - micros(F.lag("ts").over(w))) > gap_s * 1_000_000
-    marked = events.withColumn("session", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
+    new = (micros(F.col("ts")) - micros(F.col("_near.ts"))) > gap_s * 1_000_000
+    flagged = _beside(events, ["user_id"], ["ts"]).withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
+    marked = chunked_sum(flagged, ["user_id"], ["ts", "event_id"], _cell(), F.col("_new"), "session")
     return marked.groupBy("user_id", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
 
 
 def abandonment(events: DataFrame, query: str = "view", click: str = "click", within_s: int = 30) -> DataFrame:
     """MO-05: per user the queries, and those that no click follows in time and before the next query, and the queries that follow another in time (reformulations)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.where(F.col("event_type").isin(query, click)).withColumn("_next", F.lead("event_type").over(w)).withColumn("_after", (micros(F.lead("ts").over(w)) - micros(F.col("ts"))) / 1e6)
+    rows = _beside(events.where(F.col("event_type").isin(query, click)), ["user_id"], ["ts", "event_type"], ahead=True)
     asked = rows.where(F.col("event_type") == query)
-    soon = F.coalesce(F.col("_after") <= within_s, F.lit(False))
+    soon = F.coalesce((micros(F.col("_near.ts")) - micros(F.col("ts"))) / 1e6 <= within_s, F.lit(False))
     return asked.groupBy("user_id").agg(
-        F.count("*").alias("queries"), F.count_if(~(soon & (F.col("_next") == click))).alias("abandoned"), F.count_if(soon & (F.col("_next") == query)).alias("reformulated")
+        F.count("*").alias("queries"), F.count_if(~(soon & (F.col("_near.event_type") == click))).alias("abandoned"), F.count_if(soon & (F.col("_near.event_type") == query)).alias("reformulated")
     )
 
 
+def zero_results(results: DataFrame, by: str) -> DataFrame:
+    """MO-05, RK-39: by group the queries, those without a result, and their ratio: a guardrail beside a ranking's gain. results: query_id, hits and the group."""
+    return results.groupBy(by).agg(F.count("*").alias("queries"), F.count_if(F.coalesce("hits", F.lit(0)) == 0).alias("empty")).withColumn("zero_ratio", F.col("empty") / F.col("queries"))
+
+
 def day_over_day(counts: DataFrame, drop: float = -0.3, rise: float = 0.15) -> DataFrame:
     """MO-07: day, n, change on the day before and the week before, alert. counts: day (int), n."""
     w = Window.orderBy("day")  # one row a day

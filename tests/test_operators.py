@@ -392,6 +392,41 @@ def test_clicks_and_queries():
             ranking.validate_query(bad if bad != " ".join("abc" * 20) else "a " * 33)
 
 
+def test_cells_equal_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+    data = [(i, rng.choice(["hot", "hot", "a", None]), rng.randrange(5000), rng.choice([None, 1, 2, 3])) for i in range(900)]
+    df = spark.createDataFrame(data, "event_id long, k string, ts long, v int")
+    cell = F.floor(F.col("ts") / 100)
+    w = Window.partitionBy("k").orderBy("ts", "event_id")
+    for ahead, want in ((False, F.lag("event_id").over(w)), (True, F.lead("event_id").over(w))):
+        got = ranks.chunked_neighbour(df, ["k"], ["ts", "event_id"], cell, ["event_id"], "n", ahead).select("event_id", F.col("n.event_id").alias("n"))
+        assert rows(got.na.fill(-1)) == rows(df.select("event_id", want.alias("n")).na.fill(-1))
+    got = ranks.chunked_last(df, ["k"], ["ts", "event_id"], cell, F.col("v"), "n").select("event_id", "n")
+    assert rows(got.na.fill(-1)) == rows(df.select("event_id", F.last("v", ignorenulls=True).over(w).alias("n")).na.fill(-1))
+    got = ranks.chunked_sum(df, ["k"], ["ts", "event_id"], cell, F.coalesce("v", F.lit(0)), "n").select("event_id", "n")
+    assert rows(got) == rows(df.select("event_id", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("n")))
+
+
+def test_rates_in_cuts_equal_one_fold(spark):
+    import random
+
+    rng = random.Random(11)
+    data = [(rng.choice(["hot", "hot", "hot", "a", "b"]), i, rng.choice(["ok"] * 12 + ["slow", "err", "none"])) for i in range(2500)] + [(None, 9999, "ok")]
+    df = spark.createDataFrame(data, "domain string, ord long, signal string")
+    whole, cut = crawl.aimd_fold(df), crawl.aimd_fold(df, chunk=64)
+    state, want = {}, []
+    for d, o, s in data[:-1]:
+        state[d] = crawl.aimd_step(*state.get(d, (1.0, 0)), s, **{k: crawl.AIMD[k] for k in ("low", "high", "add", "times", "streak")})
+        want.append((d, o, *state[d]))
+    for made in (whole, cut):
+        got = rows(made.select("domain", "ord", "rate", "streak"))
+        assert len(got) == 2500 and all(a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, sorted(want)))
+
+
 # --- frontier ----------------------------------------------------------------------------------------
 
 
