@@ -423,7 +423,7 @@ def test_rates_in_cuts_equal_one_fold(spark):
         state[d] = crawl.aimd_step(*state.get(d, (1.0, 0)), s, **{k: crawl.AIMD[k] for k in ("low", "high", "add", "times", "streak")})
         want.append((d, o, *state[d]))
     for made in (whole, cut):
-        got = rows(made.select("domain", "ord", "rate", "streak"))
+        got = sorted(map(tuple, made.select("domain", "ord", "rate", "streak").collect()))
         assert len(got) == 2500 and all(a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, sorted(want)))
 
 
