@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def parse(body: str | None) -> dict:
     """{"groups": [{"agents", "rules": [(allow, pattern)], "delay"}], "sitemaps"}; lines that make no sense are skipped."""
@@ -69,3 +72,24 @@ def decision_for_status(status: int | None) -> str:
     if status in (401, 403):
         return "deny"
     return "use" if 200 <= status < 300 else "allow"
+
+
+# --- columns -----------------------------------------------------------------------------------------
+
+
+def status_decision(status: Column) -> Column:
+    """CR-23 by columns."""
+    return (
+        F.when(status.isNull() | (status == 429) | (status >= 500), "unreachable").when(status.isin(401, 403), "deny")
+        .when((status >= 200) & (status < 300), "use").otherwise("allow")
+    )
+
+
+def path_allowed(path: Column, rules: dict, agent: str) -> Column:
+    """Whether rules let an agent fetch a path, without a join: the rules of one file are an array in the plan."""
+    own = [(ok, p) for g in groups_for(rules, agent) for ok, p in g["rules"]]
+    if not own:
+        return F.lit(True)
+    pattern = lambda p: "^" + ".*".join(map(re.escape, p.rstrip("$").split("*"))) + ("$" if p.endswith("$") else "")
+    hits = [F.when(path.rlike(pattern(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(ok).alias("ok"))) for ok, p in own]
+    return F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["ok"], F.lit(True))

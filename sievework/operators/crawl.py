@@ -218,6 +218,17 @@ def outcome_runs(fetches: DataFrame) -> DataFrame:
     return rows.groupBy("url", "outcome", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("length"))
 
 
+def timeout_halvings(runs: DataFrame, every: int = 3) -> DataFrame:
+    """CR-39: url, halvings: a rate is halved once for every so many timeouts in a row. runs: of outcome_runs."""
+    return runs.where("outcome = 'timeout'").groupBy("url").agg(F.sum(F.floor(F.col("length") / every)).cast("bigint").alias("halvings")).where("halvings > 0")
+
+
+def recrawl_shares(rates: DataFrame) -> DataFrame:
+    """CR-37: each page's share of the recrawls, by the root of its change rate: what changes all the time is not chased in proportion. rates: url, rate."""
+    rows = rates.where("rate > 0").withColumn("_w", F.sqrt("rate"))
+    return attach(rows, rows.agg(F.sum("_w").alias("_all"))).select("url", "rate", (F.col("_w") / F.col("_all")).alias("share"))
+
+
 # --- politeness --------------------------------------------------------------------------------------
 
 AIMD = {"start": 1.0, "low": 0.05, "high": 5.0, "add": 0.25, "times": 0.5, "streak": 10}

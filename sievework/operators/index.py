@@ -133,6 +133,11 @@ def should_merge(segment_count: int, dead: int, total: int) -> bool:
     return segment_count > MERGE_SEGMENTS or (total > 0 and dead / total > MERGE_DEAD)
 
 
+def merge_due(segments: Column, dead: Column, total: Column) -> Column:
+    """IB-18 by columns."""
+    return (segments > MERGE_SEGMENTS) | F.coalesce((total > 0) & (dead / total > MERGE_DEAD), F.lit(False))
+
+
 def merge_corpus_stats(stats: DataFrame) -> DataFrame:
     """IB-19: doc_count, avg_length over segments."""
     return stats.agg(F.sum("doc_count").alias("doc_count"), (F.sum(F.col("avg_length") * F.col("doc_count")) / F.sum("doc_count")).alias("avg_length"))

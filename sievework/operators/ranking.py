@@ -242,6 +242,15 @@ def validate_query(text: str, max_chars: int = 512, max_terms: int = 32) -> list
     return terms
 
 
+def query_problem(text: Column, max_chars: int = 512, max_terms: int = 32) -> Column:
+    """RK-36 by columns: what is wrong with a query, null where nothing is."""
+    terms = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
+    return (
+        F.when(F.length(text) > max_chars, "too_long").when(F.size(terms) > max_terms, "too_many_terms")
+        .when(F.exists(terms, lambda t: F.substring(t, 1, 1).isin("*", "?")), "leading_wildcard")
+    )
+
+
 # --- vectors -----------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, core, crawling, flows, frontier, retrieval, search, serving
+from . import content, core, crawling, flows, frontier, retrieval, search, serving, upkeep
 
-_MODULES = (core, crawling, frontier, content, search, retrieval, serving, flows)
+_MODULES = (core, crawling, frontier, content, search, retrieval, serving, upkeep, flows)
 
 
 def queries() -> dict:

@@ -66,3 +66,42 @@ def read_blob_files(spark: SparkSession, pattern: str) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, records_per_file: int = 100_000) -> None:
     """IO-17: large objects by day, rows of a day spread over tasks."""
     pages.withColumn("dt", F.date_format("fetched_at", "yyyy-MM-dd")).write.mode("append").partitionBy("dt").option("maxRecordsPerFile", records_per_file).parquet(path)
+
+
+def archive_index(spark: SparkSession, path: str, key: str = "url") -> DataFrame:
+    """IO-17: key, file, row of every record of an archive: where to find it without a scan."""
+    return spark.read.parquet(path).select(key, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "dt")
+
+
+def expire_archive(spark: SparkSession, path: str, before: str) -> list[str]:
+    """IO-17: days before a date go, folder by folder; the days that went."""
+    from ..session import delete_path
+
+    days = sorted(n[3:] for n in files.names(spark, path) if n.startswith("dt=") and n[3:] < before)
+    for d in days:
+        delete_path(spark, f"{path}/dt={d}")
+    return days
+
+
+class DocumentStore:
+    """IO-19: the newest version of every document, in buckets of its key: a lookup reads the buckets of the keys it asks for."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def write(self, docs: DataFrame, key: str, at: str) -> None:
+        """docs: key, at and further columns; null keys are left out, of several versions the newest stays."""
+        rest = [c for c in docs.columns if c != key]
+        newest = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("_r")).select(key, "_r.*")
+        newest.withColumn("bucket", self._bucket(key)).repartition("bucket").sortWithinPartitions(key).write.partitionBy("bucket").parquet(self.path)
+
+    def read(self, keys: DataFrame | None = None, key: str = "url") -> DataFrame:
+        stored = self.spark.read.parquet(self.path)
+        if keys is None:
+            return stored.drop("bucket")
+        wanted = keys.select(key).distinct().withColumn("bucket", self._bucket(key))
+        touched = [r[0] for r in wanted.select("bucket").distinct().collect()]  # as many as buckets
+        return stored.where(F.col("bucket").isin(touched)).join(wanted.select(key), key, "left_semi").drop("bucket")

@@ -47,3 +47,27 @@ def parse_outputs(pages: DataFrame) -> dict[str, DataFrame]:
     )
     links = pages.where(follows).select(F.col("url").alias("source_url"), F.explode("links").alias("_l")).select("source_url", "_l.*")
     return {"documents": documents, "links": links.select([c.split()[0] for c in LINKS.split(", ")]), "discovered": links.groupBy(F.col("target_url").alias("url")).agg(F.min("source_url").alias("source_url"))}
+
+
+def replay(messages: DataFrame, offset: str, since) -> DataFrame:
+    """IO-20: the messages from an offset on; sinks that merge by key take them again without harm."""
+    return messages.where(F.col(offset) >= F.lit(since))
+
+
+def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """IO-06: run a stream over all that is there into a table in the driver's memory, for dry runs of aggregates."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def inspect_page(path: str, url: str, content_type: str = "text/html") -> dict:
+    """IO-16: one local file through the parser, with what a person wants to know of it."""
+    from ..functions.charset import decode
+    from ..functions.html import parse_page
+
+    with open(path, "rb") as f:
+        body = f.read()
+    text, encoding, source = decode(body, content_type)
+    page = parse_page(text, url)
+    return {"encoding": encoding, "encoding_source": source, "bytes": len(body), "title": page["title"], "blocks": len(page["blocks"]), "links": len(page["links"]), "lang": page["lang"], "warning": page["warning"]}

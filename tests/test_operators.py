@@ -468,3 +468,62 @@ def test_pauses_and_paired_buckets(spark):
     # two of a domain, six of an address
     assert got[2] == (False, 1000, "domain") and got[7] == (False, 334, "ip") and got[8] == (True, 0, "") and got[50] == (False, 7, "paused")
     assert [got[n][0] for n in (0, 1, 3, 4, 5, 6)] == [True] * 6
+
+
+# --- rules and stores --------------------------------------------------------------------------------
+
+
+def test_bloom_table(spark):
+    from sievework.operators import bloom
+
+    seen = spark.createDataFrame([(f"k{i}",) for i in range(300)] + [(None,)], "key string")
+    offers = spark.createDataFrame([(f"k{i}",) for i in range(200, 900)] * 2 + [(None,)], "key string")
+    r = bloom.seen_stats(offers, seen, error=0.05).first()
+    assert (r.checked, r.unique_keys, r.already_seen) == (1400, 700, 100) and r.bloom_skipped + r.exact_consulted == 700 and 0 <= r.false_positives < 80
+    assert {x[0] for x in bloom.new_keys(offers, seen).collect()} == {f"k{i}" for i in range(300, 900)}
+    assert bloom.seen_stats(offers, seen.limit(0)).first().already_seen == 0 and bloom.new_keys(offers.limit(0), seen).count() == 0
+
+
+def test_document_store_and_archive(spark):
+    from datetime import datetime
+
+    from sievework.session import scratch_path
+    from sievework.sources import blobs
+
+    store = blobs.DocumentStore(spark, scratch_path(spark, "d"), buckets=4)
+    docs = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "x"), (None, 1, "y")], "url string, at int, text string")
+    store.write(docs, "url", "at")
+    assert rows(store.read().select("url", "text")) == [("a", "new"), ("b", "x")]
+    assert rows(store.read(spark.createDataFrame([("a",), ("zz",)], "url string")).select("text")) == [("new",)]
+    path = scratch_path(spark, "arch")
+    blobs.write_archive(spark.createDataFrame([(i, datetime(2026, 1, 1 + i % 3)) for i in range(30)], "n int, fetched_at timestamp"), path, 4)
+    assert blobs.expire_archive(spark, path, "2026-01-02") == ["2026-01-01"]
+    index_ = blobs.archive_index(spark, path, "n")
+    assert index_.count() == 20 and index_.select("file", "row").distinct().count() == 20
+
+
+def test_conditional_searches(spark):
+    from sievework.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "The old town library is open. A museum! Nothing here."), (2, "library town the old"), (3, None), (4, ""), (5, "museum " * 40 + "library")], "doc_id long, text string")
+    posts = retrieval.text_postings(docs)
+    assert rows(retrieval.phrases(posts, ["the", "old", "town", "library"])) == [(1, 1)]
+    assert rows(retrieval.phrases(posts, ["the", "library"], slop=2)) == [(1, 1)] and retrieval.phrases(posts, ["the", "nowhere"]).count() == 0
+    d = retrieval.dependence(posts, ["old", "town", "library"]).collect()
+    assert {r.doc_id: (r.unigrams, r.ordered, r.unordered) for r in d} == {1: (3, 2, 2), 2: (3, 0, 2)}
+    got = {r.doc_id: (r.s.sentence, r.s.score) for r in docs.select("doc_id", retrieval.ranked_snippet(F.col("text"), ["library", "museum"]).alias("s")).collect() if r.s}
+    assert got[1][0] == "The old town library is open." and got[1][1] == 0.5
+    fields = spark.createDataFrame([("x", "One two", " "), ("y", None, "two two")], "id string, title string, body string")
+    made = {(r.id, r.field): r.terms for r in retrieval.fielded_texts(fields, "id", ["title", "body"]).collect()}
+    assert made == {("x", "title"): {"one": [0], "two": [1]}, ("y", "body"): {"two": [0, 1]}}
+    lang = spark.createDataFrame([(10, "en", "de", 0.9), (50, "en", "de", 0.9), (50, "en", "de", 0.5), (50, None, None, None), (50, "de", "de", 0.7)], "n int, a string, m string, c double")
+    got = [tuple(r[0]) for r in lang.select(retrieval.choose_language(F.col("n"), F.col("a"), F.col("m"), F.col("c"))).collect()]
+    assert got == [("en", 0.25, "attribute", False), ("de", 0.9, "model", True), ("en", 0.25, "attribute", False), ("und", 0.0, "none", False), ("de", 0.7, "model", False)]
+
+
+def test_page_inspection(tmp_path, spark):
+    from sievework.sources import topics
+
+    (tmp_path / "p.html").write_text("<html lang=en><title>Ti</title><body><p>some words of text</p><a href=/x>link here</a>")
+    seen = topics.inspect_page(str(tmp_path / "p.html"), "https://a.test/")
+    assert seen["title"] == "Ti" and seen["links"] == 1 and seen["encoding"] == "utf-8" and seen["warning"] is None
