@@ -69,7 +69,7 @@ def write_archive(pages: DataFrame, path: str, records_per_file: int = 100_000)
 
 
 def archive_index(spark: SparkSession, path: str, key: str = "url") -> DataFrame:
-    """IO-17: key, file, row of every record of an archive: where to find it without a scan."""
+    """IO-17: key, day, file and row of every record of an archive: where to find it without a scan."""
     return spark.read.parquet(path).select(key, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "dt")
 
 

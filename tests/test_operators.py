@@ -499,7 +499,7 @@ def test_document_store_and_archive(spark):
     blobs.write_archive(spark.createDataFrame([(i, datetime(2026, 1, 1 + i % 3)) for i in range(30)], "n int, fetched_at timestamp"), path, 4)
     assert blobs.expire_archive(spark, path, "2026-01-02") == ["2026-01-01"]
     index_ = blobs.archive_index(spark, path, "n")
-    assert index_.count() == 20 and index_.select("file", "row").distinct().count() == 20
+    assert index_.count() == 20 and index_.select("dt", "file", "row").distinct().count() == 20
 
 
 def test_conditional_searches(spark):
