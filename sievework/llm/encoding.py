@@ -17,6 +17,7 @@ Defined results
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 from functools import lru_cache
@@ -55,24 +56,24 @@ def _plausible(ch: str) -> bool:
     return 0xA0 <= n <= 0x17F or 0x2010 <= n <= 0x2044 or n in (0x20AC, 0x2116, 0x2122) or 0x400 <= n <= 0x52F or 0x5D0 <= n <= 0x6FF or 0x3000 <= n <= 0x30FF or 0x4E00 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3 or 0xFF00 <= n <= 0xFFEF or n == 0xFFFD
 
 
+def _controls_as_bytes(e: UnicodeError):
+    if isinstance(e, UnicodeEncodeError):
+        run = e.object[e.start : e.end]
+        if all("\x80" <= c <= "\x9f" for c in run):
+            return bytes(map(ord, run)), e.end
+    raise e
+
+
+codecs.register_error("controls-as-bytes", _controls_as_bytes)
+_HOLED = frozenset(("cp1252", "cp1250", "cp1251", "cp1256", "cp1254"))
+
+
 def encode_loosely(text: str, name: str) -> bytes | None:
     """Strict, but for C1 controls, which stand for the bytes that an encoding leaves undefined."""
     try:
-        return text.encode(name)
+        return text.encode(name, "controls-as-bytes" if name in _HOLED else "strict")
     except UnicodeEncodeError:
-        pass
-    if name in ("cp1252", "cp1250", "cp1251", "cp1256", "cp1254"):
-        out = bytearray()
-        for ch in text:
-            try:
-                out += ch.encode(name)
-            except UnicodeEncodeError:
-                if 0x80 <= ord(ch) <= 0x9F:
-                    out.append(ord(ch))
-                else:
-                    return None
-        return bytes(out)
-    return None
+        return None
 
 
 @lru_cache(maxsize=100_000)

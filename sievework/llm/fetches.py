@@ -73,7 +73,7 @@ def spam_of(r: Reading, model: spam.Model) -> tuple[float, float]:
 
 
 def is_spam(r: Reading, model: spam.Model) -> bool:
-    return spam_of(r, model)[0] > spam.SHARE
+    return not (r.garbled and encoding.mostly_garbled(r.main_text())) and spam.is_spam(r.page, model)
 
 
 def per_page(fetches: DataFrame, rows_of: Callable[[Reading], Iterable[tuple]], schema: str, restore: bool = True) -> DataFrame:
@@ -115,6 +115,12 @@ def keyword_pages(fetches: DataFrame, model: spam.Model = spam.NO_MODEL) -> Data
     return per_page(fetches, rows, "spam_share double, redundancy double")
 
 
+def keyword_ids(fetches: DataFrame, model: spam.Model = spam.NO_MODEL) -> DataFrame:
+    """Problem 1: fetch_id of the html pages that keyword_pages gives a share of more than a half."""
+    shared = fetches.sparkSession.sparkContext.broadcast(model)
+    return per_page(fetches, lambda r: [(True,)] if is_spam(r, shared.value) else [], "spam boolean").select("fetch_id")
+
+
 def keyword_blocks(fetches: DataFrame, model: spam.Model = spam.NO_MODEL) -> DataFrame:
     """Problem 1 block by block: fetch_id, block_no, kind, words, redundancy, punctuation (sentence ends a word), spam."""
     shared = fetches.sparkSession.sparkContext.broadcast(model)

@@ -116,9 +116,14 @@ class Filters:
         h, owner = grams(texts)
         masks = self.masks(h)
         n = np.bincount(owner, minlength=len(texts)).astype(float)
-        out = np.empty((len(texts), len(self.languages)))
-        for i in range(len(self.languages)):
-            out[:, i] = np.bincount(owner, weights=(masks[i // WORD] >> np.uint32(i % WORD)) & np.uint32(1), minlength=len(texts))
+        out = np.zeros((len(texts), len(self.languages)))
+        if len(h):
+            # the n-grams of a text follow each other, order by order
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            for k, mask in enumerate(masks):
+                own = self.languages[k * WORD : (k + 1) * WORD]
+                bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 4), axis=1, count=len(own), bitorder="little")
+                np.add.at(out, (owner[starts], slice(k * WORD, k * WORD + len(own))), np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
         return np.maximum(0.0, (out - n[:, None] * self.wrong) / (1 - self.wrong)), n
 
 

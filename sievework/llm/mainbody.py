@@ -103,8 +103,12 @@ def chrome_nodes(page: Page, best: int) -> list[bool]:
 
 def region(page: Page) -> list[Block]:
     """Blocks of the best container and its siblings, site furniture by its place or name left out, in page order."""
-    if not page.blocks:
-        return []
+    if page.kept is None:
+        page.kept = _region(page) if page.blocks else []
+    return page.kept
+
+
+def _region(page: Page) -> list[Block]:
     nodes = page.nodes
     score(page)
     best = best_container(page)

@@ -26,7 +26,7 @@ def _model(spark: SparkSession, d: str) -> spam.Model:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Html fetches more than half of whose main-region words belong to keyword runs, bare link lists or tag lists."""
-    return fetches.keyword_pages(_fetches(spark, d), _model(spark, d)).where(F.col("spam_share") > spam.SHARE).select("fetch_id")
+    return fetches.keyword_ids(_fetches(spark, d), _model(spark, d))
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:

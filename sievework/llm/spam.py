@@ -11,8 +11,8 @@ main region are in such blocks.
 
 What is ordinary: ORDINARY by length, times a factor by language that is fitted
 on the same bounded sample of labelled texts as the language filters. The
-language of a page is looked up only where some language could make a block
-redundant.
+language of a page is looked up for the report of its ratios, and for the verdict
+only where some language could make more than half of its words redundant.
 
 Defined results
 * null or empty body, or a body that is no html: no row. A page without words: share 0.
@@ -169,21 +169,28 @@ class Judged:
     spam: bool
 
 
-def judge(texts: list[str], model: Model = NO_MODEL) -> list[Judged]:
+def judge(texts: list[str], model: Model = NO_MODEL, verdict_only: bool = False) -> list[Judged]:
+    """verdict_only: the language is not looked up where no language could bring the redundant words over the half; ratios are then by length alone."""
     runs, said = stretches(texts)
     small = [r for r in runs if count_words(r) < LEAST]
     once = "\n".join(dict.fromkeys(said))  # a sentence said again and again is no keyword
     blocks = [("stretch", r, r) for r in runs if count_words(r) >= LEAST]
     blocks += [("short", x, x) for x in ["\n".join(small)] if small] + [("sentences", "\n".join(said), once)] * bool(said)
-    plain = [redundancy(own) for _, _, own in blocks]
-    limit = {"stretch": LIMIT, "short": LIMIT, "sentences": EXTREME}
-    factor = model.factor("\n".join(texts)) if any(r < limit[kind] * model.highest for r, (kind, _, _) in zip(plain, blocks)) else 1.0
-    out = []
-    for (kind, text, own), r in zip(blocks, plain):
-        n, r = count_words(text), r / factor
+    found = []
+    for kind, text, own in blocks:
         density = len(_END.findall(own)) / max(1.0, count_words(own))
-        out.append(Judged(kind, n, r, density, n >= LEAST and (r < EXTREME or (kind != "sentences" and r < LIMIT and density <= PUNCTUATION))))
-    return out
+        limit = LIMIT if kind != "sentences" and density <= PUNCTUATION else EXTREME
+        found.append((kind, count_words(text), redundancy(own), density, limit))
+    possible = sum(n for _, n, r, _, limit in found if n >= LEAST and r < limit * model.highest)
+    asked = not verdict_only or possible > SHARE * sum(n for _, n, *_ in found)
+    factor = model.factor("\n".join(texts)) if asked else 1.0
+    return [Judged(kind, n, r / factor, density, n >= LEAST and r / factor < limit) for kind, n, r, density, limit in found]
+
+
+def is_spam(page: Page, model: Model = NO_MODEL) -> bool:
+    """Whether more than half of the words of the main region are in redundant blocks."""
+    blocks = judge([b.text for b in own_region(page)], model, verdict_only=True)
+    return sum(b.words for b in blocks if b.spam) > SHARE * sum(b.words for b in blocks)
 
 
 def spam_share(texts: list[str], model: Model = NO_MODEL) -> tuple[float, float]:
