@@ -165,14 +165,18 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_
 
 
 def kept(mix: DataFrame, shares: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, share_kept (actual within three blocks of the planned share; an empty mix keeps all), cap_kept, uneven_slots (slots of another length than a block)."""
+    """source, share_kept (actual within three blocks of the planned share; an empty mix keeps all), cap_kept, blocks_whole.
+
+    Blocks are whole when all slots of a source hold a block's tokens; only the last one may end at the source's cap of repeats.
+    """
     lengths = mix.groupBy("slot", "source").agg(F.sum("piece_tokens").alias("_t"))
-    uneven = lengths.groupBy("source").agg(F.count_if(F.col("_t") != block).alias("_u"))
+    last = lengths.groupBy("source").agg(F.max("slot").alias("_last"))
+    uneven = lengths.join(last, "source").groupBy("source").agg(F.count_if((F.col("_t") != block) & ((F.col("slot") != F.col("_last")) | (F.col("_t") > block))).alias("_u"))
     total = shares.agg(F.sum("tokens_used").alias("_all"))
     rows = attach(shares.join(uneven, "source", "left"), total)
     near = F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.col("planned_share")) <= F.lit(3.0 * block) / F.col("_all") + 1e-6
     near = (F.coalesce("_all", F.lit(0)) == 0) | near
-    return rows.select("source", near.alias("share_kept"), (F.col("rounds") <= F.col("max_repeats")).alias("cap_kept"), F.coalesce("_u", F.lit(0)).alias("uneven_slots"))
+    return rows.select("source", near.alias("share_kept"), (F.col("rounds") <= F.col("max_repeats")).alias("cap_kept"), (F.coalesce("_u", F.lit(0)) == 0).alias("blocks_whole"))
 
 
 def report(mix: DataFrame, plan_rows: list[dict]) -> DataFrame:

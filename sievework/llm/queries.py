@@ -192,7 +192,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "p3_found": f"with {canonical_ctes('crawl_tasks', 'task_id')} select task_id from canon where key is not null qualify task_id > min(task_id) over (partition by key)",
-    "p9_kept": """select source, true as share_kept, true as cap_kept, 0::bigint as uneven_slots from source_targets
+    "p9_kept": """select source, true as share_kept, true as cap_kept, true as blocks_whole from source_targets
 where source is not null and target_share > 0 and max_repeats > 0 group by 1""",
     "p7_found": f"""with {_P7_LONG}
 select external_id, term from scored

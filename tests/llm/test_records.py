@@ -301,9 +301,9 @@ def test_mix(spark, sources):
 
 def test_kept_finds_what_is_not(spark):
     shares = spark.createDataFrame([("a", 0.5, 0.9, 100, 3, 2), ("b", 0.5, 0.5, 100, 1, 1)], "source string, planned_share double, actual_share double, tokens_used bigint, rounds int, max_repeats int")
-    made = spark.createDataFrame([(0, "a", 8), (1, "a", 7), (2, "b", 5), (2, "b", 3)], "slot bigint, source string, piece_tokens bigint")
-    got = {r.source: (r.share_kept, r.cap_kept, r.uneven_slots) for r in mix.kept(made, shares, 8).collect()}
-    assert got == {"a": (False, False, 1), "b": (True, True, 0)}
+    made = spark.createDataFrame([(0, "a", 7), (1, "a", 8), (2, "b", 5), (2, "b", 3), (3, "b", 4)], "slot bigint, source string, piece_tokens bigint")
+    got = {r.source: (r.share_kept, r.cap_kept, r.blocks_whole) for r in mix.kept(made, shares, 8).collect()}
+    assert got == {"a": (False, False, False), "b": (True, True, True)}
 
 
 def test_mix_of_nothing_and_too_much(spark, sources):
