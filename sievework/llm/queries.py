@@ -79,7 +79,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
-    """What the chains answer wrongly, shard by shard, beside the bound they keep: at the error of p3_found and at a thousand times as much."""
+    """What the chains answer wrongly, shard by shard, beside the bound they keep: at the error of p3_found and at one that lets them be seen."""
     tasks = read_table(spark, d, "crawl_tasks")
     # the answers are read twice: for the rows and for the keys
     parts = [seen.wrong_answers(materialise(seen.seen_before(tasks, "task_id", "url", url_key, error=e), "answers")).select(F.lit(e).alias("error"), "*") for e in (seen.ERROR, 1e-3)]

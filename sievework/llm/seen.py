@@ -41,10 +41,10 @@ from ..session import spread
 FIRST_CAPACITY = 1 << 14
 GROWTH = 4
 #: Error of the first layer; the chance of a wrong answer stays under ERROR / (1 - TIGHTENING).
-ERROR = 1e-6
+ERROR = 1e-9
 TIGHTENING = 0.5
 FILL = 0.5
-#: Rows that a shard gets at most, about: its chain takes some 60 MB then. Tables of fewer are cut into as many shards as a shuffle has partitions.
+#: Rows that a shard gets at most, about: its chain takes some 90 MB then. Tables of fewer are cut into as many shards as a shuffle has partitions.
 SHARD_ROWS = 1 << 24
 #: Frequent keys that a task remembers before the shuffle.
 FREQUENT = 1 << 13
@@ -248,7 +248,7 @@ def confirmed(answers: DataFrame) -> DataFrame:
 def wrong_answers(answers: DataFrame) -> DataFrame:
     """Per shard: layers, rows asked and called seen, keys, first occurrences called seen, missed repeats, and the rates: by the bits set, the bound kept, as measured."""
     rows = answers.where("not _known").groupBy("_shard").agg(
-        F.max("_layers").alias("layers"), F.count("*").alias("asked"), F.count_if("_seen").alias("called_seen"), F.round(F.max("_rate"), 9).alias("rate_from_fill"), F.max("_bound").alias("bound")
+        F.max("_layers").alias("layers"), F.count("*").alias("asked"), F.count_if("_seen").alias("called_seen"), F.round(F.max("_rate"), 15).alias("rate_from_fill"), F.max("_bound").alias("bound")
     )
     keys = _keys(answers).groupBy("_shard").agg(F.count("*").alias("distinct_keys"), F.count_if(F.col("_new") == 0).alias("wrongly_seen"), F.sum(F.greatest(F.col("_new") - 1, F.lit(0))).alias("missed"))
-    return rows.join(keys, "_shard").select(F.col("_shard").alias("shard"), "layers", "asked", "called_seen", "distinct_keys", "wrongly_seen", "missed", "rate_from_fill", "bound", F.round(F.col("wrongly_seen") / F.col("distinct_keys"), 9).alias("rate_measured"))
+    return rows.join(keys, "_shard").select(F.col("_shard").alias("shard"), "layers", "asked", "called_seen", "distinct_keys", "wrongly_seen", "missed", "rate_from_fill", "bound", F.round(F.col("wrongly_seen") / F.col("distinct_keys"), 12).alias("rate_measured"))
