@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import built, content, core, crawling, flows, frontier, retrieval, search, serving, upkeep
+from . import analysis, built, content, core, crawling, flows, frontier, retrieval, search, serving, upkeep
 
-_MODULES = (core, crawling, frontier, content, built, search, retrieval, serving, upkeep, flows)
+_MODULES = (core, crawling, frontier, content, built, analysis, search, retrieval, serving, upkeep, flows)
 
 
 def queries() -> dict:
