@@ -30,12 +30,14 @@ def second_sight(events: DataFrame, key: list[str], within_s: int = 600) -> Data
     return _beside(events, key, ["ts"]).where((micros(F.col("ts")) - micros(F.col("_near.ts"))) <= within_s * 1_000_000).drop("_near")
 
 
-def cache_hits(events: DataFrame, key: list[str], ttl_s: int) -> DataFrame:
-    """MO-02: per key the requests, and the hits of a cache whose entries live ttl_s from their last fill.
+def cache_hits(events: DataFrame, key: list[str], ttl_s: int | Column) -> DataFrame:
+    """MO-02: per key the requests, and the hits of a cache whose entries live ttl_s (which may depend on the event's intent) from their last fill.
+
+    A generation of the index among the key's columns empties the cache.
 
     A request is a hit when the one before it (which filled or hit) is within the time: a sliding lifetime.
     """
-    hit = (micros(F.col("ts")) - micros(F.col("_near.ts"))) <= ttl_s * 1_000_000
+    hit = (micros(F.col("ts")) - micros(F.col("_near.ts"))) <= (F.lit(ttl_s) if isinstance(ttl_s, int) else ttl_s).cast("bigint") * 1_000_000
     return _beside(events, key, ["ts"]).withColumn("_hit", F.coalesce(hit, F.lit(False))).groupBy(*key).agg(F.count("*").alias("requests"), F.count_if("_hit").alias("hits"))
 
 

@@ -178,3 +178,28 @@ def tier_of(rank: Column, quality: Column, traffic: Column, age_days: Column) ->
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     score = 0.5 * zero(rank) + 0.2 * zero(quality) + 0.2 * F.least(F.log1p(zero(traffic)) / 5, F.lit(1.0)) + 0.1 * F.pow(F.lit(0.5), F.coalesce(age_days, F.lit(365.0)) / 30)
     return F.when(score >= 0.5, 0).when(score >= 0.2, 1).otherwise(2)
+
+
+def split_words(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """TX-22: query, first, second, strength of run-together words: the cut whose rarer part is the most frequent; the earlier cut of equal ones. queries: query."""
+    cuts = queries.where("length(query) > 1").select("query", F.explode(F.sequence(F.lit(1), F.length("query") - 1)).alias("_at"))
+    halves = cuts.select("query", "_at", F.expr("substring(query, 1, _at)").alias("first"), F.expr("substring(query, _at + 1)").alias("second"))
+    one = dictionary.select(F.col("term").alias("first"), F.col("doc_freq").alias("_a"))
+    two = dictionary.select(F.col("term").alias("second"), F.col("doc_freq").alias("_b"))
+    rows = halves.join(one, "first").join(two, "second").withColumn("strength", F.least("_a", "_b"))
+    return rows.groupBy("query").agg(F.max_by(F.struct("first", "second", "strength"), F.struct("strength", -F.col("_at"))).alias("_c")).select("query", "_c.*")
+
+
+def noisy_channel(candidates: DataFrame, error: float = 3.0) -> DataFrame:
+    """TX-22: word, candidate, score of the best correction: how frequent it is against how far it is. candidates: word, candidate, distance, doc_freq."""
+    score = F.round(F.log("doc_freq") - error * F.col("distance"), 9)
+    return candidates.withColumn("score", score).groupBy("word").agg(F.max_by(F.struct("candidate", "score"), F.struct("score", F.struct(-F.length("candidate")), "candidate")).alias("_b")).select("word", "_b.*")
+
+
+def intent(query: Column) -> Column:
+    """TX-22: navigational, question, local, transactional or informational, by the words of a query; the first that fits."""
+    q = F.lower(F.trim(query))
+    return (
+        F.when(q.rlike(r"^(https?://|www\.)|^[a-z0-9-]+\.[a-z]{2,}$"), "navigational").when(q.rlike(r"^(who|what|when|where|why|how)\b|\?$"), "question")
+        .when(q.rlike(r"\bnear( me)?\b"), "local").when(q.rlike(r"\b(buy|price|cheap|order)\b"), "transactional").otherwise("informational")
+    )

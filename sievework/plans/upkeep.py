@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, robots, text, urls
-from ..operators import bloom, crawl, index, monitor, ranking, serving
+from ..operators import bloom, crawl, index, monitor, ranking, retrieval, serving
 from ..session import attach, read_table, scratch_path, spread
 from ..sources import blobs, topics
 from ..streaming import jobs
+from . import content
 from . import crawling as c
 from . import search as s
 
@@ -204,11 +205,76 @@ def cache_outcomes(spark, d):
     return short.join(ever, "id").groupBy(state.alias("state")).agg(F.count("*").alias("lookups"))
 
 
+def url_identity_sound(spark, d):
+    """URL-08/09: as many ids and fingerprints as addresses, and the two tell the same."""
+    rows = c.url_identity(spark, d)
+    same = F.concat(F.lit("d:"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0")) == F.col("doc_id")
+    return rows.agg(F.count_distinct("canonical").alias("addresses"), F.count_distinct("doc_id").alias("ids"), F.count_distinct("fingerprint").alias("fingerprints"), F.count_if(~same).alias("apart"))
+
+
+def robots_tags(spark, d):
+    """CR-26: X-Robots-Tag for all agents, for ours and for others."""
+    value = F.element_at(F.array(F.lit("noindex"), F.lit("otherbot: noindex"), F.lit("nofollow, SieveworkBot: none"), F.lit("noarchive"), F.lit(None)), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    return read_table(spark, d, "documents").where("doc_id is not null").select("doc_id", crawl.robots_tag_noindex(value).alias("noindex"))
+
+
+def body_caps(spark, d):
+    """CR-31: bodies over a cap are too large whatever their status says."""
+    f = read_table(spark, d, "fetch_results").where("body is not null and status between 200 and 299")
+    return f.groupBy(crawl.classify_status(F.col("status"), F.octet_length("body"), 5000).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def salted_domains(spark, d):
+    """CR-42: offers by salted domain; no offer moves to another domain, and no more salts than there are."""
+    key = crawl.salted_key(F.col("domain"), F.col("url"), 8)
+    rows = c._tasks(spark, d).where("domain is not null and url is not null").groupBy(key.alias("k")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.substring_index("k", "#", 1).alias("domain")).agg(F.sum("n").alias("offers"), (F.count("*") <= 8).alias("bounded"))
+
+
+def render_flags(spark, d):
+    """HT-36: decisions that ask for a render, and for an audit."""
+    pick = F.element_at(F.array(*[F.lit(x) for x in ("static", "render_thin", "render_framework", "render_audit")]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    rows = read_table(spark, d, "documents").where("doc_id is not null")
+    return rows.groupBy(html.needs_render(pick).alias("render"), html.is_audit_render(pick).alias("audit")).agg(F.count("*").alias("n"))
+
+
+def retained_shares(spark, d):
+    """HT-33."""
+    rows = read_table(spark, d, "documents").where("doc_id is not null")
+    return rows.select("doc_id", F.round(html.retained_ratio(F.pmod("doc_id", F.lit(7)), F.pmod("doc_id", F.lit(3)) * 10), 6).alias("ratio"))
+
+
+def query_splits(spark, d):
+    """TX-22: two terms of the dictionary run together, and cut again."""
+    words = s._store(spark, d).dictionary
+    firsts = words.where("length(term) >= 3 and doc_freq >= 3").select("term", "doc_freq")
+    return retrieval.split_words(firsts.select(F.concat("term", F.reverse("term"), F.lit("tor")).alias("query")).union(firsts.select(F.concat("term", F.lit("tor")).alias("query"))), words)
+
+
+def corrections(spark, d):
+    """TX-22: the best correction of rare terms."""
+    return retrieval.noisy_channel(content.spelling_candidates(spark, d)).select("word", "candidate", F.round("score", 6).alias("score"))
+
+
+def query_intents(spark, d):
+    """TX-22: intents of built queries."""
+    q = F.element_at(F.array(F.lit("www.x.test"), F.lit("shop.test"), F.lit("How to walk"), F.lit("is it open?"), F.lit("bread oven near me"), F.lit("cheap boots"), F.lit("paper map")), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
+    return read_table(spark, d, "documents").where("doc_id is not null").groupBy(retrieval.intent(q).alias("intent")).agg(F.count("*").alias("queries"))
+
+
+def cache_by_generation(spark, d):
+    """MO-02: hits of a cache that every day's generation empties, with lifetimes by intent."""
+    e = c._events(spark, d).withColumn("generation", F.floor(monitor.micros(F.col("ts")) / 86_400_000_000).cast("bigint"))
+    ttl = F.when(F.col("event_type") == "view", 3600).otherwise(600)
+    return monitor.cache_hits(e, ["generation", "event_type"], ttl)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         bloom_sizes, bloom_seen_stats, bloom_new_keys, lease_release, robots_statuses, robots_allowed, robots_sitemaps, retry_afters, outcome_classes, timeout_halvings, recrawl_shares, url_origins,
         gzip_round_trip, affix_roots, folded_words, merge_policy, personalised, query_problems, degradation_rungs, in_flight, zero_results, document_store, archive_days, replayed_messages, collected_counts, cache_outcomes,
+        url_identity_sound, robots_tags, body_caps, salted_domains, render_flags, retained_shares, query_splits, corrections, query_intents, cache_by_generation,
     )
 }
 
@@ -266,4 +332,18 @@ select * from n where url in (select url from documents where doc_id % 3 = 0 and
 known as (select {c._host("url")} as host, fetched_at as t, outcome = 'fetched' as ok from fetch_results),
 j as (select a.task_id, a.t, k.t as kt, k.ok from asked a asof left join known k on a.host = k.host and a.t >= k.t where a.host is not null)
 select case when kt is null then 'cold' when epoch_us(t) - epoch_us(kt) <= (case when ok then 14400 else 600 end) * 1000000::bigint then 'hit' else 'expired' end as state, count(*)::bigint as lookups from j group by 1""",
+    "url_identity_sound": f"with {c.canonical_ctes('crawl_tasks', 'task_id')} select count(distinct key)::bigint as addresses, count(distinct key)::bigint as ids, count(distinct key)::bigint as fingerprints, 0::bigint as apart from canon",
+    "robots_tags": "select doc_id, doc_id % 5 in (0, 2) as noindex from documents where doc_id is not null",
+    "body_caps": "select case when status in (301, 302) then null when octet_length(body) > 5000 then 'too_large' else 'fetched' end as outcome, count(*)::bigint as n from fetch_results where body is not null and status between 200 and 299 group by 1",
+    "salted_domains": "select domain, count(*)::bigint as offers, true as bounded from crawl_tasks where domain is not null and url is not null group by 1",
+    "render_flags": "select doc_id % 4 > 0 as render, doc_id % 4 = 3 as audit, count(*)::bigint as n from documents where doc_id is not null group by 1, 2",
+    "retained_shares": "select doc_id, round(case when doc_id % 3 > 0 then (doc_id % 7) / (doc_id % 3 * 10) else 0 end, 6) as ratio from documents where doc_id is not null",
+    "query_splits": f"""with {s._DOCS}, q as (select term || reverse(term) || 'tor' as query from dict where length(term) >= 3 and doc_freq >= 3 union all select term || 'tor' from dict where length(term) >= 3 and doc_freq >= 3),
+x as (select query, i, query[:i] as first, query[i + 1:] as second from (select distinct query, unnest(range(1, length(query))) as i from q)),
+r as (select query, first, second, i, least(a.doc_freq, b.doc_freq) as strength from x join dict a on a.term = first join dict b on b.term = second)
+select query, first, second, strength::bigint as strength from r qualify row_number() over (partition by query order by strength desc, i) = 1""",
+    "corrections": "with n as (" + content.SQL["spelling_candidates"] + ") select word, candidate, round(ln(doc_freq) - 3 * distance, 6) as score from n qualify row_number() over (partition by word order by round(ln(doc_freq) - 3 * distance, 9) desc, length(candidate), candidate desc) = 1",
+    "query_intents": "select case doc_id % 7 when 0 then 'navigational' when 1 then 'navigational' when 2 then 'question' when 3 then 'question' when 4 then 'local' when 5 then 'transactional' else 'informational' end as intent, count(*)::bigint as queries from documents where doc_id is not null group by 1",
+    "cache_by_generation": """with e as (select (epoch_us(ts) // 86400000000)::bigint as generation, event_type, epoch_us(ts) - lag(epoch_us(ts)) over (partition by epoch_us(ts) // 86400000000, event_type order by ts, event_id) as gap from events)
+select generation, event_type, count(*)::bigint as requests, count_if(gap <= (case when event_type = 'view' then 3600 else 600 end) * 1000000::bigint)::bigint as hits from e group by 1, 2""",
 }
