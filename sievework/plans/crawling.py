@@ -263,6 +263,24 @@ def pagerank(spark, d):
     return graph.pagerank(_word_edges(spark, d), 10).select("node", F.round("rank", 9).alias("rank"))
 
 
+def _page_edges(spark, d):
+    """Hosts linked by the pages that were fetched."""
+    from .content import page_links
+
+    links = page_links(spark, d).where("rel = 'follow'")
+    return graph.edges_of(links.select(urls.url_host(F.col("url")).alias("s"), urls.url_host(F.col("target_url")).alias("t")), "s", "t")
+
+
+def link_graph_rank(spark, d):
+    """RK-20 on the links of the pages themselves, by host."""
+    return graph.log_rank(graph.pagerank(_page_edges(spark, d), 10)).select("node", F.round("rank", 9).alias("rank"), F.round("log_rank", 6).alias("log_rank"))
+
+
+def link_graph_hits(spark, d):
+    """RK-23 on the links of the pages themselves, by host."""
+    return graph.hits(_page_edges(spark, d), 4).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+
+
 def log_rank(spark, d):
     return graph.log_rank(graph.pagerank(_word_edges(spark, d), 10)).select("node", F.round("log_rank", 6).alias("log_rank"))
 
@@ -393,7 +411,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         url_canonical_native, url_canonical, url_identity, url_host_parts, url_path_prefixes, url_token_counts, seen_url_filter, seen_stats, site_budgets, site_budget_admission,
         trap_detect, trap_detect_sketch, trapped_urls, priority_bands, frontier_enqueue, frontier_lease, latest_validators, domain_ownership, fetch_outcomes, content_types,
-        change_rates, outcome_runs, redirect_chains, aimd_fold, token_bucket_fold, refresh_split, message_events, stored_blobs, pagerank, log_rank, trustrank, hits, linked_components,
+        change_rates, outcome_runs, redirect_chains, aimd_fold, token_bucket_fold, refresh_split, message_events, stored_blobs, pagerank, link_graph_rank, link_graph_hits, log_rank, trustrank, hits, linked_components,
         seen_url_filter_full, seen_stats_full, frontier_enqueue_full, refresh_split_full, site_budgets_full, site_budget_admission_full,
         anchor_aggregate, anchor_diversity, exact_dups, shingle_counts, simhash_values, near_duplicate_classes, simhash_classes, canonical_election, second_sight_cache, cache_simulation,
         quota_per_minute, burn_rate, user_sessions, reformulation_sessions, day_over_day, corpus_health, freshness_sli, body_size_histogram,

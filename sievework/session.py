@@ -48,9 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/sievework/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sievework/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete all that this application has put under fresh paths; frames that read from there can't be used any more."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -527,3 +527,29 @@ def test_page_inspection(tmp_path, spark):
     (tmp_path / "p.html").write_text("<html lang=en><title>Ti</title><body><p>some words of text</p><a href=/x>link here</a>")
     seen = topics.inspect_page(str(tmp_path / "p.html"), "https://a.test/")
     assert seen["title"] == "Ti" and seen["links"] == 1 and seen["encoding"] == "utf-8" and seen["warning"] is None
+
+
+def test_scratch_is_released():
+    """On a stand-in: paths of one application only."""
+    from types import SimpleNamespace
+
+    from sievework import session
+
+    gone, context = [], SimpleNamespace(applicationId="app-x")
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: "file:///tmp/none"))
+    keep, session.delete_path = session.delete_path, lambda spark, path: gone.append(path)
+    try:
+        made = [session.scratch_path(fake, "a"), session.scratch_path(fake, "b")]
+        assert session.release_scratch(fake) == 2 and gone == made and session.release_scratch(fake) == 0
+    finally:
+        session.delete_path = keep
+
+
+def test_a_cluster_names_its_folder():
+    from types import SimpleNamespace
+
+    from sievework import session
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", applicationId="a", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake)
