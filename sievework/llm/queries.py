@@ -19,9 +19,15 @@ def _fetches(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "fetch_results")
 
 
+_MODELS: dict[tuple[str, str], spam.Model] = {}
+
+
 def _model(spark: SparkSession, d: str) -> spam.Model:
-    """Language filters and ordinary ratios, fitted on a bounded sample of documents."""
-    return spam.fit_on(read_table(spark, d, "documents"))
+    """Language filters and ordinary ratios, fitted on a bounded sample of documents: once an application and table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = spam.fit_on(read_table(spark, d, "documents"))
+    return _MODELS[key]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
