@@ -35,12 +35,12 @@ def field_counts(fields: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.map_values(fields), lambda m: m.isNotNull()), term_counts))
 
 
-def record_terms(df: DataFrame, id_col: str, entries: Column) -> DataFrame:
-    """_id, term, tf: one row per record and term, repeated records once."""
+def record_terms(df: DataFrame, id_col: str, entries: Column, distinct_terms: bool = False) -> DataFrame:
+    """_id, term, tf: one row per record and term, repeated records once. distinct_terms: no record has two entries of a term, as those of one map."""
     rows = df.select(F.col(id_col).cast("string").alias("_id"), entries.alias("_e")).where("_id is not null and size(_e) > 0")
     once = rows.groupBy("_id").agg(F.min_by("_e", F.xxhash64("_e")).alias("_e"))
     long = once.select("_id", F.explode("_e").alias("_x")).select("_id", F.col("_x.term").alias("term"), F.col("_x.tf").alias("tf")).where("term is not null")
-    return long.groupBy("_id", "term").agg(F.sum("tf").alias("tf"))
+    return long if distinct_terms else long.groupBy("_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def residual_idf(df: Column, cf: Column, n: Column) -> Column:

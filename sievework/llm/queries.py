@@ -93,7 +93,7 @@ def p3_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _both_tables(spark: SparkSession, d: str) -> list[DataFrame]:
-    records = distinct.record_terms(read_table(spark, d, "input_documents"), "external_id", distinct.term_counts(F.col("terms")))
+    records = distinct.record_terms(read_table(spark, d, "input_documents"), "external_id", distinct.term_counts(F.col("terms")), distinct_terms=True)
     fielded = distinct.record_terms(read_table(spark, d, "fielded_documents"), "external_id", distinct.field_counts(F.col("fields")))
     # scores read the terms several times: for their statistics, for the common terms, for the rare ones
     return [materialise(records, "terms"), materialise(fielded, "terms")]
