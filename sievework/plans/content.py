@@ -224,3 +224,6 @@ dict as (select term, count(*) as doc_freq from (select external_id, unnest(map_
 near as (select r.term as word, c.term as candidate, levenshtein(r.term, c.term) as distance, c.doc_freq from dict r, dict c, lim where r.doc_freq <= most and c.doc_freq > most and abs(length(r.term) - length(c.term)) <= 2 and levenshtein(r.term, c.term) <= 2)
 select word, candidate, distance::int as distance, doc_freq::bigint as doc_freq from near qualify row_number() over (partition by word order by distance, doc_freq desc, candidate) <= 3""",
 }
+SQL["char_bigrams_full"] = r"""with t as (select unnest(regexp_extract_all(regexp_replace(text, '\s+', '', 'g'), '[\x{3041}-\x{3096}\x{309D}-\x{309F}\x{30A1}-\x{30FA}\x{30FC}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+')) as t from documents where text is not null),
+p as (select unnest(case when length(t) = 1 then [t] else list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) end) as pair from t)
+select pair, count(*)::bigint as n from p group by 1"""

@@ -656,3 +656,15 @@ for _name in ("seen_url_filter", "seen_stats", "frontier_enqueue", "refresh_spli
     SQL[f"{_name}_full"] = SQL[_name].replace(_KEYED, _KEYED_FULL).replace("place < 200", f"place < {crawl.QUEUE_CAP}")
 for _name in ("site_budgets", "site_budget_admission"):
     SQL[f"{_name}_full"] = SQL[_name].replace("floor(2 * ln", f"floor({crawl.BUDGET_BASE} * ln")
+SQL["simhash_classes"] = (
+    SQL["simhash_values"].replace("with w as", "with recursive w as", 1).replace("select d.doc_id, (case", "hashed as (select d.doc_id, d.text, (case", 1).replace(" as simhash from documents d left join v using (doc_id)", " as simhash from documents d left join v using (doc_id))", 1).replace(
+        "group by 1)\nhashed", "group by 1),\nhashed", 1
+    )
+    + """,
+one as (select simhash, min(doc_id) as rep, count(distinct lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as texts from hashed where simhash is not null group by 1),
+pairs as (select a.rep as a, b.rep as b from one a join one b on a.rep <> b.rep and bit_count(xor(a.simhash, b.simhash)) <= 3),
+walk as (select rep as node, rep as class_id from one union select p.b, w.class_id from walk w join pairs p on p.a = w.node where w.class_id < p.b),
+classes as (select node, min(class_id) as class_id from walk group by 1), others as (select p.a as rep, sum(o.texts) as n from pairs p join one o on o.rep = p.b group by 1)
+select h.doc_id, coalesce(c.class_id, h.doc_id) as class_id, coalesce(o.texts - 1 + coalesce(x.n, 0), 0)::bigint as links
+from hashed h left join one o using (simhash) left join classes c on c.node = o.rep left join others x on x.rep = o.rep"""
+)

@@ -177,3 +177,9 @@ from crawl_tasks where domain is not null group by 1""",
     "anchor_shuffle": f"""with r as (select distinct {_FETCH_DOMAIN} as target, source_url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as anchor from crawl_tasks where url is not null and source_url is not null)
 select target, least(50, count(*))::bigint as anchors from r where target is not null group by 1""",
 }
+SQL["anchor_shuffle_full"] = SQL["anchor_shuffle"].replace("least(50,", "least(1000,")
+SQL["snippets"] = r"""with parts as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) as p from documents where text is not null),
+s as (select doc_id, unnest(p) as s, unnest(range(0, len(p))) as i from parts),
+r as (select *, contains(lower(s), 'museum')::int + contains(lower(s), 'library')::int as m from s),
+best as (select doc_id, s from r qualify row_number() over (partition by doc_id order by m desc, i) = 1)
+select d.doc_id, regexp_replace(regexp_replace(substr(s, 1, 160), '(museum)', '[\1]', 'gi'), '(library)', '[\1]', 'gi') as snippet from documents d left join best using (doc_id)"""
