@@ -36,11 +36,11 @@ def field_counts(fields: Column) -> Column:
 
 
 def record_terms(df: DataFrame, id_col: str, entries: Column, distinct_terms: bool = False) -> DataFrame:
-    """_id, term, tf: one row per record and term, repeated records once. distinct_terms: no record has two entries of a term, as those of one map."""
-    rows = df.select(F.col(id_col).cast("string").alias("_id"), entries.alias("_e")).where("_id is not null and size(_e) > 0")
+    """_id, term, tf, _first (true on one row of each record): one row per record and term, repeated records once. distinct_terms: no record has two entries of a term, as those of one map."""
+    rows = df.select(F.col(id_col).cast("string").alias("_id"), F.filter(entries, lambda x: x["term"].isNotNull()).alias("_e")).where("_id is not null and size(_e) > 0")
     once = rows.groupBy("_id").agg(F.min_by("_e", F.xxhash64("_e")).alias("_e"))
-    long = once.select("_id", F.explode("_e").alias("_x")).select("_id", F.col("_x.term").alias("term"), F.col("_x.tf").alias("tf")).where("term is not null")
-    return long if distinct_terms else long.groupBy("_id", "term").agg(F.sum("tf").alias("tf"))
+    long = once.select("_id", F.posexplode("_e").alias("_p", "_x")).select("_id", F.col("_x.term").alias("term"), F.col("_x.tf").alias("tf"), (F.col("_p") == 0).alias("_first"))
+    return long if distinct_terms else long.groupBy("_id", "term").agg(F.sum("tf").alias("tf"), F.max("_first").alias("_first"))
 
 
 def residual_idf(df: Column, cf: Column, n: Column) -> Column:
@@ -49,14 +49,14 @@ def residual_idf(df: Column, cf: Column, n: Column) -> Column:
 
 def scored_terms(terms: DataFrame) -> DataFrame:
     """_id, term, tf, df, cf, residual, score for the rows of record_terms."""
-    size = terms.groupBy("_id").agg(F.lit(1)).agg(F.count("*").cast("double").alias("_n"))
+    size = terms.agg(F.count_if("_first").cast("double").alias("_n"))
     stats = attach(terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), size)
     stats = stats.withColumn("residual", residual_idf(F.col("df"), F.col("cf"), F.col("_n")))
     common = F.col("df") > F.col("_n") / COMMON
     # Common terms would be hot join keys; their table is bounded by COMMON times the mean record size and is broadcast.
     frequent = F.broadcast(stats.where(common).withColumnRenamed("term", "_t").select("_t", "df", "cf", "residual"))
     rare = stats.where(~common).select(F.col("term").alias("_t"), "df", "cf", "residual")
-    first = terms.join(frequent, F.col("term") == F.col("_t"), "left").drop("_t")
+    first = terms.drop("_first").join(frequent, F.col("term") == F.col("_t"), "left").drop("_t")
     known = first.where("df is not null")
     rest = first.where("df is null").drop("df", "cf", "residual").join(rare, F.col("term") == F.col("_t")).drop("_t")
     return known.unionByName(rest).withColumn("score", F.col("tf") * F.col("residual"))
