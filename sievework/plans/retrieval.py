@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import crawl, graph, monitor, ranking, retrieval
-from ..session import materialise, read_table
+from ..session import REMEMBERED, materialise, read_table
 from . import crawling as c
 from . import search as s
 from .content import BYTES
@@ -24,6 +24,7 @@ SNIPPET_TERMS = ["museum", "library", "recipe"]
 DENSE_QUERIES = {"t1": 0, "t2": 20, "t3": 40, "t4": 60}
 
 _POSTINGS: dict[tuple, DataFrame] = {}
+REMEMBERED.append(_POSTINGS)
 
 
 def _documents(spark, d):

@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: dict[str, list[str]] = {}
+#: What remembers tables under fresh paths, to be emptied with them.
+REMEMBERED: list[dict] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,6 +63,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def release_scratch(spark: SparkSession) -> int:
     """Delete all that this application has put under fresh paths; frames that read from there can't be used any more."""
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for known in REMEMBERED:
+        known.clear()
     for path in paths:
         delete_path(spark, path)
     return len(paths)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index
-from ..session import attach, scratch_path
+from ..session import REMEMBERED, attach, scratch_path
 from . import files
 
 TABLES = ("docs", "postings", "dictionary", "blocks", "bounds")
@@ -210,6 +210,7 @@ class Published:
 
 
 _BUILT: dict[tuple, str] = {}
+REMEMBERED.append(_BUILT)
 
 
 def published(spark: SparkSession, key: tuple, make) -> Published:
