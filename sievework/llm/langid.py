@@ -10,17 +10,18 @@ The finished runs of sentences are judged once more by their own evidence: a run
 whose confidence, less the error that so few n-grams leave, lies under FLOOR is
 no segment; it joins the stronger of its neighbours.
 
-The filters are fitted on a bounded sample of labelled rows: of each label about
-PER_LANGUAGE rows, drawn by a hash of the text, of at most SAMPLE_CHARS
-characters each; the sizes of the labels are counted over all rows. Wrong labels
+The filters are fitted on all labelled rows, each read whole: by label and n-gram
+the documents that have it are counted, in tasks that hold HELD counts at most,
+then over all tasks. Only the n-grams that a label uses (USED) come to the driver, so
+what it holds follows the length of a text, not the number of rows. Wrong labels
 are outvoted, as an n-gram counts for a language only where it is about as
 frequent as anywhere.
 
 Defined results
 * null or empty text: no segments. Texts without letters, or without n-grams of any language: no segments.
 * a text all of whose runs are weak: one segment in the language with the most evidence, whatever its confidence; callers may ask for more.
-* null or unknown labels in the sample: not used; a language with fewer than LEAST_DOCS rows, or
-  LEAST_SHARE of the sample, is not modelled, nor is a label that mostly stands on texts of a far more frequent language.
+* rows with a null or unknown label, or without text: not fitted on; a language with fewer than LEAST_DOCS rows, or
+  LEAST_SHARE of them, is not modelled, nor is a label that mostly stands on texts of a far more frequent language.
 * ties of two languages: the one around it, else the alphabetically first.
 * very long texts: read whole. Repeated rows give rows each; an empty table none.
 """
@@ -28,20 +29,26 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import attach
+from ..session import attach, spread
 
 ORDERS = (2, 4)
 BITS = 20
 #: Languages whose bits share a word of a filter.
 WORD = 32
-#: The bounded sample that the filters are fitted on: rows of each label, and the longest text taken into it.
-PER_LANGUAGE, SAMPLE_CHARS = 300, 20_000
+#: Bits of an n-gram's hash that are counted by, above those of a label or of a text's place.
+GRAM_BITS, PLACE_BITS = 48, 16
+#: Characters whose n-grams are looked up at a time, and counts that a task holds before it passes them on.
+PIECE, HELD = 100_000, 2_000_000
+#: A label uses an n-gram that at least this share of its documents has: in a large table any n-gram stands somewhere.
+USED = 1 / 300
 LEAST_DOCS, LEAST_SHARE = 12, 0.004
 #: A label is a wrong one for another language when so much of what its texts use is that language's, which has so many times its rows.
 ALIAS, ALIAS_ROWS = 0.85, 3
@@ -133,29 +140,98 @@ def primary(label: str | None) -> str:
     return "" if x == "und" else x
 
 
-def fit(rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Filters:
-    """rows: (label, text), labels with errors among them. sizes: rows of each primary label in the whole table, else those given."""
-    by: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for label, text in rows:
-        x = primary(label)
-        if x and text:
-            size[x] = size.get(x, 0) + 1
-            own = by.setdefault(x, [])
-            if len(own) < PER_LANGUAGE:
-                own.append(text)
-    if sizes is not None:
-        size = sizes
-    least = max(LEAST_DOCS, LEAST_SHARE * sum(size.values()))
+def pieces(text: str) -> Iterator[str]:
+    """A text in parts of about PIECE characters that have its n-grams between them: cut before a word, whose first letter ends the part before."""
+    start = 0
+    while len(text) - start > PIECE:
+        cut = next((i for i in range(start + PIECE, len(text)) if text[i].isalpha() and not text[i - 1].isalpha()), None)
+        if cut is None:
+            break
+        yield text[start : cut + 1]
+        start = cut
+    yield text[start:]
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of an ordered array is met first."""
+    return np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))
+
+
+def _once(values: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which takes a twentieth of the time of its hashing here."""
+    ordered = np.sort(values)
+    return ordered[_firsts(ordered)]
+
+
+def distinct_grams(texts: list[str]) -> np.ndarray:
+    """The n-grams of each text, each once: GRAM_BITS of the hash above the text's place, in order."""
+    found, group, places, size = [np.empty(0, np.uint64)], [], [], 0
+
+    def look_up() -> None:
+        h, owner = grams(group)
+        real = owner % 2 == 0  # what lies across two texts belongs to the empty one between them
+        found.append(_once((h[real] << np.uint64(PLACE_BITS)) | np.array(places, np.uint64)[owner[real] // 2]))
+
+    for i, text in enumerate(texts):
+        for part in pieces(text.replace("\n", " ")):
+            group += [part, ""]
+            places.append(i)
+            size += len(part)
+            if size >= PIECE:
+                look_up()
+                group, places, size = [], [], 0
+    if group:
+        look_up()
+    return _once(np.concatenate(found))
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys once, with the sum of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(_firsts(key))
+    return key[starts], np.add.reduceat(n[order], starts) if len(key) else n
+
+
+def gram_counts(batches: Iterable[tuple[list[int], list[str]]], held: int | None = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram above the number of its label, documents) of batches of label numbers and texts. Passed on when there are more than held; None: once, in the end."""
+    keys, counts, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    for labels, texts in batches:
+        start = chars = 0
+        for k, text in enumerate(texts, 1):
+            chars += len(text)
+            if k < len(texts) and chars < 20 * PIECE and k - start < 1 << PLACE_BITS:
+                continue
+            pairs, of = distinct_grams(texts[start:k]), np.array(labels[start:k], np.uint64)
+            key, n = np.unique((pairs & ~place) | of[(pairs & place).astype(np.int64)], return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            size += len(key)
+            start, chars = k, 0
+            if held is not None and size > held:
+                key, n = _added(keys, counts)
+                if 2 * len(key) > held:
+                    yield key, n
+                    key, n = key[:0], n[:0]
+                keys, counts, size = [key], [n], len(key)
+    yield _added(keys, counts)
+
+
+def build(sizes: dict[str, int], labels: list[str], keys: np.ndarray, counts: np.ndarray) -> Filters:
+    """Filters of labels (in the order of their numbers) from the documents that have each n-gram. sizes: documents by label."""
+    number, every_gram = keys & np.uint64((1 << PLACE_BITS) - 1), keys >> np.uint64(PLACE_BITS)
     found = []
-    for x in sorted(x for x in by if size.get(x, 0) >= least):
-        pairs = np.concatenate([np.unique(grams([t.replace("\n", " ")])[0]) for t in by[x]])
-        values, counts = np.unique(pairs, return_counts=True)
-        found.append((x, values, counts / len(by[x])))
+    for i, x in enumerate(labels):
+        share = counts[own := number == i] / sizes[x]
+        order = np.argsort(every_gram[own])
+        order = order[share[order] >= USED]
+        found.append((x, every_gram[own][order], share[order]))
     kept = [
         (x, values, share)
         for x, values, share in found
-        if not any(y != x and size[y] >= ALIAS_ROWS * size[x] and len(values) and np.isin(values, other, assume_unique=True).mean() >= ALIAS for y, other, _ in found)
+        if not any(y != x and sizes[y] >= ALIAS_ROWS * sizes[x] and len(values) and np.isin(values, other, assume_unique=True).mean() >= ALIAS for y, other, _ in found)
     ]
     languages, shares = [x for x, _, _ in kept], [(values, share) for _, values, share in kept]
     highest_at = np.concatenate([v for v, _ in shares]) if shares else np.empty(0, np.uint64)
@@ -173,25 +249,52 @@ def fit(rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Fil
     return Filters(languages, tables, fills**2)
 
 
-def sample(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """(label, text) drawn by hash, about PER_LANGUAGE of each label that is not rare, and the rows of these labels in the whole table."""
+def fit(rows: list[tuple[str, str]]) -> Filters:
+    """rows: (label, text), labels with errors among them."""
+    rows = [(x, text) for label, text in rows if (x := primary(label)) and text]
+    sizes: dict[str, int] = {}
+    for x, _ in rows:
+        sizes[x] = sizes.get(x, 0) + 1
+    labels = sorted(x for x, n in sizes.items() if n >= max(LEAST_DOCS, LEAST_SHARE * len(rows)))
+    at = {x: i for i, x in enumerate(labels)}
+    rows = [(at[x], text) for x, text in rows if x in at]
+    return build(sizes, labels, *next(gram_counts([([i for i, _ in rows], [text for _, text in rows])], None)))
+
+
+def labelled(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, dict[str, int]]:
+    """_place, _text of all rows whose label is not rare, and the rows of these labels; a label's place is that among them in order."""
     label = F.split_part(F.regexp_replace(F.lower(F.trim(F.col(label_col).cast("string"))), "_", "-"), F.lit("-"), F.lit(1))
-    rows = documents.select(label.alias("_label"), F.col(text_col).cast("string").alias("_text")).where("_label is not null and _label not in ('', 'und')")
+    rows = documents.select(label.alias("_label"), F.col(text_col).cast("string").alias("_text")).where("_label is not null and _label not in ('', 'und') and _text != ''")
     # labels under the least share are dropped before anything comes to the driver: at most 1 / LEAST_SHARE are left
     counted = rows.groupBy("_label").agg(F.count("*").alias("_n"))
     total = rows.agg(F.count("*").alias("_all"))
     sizes = {r[0]: r[1] for r in attach(counted, total).where((F.col("_n") >= LEAST_SHARE * F.col("_all")) & (F.col("_n") >= LEAST_DOCS)).select("_label", "_n").collect()}
     if not sizes:
-        return [], {}
-    rate = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))])[F.col("_label")]
-    drawn = F.pmod(F.xxhash64("_text"), F.lit(1 << 24)) < rate * (1 << 24)
-    found = rows.where(F.col("_label").isin(*sizes) & drawn & F.length("_text").between(60, SAMPLE_CHARS)).toPandas()
-    return sorted(zip(found["_label"], found["_text"])), sizes
+        return rows.select(F.lit(0).alias("_place"), "_text").limit(0), {}
+    place = F.create_map(*[x for i, k in enumerate(sorted(sizes)) for x in (F.lit(k), F.lit(i))])[F.col("_label")]
+    return rows.where(F.col("_label").isin(*sizes)).select(place.alias("_place"), "_text"), sizes
+
+
+def fit_labelled(rows: DataFrame, sizes: dict[str, int]) -> Filters:
+    """Filters from what labelled gives."""
+    if not sizes:
+        return fit([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in gram_counts((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches):
+            for k in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000])], ["_key", "_n"])
+
+    labels = sorted(sizes)
+    least = F.array(*[F.lit(0.999 * USED * sizes[x]) for x in labels])[F.col("_key").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")]
+    counted = spread(rows).mapInArrow(run, "_key bigint, _n bigint").groupBy("_key").agg(F.sum("_n").alias("_n"))
+    found = counted.where(F.col("_n") >= least).toArrow()
+    return build(sizes, labels, found["_key"].to_numpy().view(np.uint64), found["_n"].to_numpy())
 
 
 def fit_on(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> Filters:
     """Filters from a table of labelled rows."""
-    return fit(*sample(documents, label_col, text_col))
+    return fit_labelled(*labelled(documents, label_col, text_col))
 
 
 def _run(filters: Filters, counts: np.ndarray, n: np.ndarray, lang: int, own: list[int]) -> tuple[int, list[int], float, float]:

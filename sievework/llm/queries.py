@@ -23,7 +23,7 @@ _MODELS: dict[tuple[str, str], spam.Model] = {}
 
 
 def _model(spark: SparkSession, d: str) -> spam.Model:
-    """Language filters and ordinary ratios, fitted on a bounded sample of documents: once an application and table."""
+    """Language filters and ordinary ratios, fitted on all labelled documents: once an application and table."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         _MODELS[key] = spam.fit_on(read_table(spark, d, "documents"))

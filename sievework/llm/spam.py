@@ -9,8 +9,8 @@ strewn in have no low density, but no prose comes near them: EXTREME redundancy
 needs no confirmation. A page is spam when more than half of the words of its
 main region are in such blocks.
 
-What is ordinary: ORDINARY by length, times a factor by language that is fitted
-on the same bounded sample of labelled texts as the language filters. The
+What is ordinary: ORDINARY by length, times a factor by language, the median over
+all labelled texts of the table, as the language filters are fitted on all. The
 language of a page is looked up for the report of its ratios, and for the verdict
 only where some language could make more than half of its words redundant.
 
@@ -26,10 +26,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import spread
 from . import langid
 from .mainbody import bare_links, region
 from .pages import Block, Page
@@ -45,6 +50,8 @@ LIMIT, EXTREME = 1.0, 0.66
 LEAST = 12
 #: Bytes of zlib's own.
 FRAME = 8
+#: Decimals of the ratios whose median is a language's factor.
+DIGITS = 6
 #: Sentence ends per word that still count as none.
 PUNCTUATION = 1 / 40
 #: A stretch of this many words without a sentence end is no sentence.
@@ -143,19 +150,32 @@ class Model:
 NO_MODEL = Model(langid.fit([]), {})
 
 
-def fit(rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Model:
+def fit(rows: list[tuple[str, str]]) -> Model:
     """rows: (label, text). A language's factor is the median over its texts, so wrong labels don't tell."""
-    filters = langid.fit(rows, sizes)
+    filters = langid.fit(rows)
     by: dict[str, list[float]] = {}
     for label, text in rows:
         x = langid.primary(label)
         if x in filters.languages and text:
-            by.setdefault(x, []).append(redundancy(text))
+            by.setdefault(x, []).append(round(redundancy(text), DIGITS))
     return Model(filters, {x: float(np.median(own)) for x, own in by.items()})
 
 
-def fit_on(documents, label_col: str = "lang", text_col: str = "text") -> Model:
-    return fit(*langid.sample(documents, label_col, text_col))
+def fit_on(documents: DataFrame, label_col: str = "lang", text_col: str = "text") -> Model:
+    """The same from all rows of a table."""
+    rows, sizes = langid.labelled(documents, label_col, text_col)
+    if not sizes:
+        return fit([])
+    filters = langid.fit_labelled(rows, sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([round(redundancy(x), DIGITS) for x in b.column(1).to_pylist()], pa.float64())], ["_place", "_ratio"])
+
+    # a median of all: of as many different ratios as DIGITS leaves, each with its number of texts
+    ratios = spread(rows).mapInArrow(run, "_place int, _ratio double").groupBy("_place", "_ratio").agg(F.count("*").alias("_n"))
+    medians = {r[0]: r[1] for r in ratios.groupBy("_place").agg(F.percentile("_ratio", 0.5, F.col("_n"))).collect()}
+    return Model(filters, {x: medians[i] for i, x in enumerate(sorted(sizes)) if x in filters.languages})
 
 
 @dataclass(slots=True)
